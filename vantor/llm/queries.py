@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vantor.llm import bpe, fuse, mix, split, topn
+from vantor.llm import bpe, fuse, mix, quality, split, topn
 from vantor.runtime import table
 
 
@@ -54,6 +54,14 @@ def _p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def _p9_figures(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_figures(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[1:]: f for name, f in globals().items() if name.startswith("_p") and callable(f)}
 
