@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vantor.llm import bpe, fuse, mix, quality, split, topn
+from vantor.llm import bpe, fuse, knn, mix, quality, split, topn
 from vantor.runtime import table
 
 
@@ -18,6 +19,25 @@ def _p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(table(spark, d, "source_docs"), "id", "body")
 
 
+_VECTORS = (("embedding", "source_docs", "id", 64), ("token_vector", "late_interaction_tokens", "token_id", 48))
+
+
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    one, two = (knn.similar_pairs(knn.nearest(table(spark, d, t), key, column, dim, floor=0.85), column) for column, t, key, dim in _VECTORS)
+    return one.unionByName(two)
+
+
+def _p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors, of whatever similarity, for every key divisible by 50, against all rows."""
+    one, two = (
+        knn.nearest(table(spark, d, t), key, column, dim, probes=64, probe_share=0.25, queries=F.col(key) % 50 == 0).select(
+            F.lit(column).alias("field"), "key_a", "key_b", F.round("similarity", 9).alias("similarity"), "place"
+        )
+        for column, t, key, dim in _VECTORS
+    )
+    return one.unionByName(two)
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_per_category(table(spark, d, "hydrated_candidates")).select("category", "point_id")
 
