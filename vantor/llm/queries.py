@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.llm import bpe, fuse, knn, mix, quality, split, topn
+from vantor.llm import bpe, cluster, fuse, knn, mix, quality, split, topn
 from vantor.runtime import table
 
 
@@ -19,6 +19,15 @@ def _p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(table(spark, d, "source_docs"), "id", "body")
 
 
+def _p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.group_pairs(cluster.find_clusters(table(spark, d, "source_docs"), "id", "embedding", 64), "id")
+
+
+def _p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "source_docs")
+    return cluster.describe(cluster.find_clusters(docs, "id", "embedding", 64), docs, "id", "category")
+
+
 _VECTORS = (("embedding", "source_docs", "id", 64), ("token_vector", "late_interaction_tokens", "token_id", 48))
 
 
