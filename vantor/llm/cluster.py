@@ -6,7 +6,8 @@ deals the rows out into parts that fit a task; rows between two components go to
 spherical, regularised components and one broad background component are fitted, seeded at the peaks of density, and
 the Bayesian information criterion chooses how many components there are. The members of a component are then checked
 exactly: a cluster holds those whose similarity reaches the threshold, and clusters whose representatives (the members of
-highest density) are that similar are one, within a part directly, across parts by the rows that they share.
+highest density) are that similar are one: within a part by comparing them all, across parts by a search among the
+representatives.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.knn import fit_centroids, unit, unpack
+from vantor.llm.knn import fit_centroids, nearest, unit, unpack
 from vantor.llm.topn import top_n
 from vantor.runtime import folded, materialize
 
 THRESHOLD, TYPICAL = 0.85, 5
-#: Rows of a part, about; dimensions after the reduction; rows on which the coarse mixture is started; rounds of both mixtures.
-PART_ROWS, REDUCED, START_ROWS, ROUNDS = 20_000, 24, 8_192, 6
-#: A row also goes to parts whose component is farther than its nearest by at most this share of the nearest's distance.
-MARGIN = 0.25
+#: Rows of a part, about; dimensions after the reduction; rows on which the coarse mixture is started (at least 8 per component); rounds of both mixtures.
+PART_ROWS, REDUCED, START_ROWS, ROUNDS = 4_000, 24, 8_192, 6
+#: Neighbours among the representatives that link clusters of different parts, and lists probed for them.
+LINKS, PROBES = 16, 12
 #: A part of more than so many times PART_ROWS is divided further, at most so often.
 OVERSIZED, DIVISIONS = 3, 6
 #: Weight of the regularisation: a component's variance is drawn towards this share of the part's variance.
@@ -86,8 +87,8 @@ def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _start_means(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...], count: int) -> np.ndarray:
-    """Means to start from: cells of a bounded sample, the START_ROWS rows with the smallest hashes."""
-    start = rows.orderBy(F.xxhash64("key")).limit(START_ROWS).select("u").collect()
+    """Means to start from: cells of a bounded sample, the rows with the smallest hashes."""
+    start = rows.orderBy(F.xxhash64("key")).limit(max(START_ROWS, 8 * count)).select("u").collect()
     z = _reduce(np.frombuffer(b"".join(bytes(r.u) for r in start), np.float32).reshape(-1, dim), reduction)
     middle = z.mean(0)
     length = np.linalg.norm(z - middle, axis=1, keepdims=True)
@@ -286,11 +287,8 @@ def find_clusters(df: DataFrame, key: str, vector: str, dim: int, threshold: flo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = np.sqrt(_square_distances(_reduce(_units(batch.column(1), dim), reduction), means))
-            i, p = np.nonzero(d <= d.min(1, keepdims=True) * (1 + MARGIN))
-            take = pa.array(i)
-            home = pa.array(d.argmin(1)[i] == p)
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), home], ["part", "key", "u", "home"])
+            d = _square_distances(_reduce(_units(batch.column(1), dim), reduction), means)
+            yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1).astype(np.int32)), batch.column(0), batch.column(1)], ["part", "key", "u"])
 
     def mixtures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
@@ -307,39 +305,40 @@ def find_clusters(df: DataFrame, key: str, vector: str, dim: int, threshold: flo
             np.minimum.at(smallest, cluster, np.arange(len(u)))  # rows are sorted by key
             keys = mine["key"].combine_chunks()
             named = pa.array([f"{p}/{c}" for c in component])
-            yield pa.RecordBatch.from_arrays([keys, keys.take(pa.array(smallest[cluster])), named, pa.array(density), mine["home"].combine_chunks()], ["key", "cluster", "component", "density", "home"])
-
-    dealt = distinct.select("key", "u").mapInArrow(deal, f"part int, key {kind}, u binary, home boolean").repartitionById(count, F.col("part"))
-    found = materialize(dealt.mapInArrow(mixtures, schema + ", home boolean"), "mixtures")
-    labels = merge_shared(found.select("key", "cluster")) if count > 1 else None
-    own = found.where("home").drop("home")
-    if labels is not None:
-        own = own.join(labels.select("cluster", F.col("label")), "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label")
+            # the first by density of each cluster represents it in the search across parts
+            order = np.lexsort((np.arange(len(u)), -density, cluster))
+            leads = np.zeros(len(u), bool)
+            leads[order[np.concatenate([[True], cluster[order][1:] != cluster[order][:-1]])]] = True
+            vectors = pa.array([x if y else None for x, y in zip(list(u), leads.tolist(), strict=True)], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([keys, keys.take(pa.array(smallest[cluster])), named, pa.array(density), vectors], ["key", "cluster", "component", "density", "lead"])
+
+    dealt = distinct.select("key", "u").mapInArrow(deal, f"part int, key {kind}, u binary").repartitionById(count, F.col("part"))
+    found = materialize(dealt.mapInArrow(mixtures, schema + ", lead array<float>"), "mixtures")
+    own = found.drop("lead")
+    if count > 1:
+        leads = found.where(F.col("lead").isNotNull()).select("cluster", "lead")
+        labels = merge_linked(nearest(leads, "cluster", "lead", dim, k=LINKS, floor=threshold, probes=PROBES).select(F.col("key_a").alias("cluster"), F.col("key_b").alias("low")))
+        own = own.join(labels, "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label")
     own = own.join(distinct.select("key", "h1", "h2"), "key").select("cluster", "component", "density", "h1", "h2")
     return names.join(own, ["h1", "h2"]).select(F.col("key").alias(key), "cluster", "component", "density")
 
 
-def merge_shared(members: DataFrame) -> DataFrame | None:
-    """Rows (cluster, label) for clusters that share members with others: the smallest name in each connected set. None if there are none.
+def merge_linked(links: DataFrame) -> DataFrame:
+    """Rows (cluster, label) for clusters with links (cluster, low): the smallest name in each connected set.
 
-    Each round every link's two ends take the smaller of their labels; the links are those between the smallest and the
-    other names of a shared row, so a set of clusters is done after a few rounds. The links stay distributed.
+    Each round a link's two ends take the smaller of their labels, until nothing changes; as the members of a set are
+    linked nearly all with each other, that takes a few rounds. Links and labels stay distributed.
     """
-    low = members.groupBy("key").agg(F.min("cluster").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    links = members.join(low, "key").where(F.col("cluster") != F.col("low")).select("cluster", "low").distinct()
     links = materialize(links, "links")
-    if links.isEmpty():
-        return None
     both = links.unionByName(links.select(F.col("low").alias("cluster"), F.col("cluster").alias("low")))
-    labels = both.groupBy("cluster").agg(F.least(F.min("low"), F.col("cluster")).alias("label"))
-    labels = materialize(labels, "labels")
+    labels = materialize(both.groupBy("cluster").agg(F.least(F.min("low"), F.col("cluster")).alias("label")), "labels")
     while True:
         around = both.join(labels.select(F.col("cluster").alias("low"), F.col("label").alias("theirs")), "low").groupBy("cluster").agg(F.min("theirs").alias("theirs"))
         fresh = labels.join(around, "cluster").select("cluster", F.least("label", "theirs").alias("label"), (F.col("theirs") < F.col("label")).alias("moved"))
         fresh = materialize(fresh, "labels")
-        if fresh.where("moved").isEmpty():
-            return fresh.select("cluster", "label")
         labels = fresh.select("cluster", "label")
+        if fresh.where("moved").isEmpty():
+            return labels
 
 
 def group_pairs(clusters: DataFrame, key: str, least: int = 5) -> DataFrame:
