@@ -48,8 +48,8 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     false if even max_repeats copies of each document hold fewer tokens than wanted. Targets without documents have 0
     tokens; targets with a null source, share or repeats are left out. Of targets that fold to one source, the first by name holds.
     """
-    by_source = sizes.groupBy("key").agg(F.sum("n_tokens").alias("tokens"))
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("corpus_tokens"))
+    by_source = materialize(sizes.groupBy("key").agg(F.sum("n_tokens").alias("tokens")), "sources")  # the corpus is read once
+    total = by_source.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("corpus_tokens"))
     wanted = targets.where(F.col("source").isNotNull() & F.col("target_share").isNotNull() & F.col("max_repeats").isNotNull())
     wanted = wanted.select(folded(F.col("source")).alias("key"), F.struct("source", "target_share", "max_repeats").alias("t"))
     wanted = wanted.groupBy("key").agg(F.min("t").alias("t")).select("key", "t.*")
