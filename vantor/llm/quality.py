@@ -52,9 +52,11 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _STOP = re.compile(r"[.!?。！？…][\"'”’»)\]]*(?=\s|$|[぀-鿿])")
 _BULLET = re.compile(r"\s*(?:[-*+•·–—▪◦‣]\s|\(?\d{1,3}[.)]\s|\[[^\]]{1,12}\]|[a-z][.)]\s)")
 _QUOTE = re.compile(r"\s*(?:>+\s|#+\s|[QA]:\s)")
-_CODE = re.compile(r"[{}();=<>\[\]\\]|::|->|=>|--|\b(?:def|fn|let|use|return|import|class|for|if|SELECT|INSERT|CREATE|FROM|WHERE|JOIN|const|var|public|void|assert\w*)\b")
-_COLUMNS = re.compile(r"\||\t|;|,|\s{2,}")
-_HARSH = re.compile(r"[bcdfghjklmnpqrstvwxzß]{5,}|[aeiouy]{4,}", re.I)
+_CODE = re.compile(r"[{}();=<>\[\]\\]|::|->|--")
+_CODE_WORDS = frozenset("def fn let use return import class for if select insert create from where join const var public void assert assert_eq".split())
+_GAPS = re.compile(r"\s{2,}")
+_FIELDS = re.compile(r"[^\s|;,\t]+")
+_HARSH = re.compile(r"[bcdfghjklmnpqrstvwxzß]{5,}|[aeiouy]{4,}")
 _EASTERN = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _DAMAGE = re.compile(r"[ÃÂ][\u0080-ÿ€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œ]|â€|â‚¬|[�←-⇿─-▟-\x00-\x08\x0e-\x1f]")
 _NUMBER = re.compile(r"^[+\-]?[\d.,:/%x]*\d[\d.,:/%]*$")
@@ -71,14 +73,36 @@ def _bin(value: float, edges: tuple[float, ...]) -> int:
 SIZES = (7, 5, 5, 6, 6, 6, 6, 6, 6, 5, 4, 5, 4, 5)
 
 
+class _Kinds(dict):
+    """Character -> s (white space), d (digit), a (letter), p (ordinary punctuation), y (symbol), filled as characters come."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = "s" if c.isspace() else "d" if c.isdigit() else "a" if c.isalnum() else "p" if c in ".,!?'’\"-“”。，、！？" else "y"
+        self[code] = kind
+        return kind
+
+
+_KIND = _Kinds()
+
+
 def observe(line: str) -> tuple[int, ...]:
     """The binned statistics of a line: common words, end, sentence ends, start, digits, symbols, words, columns, word length, repetition, damage, code marks, unpronounceable words, fields that are numbers."""
+    return look(line)[0]
+
+
+def look(line: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The binned statistics of a line, and its counts: characters that aren't white space, words, their characters, common words, symbols and punctuation, digits."""
     text = line.strip()
     n = len(text)
-    words = _WORD.findall(text)
-    east = len(_EASTERN.findall(text))
-    k = len(words)
-    if east * 2 > sum(map(len, words)):
+    lower = text.lower()
+    words = _WORD.findall(lower if text.isascii() else lower.replace("’", "'"))
+    kinds = text.translate(_KIND)
+    n_digits, n_symbols, letters = kinds.count("d"), kinds.count("y"), sum(map(len, words))
+    plain = text.isascii()
+    east = 0 if plain else len(_EASTERN.findall(text))
+    k, n_common = len(words), 0
+    if east * 2 > letters or (east == 0 and k == 0):
         units = east / 2.0
         common = sum(c in _EAST for c in text) / max(1, east)
         common_bin = 1 if east == 0 else 1 + _bin(common, (0.0, 0.08, 0.16, 0.3))
@@ -89,16 +113,16 @@ def observe(line: str) -> tuple[int, ...]:
             distinct = _bin(len(set(pairs)) / len(pairs), (0.2, 0.4, 0.6))
     else:
         units = float(k)
-        low = [w.lower().replace("’", "'") for w in words]
-        hurt = sum(bool(_DAMAGE.search(f)) for f in text.split()) if _DAMAGE.search(text) else 0
-        known = sum(w in _COMMON for w in low) * (1 - min(1.0, 2 * hurt / max(1, k)))
-        if sum(map(len, words)) <= 1.5 * k:  # single letters are no words
+        hurt = 0 if plain or not _DAMAGE.search(text) else sum(bool(_DAMAGE.search(f)) for f in text.split())
+        n_common = len([w for w in words if w in _COMMON])
+        known = n_common * (1 - min(1.0, 2 * hurt / max(1, k)))
+        if letters <= 1.5 * k:  # single letters are no words
             known = 0
         common_bin = 0 if not k else 1 + _bin(known / k, (0.0, 0.1, 0.2, 0.32, 0.45))
-        mean = _bin(sum(map(len, words)) / k, (1.5, 3.0, 4.6, 6.0, 8.0)) if k else 5
-        distinct = 4 if k < 8 else _bin(len(set(low)) / k, (0.25, 0.5, 0.7))
-        long = [w for w in low if len(w) > 3]
-        harsh = _bin(sum(bool(_HARSH.search(w)) for w in long) / len(long), (0.0, 0.15, 0.35)) if long else 0
+        mean = _bin(letters / k, (1.5, 3.0, 4.6, 6.0, 8.0)) if k else 5
+        distinct = 4 if k < 8 else _bin(len(set(words)) / k, (0.25, 0.5, 0.7))
+        long = len([w for w in words if len(w) > 3])
+        harsh = _bin(min(1.0, len(_HARSH.findall(lower)) / long), (0.0, 0.15, 0.35)) if long else 0
     last = text[-1]
     end = 0 if last in ".!?。！？…\"”’»)" else 1 if last in ",;:，、；：" else 2 if last.isalpha() else 3 if last.isdigit() else 4
     stops = len(_STOP.findall(text))
@@ -111,17 +135,20 @@ def observe(line: str) -> tuple[int, ...]:
         start = 2
     else:
         start = 3 if text[0].isupper() or _EASTERN.match(text) else 4 if text[0].isalpha() else 5
-    digits = _bin(sum(c.isdigit() for c in text) / n, (0.0, 0.04, 0.12, 0.25, 0.45))
-    symbols = _bin(sum(not (c.isalnum() or c.isspace() or c in ".,!?'’\"-“”。，、！？") for c in text) / n, (0.0, 0.02, 0.06, 0.12, 0.25))
+    digits = _bin(n_digits / n, (0.0, 0.04, 0.12, 0.25, 0.45))
+    symbols = _bin(n_symbols / n, (0.0, 0.02, 0.06, 0.12, 0.25))
     words_bin = _bin(units, (0.0, 2.0, 4.0, 7.0, 14.0))
-    columns = max((text.count(c) for c in ("|", "\t", ";")), default=0) + sum(len(m) > 1 and m.isspace() for m in _COLUMNS.findall(text))
+    columns = max(text.count("|"), text.count("\t"), text.count(";")) + (len(_GAPS.findall(text)) if "  " in text or "\t" in text else 0)
     commas = text.count(",")
     columns_bin = _bin(columns / max(1.0, units), (0.0, 0.08, 0.3)) if columns else 4 if commas and commas >= 0.5 * max(1.0, units) else 5 if commas else 0
-    marks = _bin(len(_CODE.findall(text)) / max(1.0, units), (0.0, 0.06, 0.2, 0.5))
-    damage = _bin(len(_DAMAGE.findall(text)) / n, (0.0, 0.005, 0.03))
-    fields = [f for f in re.split(r"[\s|;,\t]+", text) if f]
-    numbers = _bin(sum(bool(_NUMBER.match(f)) for f in fields) / len(fields), (0.0, 0.1, 0.3, 0.6)) if fields else 4
-    return common_bin, end, stop_bin, start, digits, symbols, words_bin, columns_bin, mean, distinct, damage, marks, harsh, numbers
+    code = len(_CODE.findall(text)) if n_symbols or "--" in text or "->" in text else 0
+    marks = _bin((code + len([w for w in words if w in _CODE_WORDS])) / max(1.0, units), (0.0, 0.06, 0.2, 0.5))
+    damage = 0 if plain and text.isprintable() else _bin(len(_DAMAGE.findall(text)) / n, (0.0, 0.005, 0.03))
+    fields = _FIELDS.findall(text)
+    numeric = len([1 for f in fields if _NUMBER.match(f)]) if n_digits else 0
+    numbers = _bin(numeric / len(fields), (0.0, 0.1, 0.3, 0.6)) if fields else 4
+    bins = common_bin, end, stop_bin, start, digits, symbols, words_bin, columns_bin, mean, distinct, damage, marks, harsh, numbers
+    return bins, (n - kinds.count("s"), k, letters, n_common, n_symbols + kinds.count("p"), n_digits)
 
 
 def stretches(text: str) -> list[str]:
@@ -227,6 +254,8 @@ $%&*#@!!~~^^<<>>||
 _KINDS = [(name, kind.split("\n")) for name in STATES for kind in _EXAMPLES[name].split("\n\n")]
 #: The label of each state of the model.
 _LABEL = np.array([STATES.index(name) for name, _ in _KINDS])
+_LABEL_OF = (_LABEL[:, None] == np.arange(len(STATES))).astype(float)
+_ENDS = ".!?。！？…\"”’»"
 _EXAMPLE_WEIGHT, _SMOOTH = 2.0, 0.4
 
 
@@ -261,15 +290,24 @@ def posteriors(seen: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray
         score = score + hint
     like = np.exp(score - score.max(1, keepdims=True)) + 1e-12
     n = len(like)
+    if n == 1:
+        gamma = (first * like[0])[None]
+        return gamma / gamma.sum(), np.zeros(change.shape)
     ahead, back = np.empty_like(like), np.ones_like(like)
     at = first * like[0]
-    ahead[0] = at / at.sum()
+    at /= at.sum()
+    ahead[0] = at
+    dot, total = np.dot, np.add.reduce
     for i in range(1, n):
-        at = (ahead[i - 1] @ change) * like[i]
-        ahead[i] = at / at.sum()
+        at = dot(at, change) * like[i]
+        at /= total(at)
+        ahead[i] = at
+    turn = change.T.copy()
+    at = back[n - 1]
     for i in range(n - 2, -1, -1):
-        at = change @ (back[i + 1] * like[i + 1])
-        back[i] = at / at.sum()
+        at = dot(at * like[i + 1], turn)
+        at /= total(at)
+        back[i] = at
     gamma = ahead * back
     gamma /= gamma.sum(1, keepdims=True)
     moves = np.zeros(change.shape)
@@ -296,11 +334,6 @@ def fit(judged: list[tuple[np.ndarray, str]]) -> tuple[np.ndarray, np.ndarray, n
     return model
 
 
-def _observed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    lines = stretches(text)
-    return np.array([observe(x) for x in lines], np.int64).reshape(-1, len(SIZES)), np.array([sum(not c.isspace() for c in x) for x in lines], np.float64)
-
-
 def judged_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, str]]:
     """Statistics and labels of at most MAX_JUDGED judged documents, drawn by a hash of doc_id.
 
@@ -331,19 +364,17 @@ _FIGURES = ["n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_rat
 def figures(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float | None, ...]:
     if text is None:
         return (None,) * len(_FIGURES)
-    seen, weight = _observed(text)
-    if not len(seen):
+    looks = [look(x) for x in stretches(text)]
+    if not looks:
         return (len(text), 0, None, None, None, 0, None, None, *(None,) * len(STATES))
-    label = (posteriors(seen, model)[0] @ (_LABEL[:, None] == np.arange(len(STATES)))).argmax(1)
-    shares = np.bincount(label, weights=weight, minlength=len(STATES)) / weight.sum()
-    words = _WORD.findall(text)
-    solid = sum(not c.isspace() for c in text)
-    symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
-    whole = [x.rstrip() for x in _BREAKS.split(text) if x.strip()]
+    seen, counts = np.array([x[0] for x in looks], np.int64), np.array([x[1] for x in looks], np.float64)
+    label = (posteriors(seen, model)[0] @ _LABEL_OF).argmax(1)
+    solid, words, letters, common, symbols, digits = counts.sum(0)
+    shares = np.bincount(label, weights=counts[:, 0], minlength=len(STATES)) / solid
+    whole = [x.rstrip() for x in _BREAKS.split(text) if x and not x.isspace()]
     return (
-        len(text), len(words), sum(map(len, words)) / len(words) if words else None, symbols / solid, sum(c.isdigit() for c in text) / solid,
-        len(whole), sum(x[-1] in ".!?。！？…\"”’»" for x in whole) / len(whole),
-        sum(w.lower() in _COMMON for w in words) / len(words) if words else None, *map(float, shares),
+        len(text), int(words), letters / words if words else None, symbols / solid, digits / solid,
+        len(whole), len([x for x in whole if x[-1] in _ENDS]) / len(whole), common / words if words else None, *map(float, shares),
     )
 
 
