@@ -68,3 +68,24 @@ def folded(text: Column) -> Column:
 def hot_limit(total: int, least: int, groups: int = 1000) -> int:
     """Rows from which on a group counts as hot: at most `groups` groups can reach it, so a table of them is bounded."""
     return max(least, total // groups)
+
+
+def numbered(df: DataFrame, order: list[str], start: int = 0, out: str = "number") -> DataFrame:
+    """df with consecutive numbers from start + 1 in the order of the columns, without a task that holds all rows.
+
+    Rows are range-partitioned and sorted; a row's number is its position in its partition plus the sizes of the
+    partitions before. The order must be total for the numbers to be reproducible.
+    """
+    keys = [F.asc(c) for c in order]
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    rows = materialize(rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "numbered")
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy("_part").count().collect())  # one row per partition
+    shifts, total = [], start
+    for part, size in sizes:
+        shifts.append((part, total + 1))
+        total += size
+    if not shifts:
+        return df.withColumn(out, F.lit(None).cast("bigint")).limit(0)
+    shift = df.sparkSession.createDataFrame(shifts, "_part int, _shift bigint")
+    return rows.join(F.broadcast(shift), "_part").withColumn(out, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")

@@ -96,19 +96,26 @@ class VersionedTable:
         rows = self._visible(m, sorted(m.files))
         return self.spark.createDataFrame([], m.schema) if rows is None else rows.drop("_file", "_row")
 
-    def commit(self, added: DataFrame | None = None, delete: Column | None = None, base: int | None = None, properties: dict[str, object] | None = None) -> int:
+    def commit(
+        self, added: DataFrame | None = None, delete: Column | None = None, base: int | None = None, properties: dict[str, object] | None = None, delete_keys: DataFrame | None = None
+    ) -> int:
         """Writes the next version: without the rows for which `delete` is true, with the rows `added`. Returns its number.
 
+        delete_keys: a table with one row per key (columns of the table); rows with such a key are deleted.
+
         base: the version it must follow, else Conflict. Deleted rows are listed in a new deletion vector per commit
         that also repeats what the touched files hid before; a file of which no row is left is removed. properties are
         saved in the same manifest, hence with the data or not at all; those of older versions hold on until replaced.
         """
         m = self.manifest(base)
         files = dict(m.files)
-        if delete is not None and files:
+        if (delete is not None or delete_keys is not None) and files:
             rows = self._visible(m, sorted(files))
             name = uuid.uuid4().hex
-            hit = rows.where(delete).select("_file", "_row")
+            hit = rows if delete is None else rows.where(delete)
+            if delete_keys is not None:
+                hit = hit.join(delete_keys, delete_keys.columns, "left_semi")
+            hit = hit.select("_file", "_row")
             hit.write.parquet(f"{self.path}/deleted/{name}-new")
             hit = self._hidden([f"{name}-new"])
             touched = sorted(r[0] for r in hit.select("_file").distinct().collect())  # file names of the table, as in the manifest
@@ -126,15 +133,23 @@ class VersionedTable:
                         files[f] = name
         schema = m.schema
         if added is not None:
-            schema = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added.schema)
-            name = uuid.uuid4().hex
-            added.write.parquet(f"{self.path}/data/{name}")
-            for status in self._fs.listStatus(self._at("data", name)):
-                if (file := status.getPath().getName()).endswith(".parquet"):
-                    files[f"{name}/{file}"] = None
+            schema = schema or _schema(added)
+            files |= self._write(added)
         self._put(Manifest(m.version + 1, schema, files, m.properties | (properties or {})))
         return m.version + 1
 
+    def replace(self, rows: DataFrame, base: int | None = None, properties: dict[str, object] | None = None) -> int:
+        """Writes the next version, which holds just these rows."""
+        m = self.manifest(base)
+        self._put(Manifest(m.version + 1, m.schema or _schema(rows), self._write(rows), m.properties | (properties or {})))
+        return m.version + 1
+
+    def _write(self, rows: DataFrame) -> dict[str, str | None]:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{name}")
+        files = [s.getPath().getName() for s in self._fs.listStatus(self._at("data", name))]
+        return {f"{name}/{f}": None for f in files if f.endswith(".parquet")}
+
     def changes(self, since: int, until: int | None = None) -> DataFrame:
         """Rows with _change "insert" or "delete" that lead from one version to another, from the manifests' difference.
 
@@ -163,6 +178,10 @@ class VersionedTable:
         return out.drop("_file", "_row")
 
 
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def run_incremental(source: VersionedTable, target: VersionedTable, transform: Callable[[DataFrame], DataFrame], name: str = "source") -> int:
     """One run over what changed in `source` since the last run that was committed to `target`; returns the source version now covered.
 
