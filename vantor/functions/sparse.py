@@ -48,7 +48,7 @@ class Sparse:
         return cls(int(m[2]), tuple(i for i, _ in pairs), tuple(v for _, v in pairs))
 
     def __str__(self) -> str:
-        return "{" + ",".join(f"{i}:{v:g}" for i, v in zip(self.indices, self.values, strict=True)) + f"}}/{self.dims}"
+        return "{" + ",".join(f"{i}:{v!r}".removesuffix(".0") for i, v in zip(self.indices, self.values, strict=True)) + f"}}/{self.dims}"
 
     def column(self) -> Column:
         indices = F.array(*(F.lit(i) for i in self.indices)).cast("array<int>")
@@ -181,7 +181,7 @@ def distance(metric: str, a: Operand, b: Operand) -> Column:
 def compare(a: Column, b: Column) -> Column:
     """By entries (index, value) from the first on, then fewer entries first, then fewer dimensions."""
     left, right = (F.struct(F.zip_with(v["indices"], v["values"], lambda i, x: F.struct(i.alias("i"), x.alias("x"))).alias("e"), v["dims"].alias("d")) for v in (a, b))
-    return vectors.compare(left, right)
+    return F.when(a.isNotNull() & b.isNotNull(), vectors.compare(left, right))
 
 
 def literal(v: Sparse | str | Sequence[float]) -> Sparse:

@@ -50,7 +50,7 @@ def aggregate_vectors(df: DataFrame, keys: list[str], vector: str, how: str = "a
         whole = whole.select(*renamed, "_v")
         on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
         joined = sizes.join(whole, on, "left") if on else sizes.crossJoin(whole)  # one row each
-        done = joined.select(*keys, F.transform("_v", lambda x: _finish(x, F.col("_n"), how)).alias(out))
+        done = joined.select(*keys, F.when(F.col("_n") > 0, F.transform("_v", lambda x: _finish(x, F.col("_n"), how))).alias(out))
     return done.withColumn(out, F.transform(out, round_half)) if half else done
 
 
