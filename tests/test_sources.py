@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantor.errors import Conflict, Corrupt, Duplicate, InvalidParameter, NotReady, UnknownTable
-from vantor.operators import ann, incremental
+from vantor.operators import ann, batch, incremental
 from vantor.runtime import numbered
 from vantor.sources.jobs import Artifacts, BuildJobs, decode_segment, encode_segment
 from vantor.sources.versioned import VersionedTable, run_incremental
@@ -134,6 +134,23 @@ def test_index(spark, tmp_path):
         none.search(q.tolist(), 1)
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+def test_batch_nearest(spark, metric):
+    g = np.random.default_rng(3)
+    x = np.round(g.normal(size=(300, 5)), 1) + 0.01
+    x[50:60] = x[0]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (None, [1.0] * 5)], "id long, v array<double>")
+    got = batch.batch_nearest(df, df.where("id % 10 = 0"), "id", "v", 5, 4, metric, True, row_block=70, query_block=9)
+    mine = {(r["query_id"], r["place"]): r["point_id"] for r in got.collect()}
+    for i in range(0, 300, 10):
+        s = {"l2": ((x - x[i]) ** 2).sum(1), "cosine": -(x @ x[i]) / np.linalg.norm(x, axis=1), "inner_product": -(x @ x[i])}[metric]
+        want = [j for j in np.lexsort((np.arange(300), np.round(s, 9))) if j != i][:4]
+        assert [mine[i, p] for p in range(1, 5)] == want
+    assert batch.batch_nearest(df.limit(0), df, "id", "v", 5, 4).collect() == []
+    with pytest.raises(InvalidParameter):
+        batch.batch_nearest(df, df, "id", "v", 5, 0)
+
+
 def test_build_jobs(spark):
     jobs = BuildJobs(spark)
     a = jobs.start("c", "index", "i", "v", 10)

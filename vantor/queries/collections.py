@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.operators import ann, fusion, mutations, operations, search, text
+from vantor.operators import ann, batch, fusion, mutations, operations, search, text
 from vantor.plans import query
 from vantor.plans.filters import Compiler, Field
 from vantor.queries.vectors import CUT, l1, q_sql, query_vector, sparse_column, sparse_query
@@ -273,15 +273,9 @@ def _index_quantized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _batch_knn(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest of all vectors for every 50th one: the queries as constants of a written-out scan would be many, so a blocked join with the bounded query set."""
+    """The five nearest of all vectors for every 50th one."""
     rows = table(spark, d, "embeddings")
-    queries = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    both = rows.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    from vantor.functions.vectors import l2_distance
-
-    scored = both.select("query_id", F.col("vec_id").alias("point_id"), l2_distance(F.col("embedding"), F.col("q")).alias("score"))
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "point_id"))).where(F.col("place") <= 5)
-    return _rounded(best)
+    return _rounded(batch.batch_nearest(rows, rows.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 64, 5, exclude_self=True))
 
 
 def _lineitem_scan(spark: SparkSession, d: str) -> DataFrame:
