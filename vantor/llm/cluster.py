@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vantor.llm.knn import fit_centroids, nearest, unit, unpack
 from vantor.llm.topn import top_n
-from vantor.runtime import folded, materialize
+from vantor.runtime import discard, folded, materialize
 
 THRESHOLD, TYPICAL = 0.85, 5
 #: Rows of a part, about; dimensions after the reduction; rows on which the coarse mixture is started (at least 8 per component); rounds of both mixtures.
@@ -335,7 +335,8 @@ def merge_linked(links: DataFrame) -> DataFrame:
     while True:
         around = both.join(labels.select(F.col("cluster").alias("low"), F.col("label").alias("theirs")), "low").groupBy("cluster").agg(F.min("theirs").alias("theirs"))
         fresh = labels.join(around, "cluster").select("cluster", F.least("label", "theirs").alias("label"), (F.col("theirs") < F.col("label")).alias("moved"))
-        fresh = materialize(fresh, "labels")
+        fresh, old = materialize(fresh, "labels"), labels
+        discard(old)
         labels = fresh.select("cluster", "label")
         if fresh.where("moved").isEmpty():
             return labels

@@ -114,12 +114,31 @@ _FUSED = f"""
     row_number() OVER (PARTITION BY query_id ORDER BY (k = of_branches AND worst <= 2) DESC, score DESC, point_id) AS place FROM s"""
 
 
+def _unit(table: str, key: str, column: str, dims: int) -> str:
+    """Usable vectors, one per key."""
+    ok = f"len({column}) = {dims} AND len(list_filter({column}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({column}, lambda x: x <> 0)) > 0"
+    return f"(SELECT {key} AS k, any_value({column}::DOUBLE[]) AS v FROM {table} WHERE {key} IS NOT NULL AND CASE WHEN {column} IS NULL THEN FALSE ELSE {ok} END GROUP BY 1)"
+
+
+def _near(where: str, floor: float) -> str:
+    parts = []
+    for column, t, key, dims in _VECTORS:
+        u = _unit(t, key, column, dims)
+        parts.append(f"""SELECT '{column}' AS field, a.k AS key_a, b.k AS key_b, list_cosine_similarity(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.k ORDER BY s DESC, b.k) AS place
+          FROM (SELECT * FROM {u} WHERE {where}) a JOIN {u} b ON a.k <> b.k WHERE list_cosine_similarity(a.v, b.v) >= {floor} QUALIFY place <= 5""")
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     breaks = " \\t\\r\\n.!?;。！？；"
     return {
         # DuckDB's regular expressions allow at most 1,000 repeats, so the longest run is measured instead
         "p1_found": f"""SELECT id, CASE WHEN max(list_max(list_transform(regexp_split_to_array(body, '[{breaks}]'), lambda r: length(r)))) > 1500
           THEN 'forced' ELSE 'natural' END AS kind FROM source_docs WHERE length(body) > 1500 GROUP BY id""",
+        "p2_found": f"""WITH u AS {_unit("source_docs", "id", "embedding", 64)}, g AS (SELECT a.k, min(b.k) AS low FROM u a JOIN u b ON list_cosine_similarity(a.v, b.v) >= 0.85 GROUP BY 1)
+          SELECT low AS id_a, k AS id_b FROM g QUALIFY count(*) OVER (PARTITION BY low) >= 5 AND k <> low""",
+        "p3_found": f"SELECT DISTINCT field, least(key_a, key_b) AS key_a, greatest(key_a, key_b) AS key_b FROM ({_near('TRUE', 0.85)})",
+        "p3_neighbours": f"SELECT field, key_a, key_b, round(s, 9) AS similarity, place::INT AS place FROM ({_near('k % 50 = 0', -2)})",
         "p5_found": f"SELECT category, point_id FROM ({_TOP}) WHERE place <= 10",
         "p5_top": f"SELECT category, point_id, score, place FROM ({_TOP}) WHERE place <= 10",
         "p6_found": f"""SELECT query_id, point_id FROM ({_FUSED}) WHERE agreed AND of_branches >= 2
