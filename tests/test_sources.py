@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantor.errors import Conflict, Corrupt, Duplicate, InvalidParameter, NotReady, UnknownTable
-from vantor.operators import ann, batch, incremental
+from vantor.operators import ann, batch, graph, incremental
 from vantor.runtime import numbered
 from vantor.sources.jobs import Artifacts, BuildJobs, decode_segment, encode_segment
 from vantor.sources.versioned import VersionedTable, run_incremental
@@ -151,6 +151,35 @@ def test_batch_nearest(spark, metric):
         batch.batch_nearest(df, df, "id", "v", 5, 0)
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_graph(spark, tmp_path, metric):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(900, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "id long, v array<float>")
+    index = graph.GraphIndex.build(df, "id", "v", 12, metric, f"file://{tmp_path}/g", m=12, ef_construction=48, shard_rows=400)
+    far = lambda q: ((x - q) ** 2).sum(1) if metric == "l2" else -(x @ q) / np.linalg.norm(x, axis=1)
+    hits = 0
+    for i in range(0, 900, 90):
+        q = x[i] + 0.05
+        want = np.argsort(far(q)).tolist()
+        hits += len({r[0] for r in index.search(q.tolist(), 10, 64).collect()} & set(want[:10]))
+    assert hits >= 95  # recall of 0.95
+    few = {r[0] for r in index.search(q.tolist(), 10, 64, spark.range(0, 900, 9)).collect()}
+    assert len(few & set([i for i in want if i % 9 == 0][:10])) >= 9 and all(i % 9 == 0 for i in few)
+    index.remove(spark.createDataFrame([(want[0],), (want[1],)], "id long"))
+    assert index.search(q.tolist(), 1).first()[0] == want[2]
+    index.add(spark.createDataFrame([(5000, q.tolist())], "id long, v array<float>"), "id", "v")
+    assert [r[0] for r in index.search(q.tolist(), 2).collect()] == [5000, want[2]]
+    index.compact()
+    assert [r[0] for r in index.search(q.tolist(), 2).collect()] == [5000, want[2]]
+    assert tuple(index.status().first())[::2] == ("ready", 899)
+    assert graph.GraphIndex(spark, f"file://{tmp_path}/none").status().first()["status"] == "index_not_ready"
+    with pytest.raises(Corrupt):
+        graph.ShardGraph.load(graph.encode_segment("graph", b"x")[:-1], metric)
+    with pytest.raises(InvalidParameter):
+        graph.GraphIndex.build(df, "id", "v", 12, metric, f"file://{tmp_path}/g")
+
+
 def test_build_jobs(spark):
     jobs = BuildJobs(spark)
     a = jobs.start("c", "index", "i", "v", 10)

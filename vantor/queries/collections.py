@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.operators import ann, batch, fusion, mutations, operations, search, text
+from vantor.operators import ann, batch, fusion, graph, mutations, operations, search, text
 from vantor.plans import query
 from vantor.plans.filters import Compiler, Field
 from vantor.queries.vectors import CUT, l1, q_sql, query_vector, sparse_column, sparse_query
@@ -272,6 +272,23 @@ def _index_quantized(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_index(spark, d).search_quantized(query_vector(spark, d), 10, 100, probes=10_000))
 
 
+def _graph(spark: SparkSession, d: str) -> graph.GraphIndex:
+    path = f"{shared_dir(spark)}/vantor-graph-{uuid.uuid4().hex}"
+    return graph.GraphIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding", 64, "cosine", path, shard_rows=500)
+
+
+def _graph_search(spark: SparkSession, d: str) -> DataFrame:
+    """A beam as wide as a shard finds the exact result."""
+    return _rounded(_graph(spark, d).search(query_vector(spark, d), 10, ef=500))
+
+
+def _graph_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Only points of some labels, after some were removed."""
+    rows, index = table(spark, d, "embeddings"), _graph(spark, d)
+    index.remove(rows.where(F.col("vec_id") % 4 == 0).select("vec_id"))
+    return _rounded(index.search(query_vector(spark, d), 10, ef=500, allowed=rows.where(F.col("label") < 3).select("vec_id")))
+
+
 def _batch_knn(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of all vectors for every 50th one."""
     rows = table(spark, d, "embeddings")
@@ -310,7 +327,7 @@ QUERIES = {
     "scroll": _scroll, "recommend": _recommend, "discover": _discover, "lookup": _lookup, "full_text": _full_text, "full_text_terms": _full_text_terms, "hybrid_text": _hybrid_text,
     "hybrid_sparse": _hybrid_sparse, "plan_weighted": _plan_weighted, "plan_formula": _plan_formula, "plan_explain": _plan_explain, "branch_fusion": _branch_fusion, "visible_points": _visible_points,
     "filter_documents": _filter_docs, "upsert_points": _upsert, "point_ids": _point_ids, "set_payload": _payload, "telemetry": _telemetry, "cohort_stats": _cohorts, "execution_stats": _executions,
-    "recall_by_query": _recall, "index_exact": _index_all, "index_masked": _index_masked, "index_quantized": _index_quantized, "batch_knn": _batch_knn, "lineitem_scan": _lineitem_scan,
+    "recall_by_query": _recall, "index_exact": _index_all, "index_masked": _index_masked, "index_quantized": _index_quantized, "graph_search": _graph_search, "graph_masked": _graph_masked, "batch_knn": _batch_knn, "lineitem_scan": _lineitem_scan,
     "table_versions": _versions, "token_rows": _token_rows,
 }
 
@@ -393,6 +410,8 @@ SQL = {
     "index_exact": _top(20, where="vec_id % 5 <> 0 OR vec_id % 10 = 0").replace("vec_id::VARCHAR AS source_key, ", ""),
     "index_masked": _top(10, where="label = 3").replace("vec_id::VARCHAR AS source_key, ", ""),
     "index_quantized": _top(10).replace("vec_id::VARCHAR AS source_key, ", ""),
+    "graph_search": _top(10).replace("vec_id::VARCHAR AS source_key, ", ""),
+    "graph_masked": _top(10, where="label < 3 AND vec_id % 4 <> 0").replace("vec_id::VARCHAR AS source_key, ", ""),
     "batch_knn": f"""SELECT query_id, point_id, place::INT AS place, round(s, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS point_id, list_distance(b.{_E}, a.{_E}) AS s,
         row_number() OVER (PARTITION BY a.vec_id ORDER BY s, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE place <= 5""",
     "lineitem_scan": """SELECT source_key, round(s, 6) AS score FROM (SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS source_key,
