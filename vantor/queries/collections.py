@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantor.functions.vectors import l2_distance
 from vantor.operators import ann, batch, fusion, graph, mutations, operations, search, text
 from vantor.plans import query
 from vantor.plans.filters import Compiler, Field
@@ -19,35 +20,36 @@ from vantor.sources.versioned import VersionedTable
 _METRICS = ("l2", "inner_product", "cosine", "l1")
 
 
-def catalog(spark: SparkSession, d: str) -> Catalog:
-    """Collections over embeddings (one per metric, "emb" being cosine), documents and events; every row has a point whose id is the row's."""
+def catalog(spark: SparkSession, d: str, *names: str) -> Catalog:
+    """The named collections (all by default): over embeddings one per metric, "emb" being cosine, and events; every row has a point whose id is the row's."""
     out = Catalog(spark)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("_doc"), F.lower("lang").alias("lang"), "tenant_id", "text")
-    emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", sparse_column(F.col("embedding")).alias("terms"), F.format_string('{"label": %d, "half": "%d"}', "label", F.col("label") % 2).alias("metadata"))
-    emb = emb.join(docs, F.col("id") == F.col("_doc"), "left").drop("_doc")
-    out.register_table("embeddings", emb)
-    events = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "value", "props", "ts", F.array(F.col("value").cast("float")).alias("v"))
-    out.register_table("events", events)
-    lines = table(spark, d, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.array(*(F.col(c).cast("float") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))).alias("v"), "l_returnflag", "l_shipdate"
-    )
-    out.register_table("lineitem", lines)
-    for name, metric in (("emb", "cosine"), *((f"emb_{m}", m) for m in _METRICS)):
+    wanted = names or ("emb", *(f"emb_{m}" for m in _METRICS), "events")
+    if wanted != ("events",):
+        docs = table(spark, d, "documents").select(F.col("doc_id").alias("_doc"), F.lower("lang").alias("lang"), "tenant_id", "text")
+        emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", sparse_column(F.col("embedding")).alias("terms"), F.format_string('{"label": %d, "half": "%d"}', "label", F.col("label") % 2).alias("metadata"))
+        out.register_table("embeddings", emb.join(docs, F.col("id") == F.col("_doc"), "left").drop("_doc"))
+    for name in wanted:
+        if name == "events":
+            continue
         out.create_collection(name, "embeddings")
-        out.register_vector(name, "dense", "embedding", 64, metric)
+        out.register_vector(name, "dense", "embedding", 64, "cosine" if name == "emb" else name[4:])
         out.register_sparse_vector(name, "terms", "terms", 64, "inner_product")
         for key in ("label", "lang", "tenant_id", "text"):
             out.register_filter_column(name, key, key)
         out.register_json_path(name, "meta.label", "metadata", ["label"])
         out.register_json_path(name, "meta.half", "metadata", ["half"])
         out.adopt_points(name, emb.select(F.col("id").alias("point_id"), F.col("id").cast("string").alias("source_key"), F.lit(None).alias("deleted_at")))
-    out.create_collection("events", "events")
-    out.register_vector("events", "v", "v", 1, "l2")
-    for key in ("user_id", "event_type", "value", "ts"):
-        out.register_filter_column("events", key, key)
-    out.register_json_path("events", "k", "props", ["k"])
-    out.adopt_points("events", events.select(F.col("id").alias("point_id"), F.col("id").cast("string").alias("source_key"), F.lit(None).alias("deleted_at")))
-    out.create_alias("vectors", "emb")
+    if "emb" in wanted:
+        out.create_alias("vectors", "emb")
+    if "events" in wanted:
+        events = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "value", "props", "ts", F.array(F.col("value").cast("float")).alias("v"))
+        out.register_table("events", events)
+        out.create_collection("events", "events")
+        out.register_vector("events", "v", "v", 1, "l2")
+        for key in ("user_id", "event_type", "value", "ts"):
+            out.register_filter_column("events", key, key)
+        out.register_json_path("events", "k", "props", ["k"])
+        out.adopt_points("events", events.select(F.col("id").alias("point_id"), F.col("id").cast("string").alias("source_key"), F.lit(None).alias("deleted_at")))
     return out
 
 
@@ -56,32 +58,32 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _search(metric: str):
-    return lambda spark, d: _rounded(search.search(catalog(spark, d), f"emb_{metric}", query_vector(spark, d), 10))
+    return lambda spark, d: _rounded(search.search(catalog(spark, d, f"emb_{metric}"), f"emb_{metric}", query_vector(spark, d), 10))
 
 
 def _search_alias(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.search(catalog(spark, d), "vectors", query_vector(spark, d, 3), 25, name="dense"))
+    return _rounded(search.search(catalog(spark, d, "emb"), "vectors", query_vector(spark, d, 3), 25, name="dense"))
 
 
 FILTER = {"must": [{"key": "label", "match": {"any": [1, 3, 5, 7]}}], "must_not": [{"key": "lang", "match": "de"}]}
 
 
 def _search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.search(catalog(spark, d), "emb", query_vector(spark, d), 20, filter=FILTER))
+    return _rounded(search.search(catalog(spark, d, "emb"), "emb", query_vector(spark, d), 20, filter=FILTER))
 
 
 def _search_json(spark: SparkSession, d: str) -> DataFrame:
     f = {"must": [{"key": "meta.label", "range": {"gte": 2, "lt": 6}}], "should": [{"key": "meta.half", "match": "1"}, {"key": "meta.half", "match": 0}]}
-    return _rounded(search.search(catalog(spark, d), "emb", query_vector(spark, d), 20, filter=f))
+    return _rounded(search.search(catalog(spark, d, "emb"), "emb", query_vector(spark, d), 20, filter=f))
 
 
 def _search_candidates(spark: SparkSession, d: str) -> DataFrame:
     ids = spark.range(0, 400, 7)
-    return _rounded(search.search(catalog(spark, d), "emb", query_vector(spark, d), 15, candidates=ids, filter={"must": [{"key": "label", "range": {"gte": 1}}]}))
+    return _rounded(search.search(catalog(spark, d, "emb"), "emb", query_vector(spark, d), 15, candidates=ids, filter={"must": [{"key": "label", "range": {"gte": 1}}]}))
 
 
 def _search_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.search_sparse(catalog(spark, d), "emb", "terms", sparse_query(spark, d), 12, {"must": [{"key": "label", "is_null": False}]}))
+    return _rounded(search.search_sparse(catalog(spark, d, "emb"), "emb", "terms", sparse_query(spark, d), 12, {"must": [{"key": "label", "is_null": False}]}))
 
 
 def _search_inline(spark: SparkSession, d: str) -> DataFrame:
@@ -90,28 +92,28 @@ def _search_inline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.grouped_search(catalog(spark, d), "emb", query_vector(spark, d), "label", 3, 30))
+    return _rounded(search.grouped_search(catalog(spark, d, "emb"), "emb", query_vector(spark, d), "label", 3, 30))
 
 
 def _count(spark: SparkSession, d: str) -> DataFrame:
-    return search.count(catalog(spark, d), "events", {"must": [{"key": "event_type", "match": {"except": ["click"]}}, {"key": "ts", "range": {"gte": "2024-01-15 00:00:00"}}], "must_not": [{"key": "value", "range": {"lt": 10}}]})
+    return search.count(catalog(spark, d, "events"), "events", {"must": [{"key": "event_type", "match": {"except": ["click"]}}, {"key": "ts", "range": {"gte": "2024-01-15 00:00:00"}}], "must_not": [{"key": "value", "range": {"lt": 10}}]})
 
 
 def _count_json(spark: SparkSession, d: str) -> DataFrame:
-    return search.count(catalog(spark, d), "events", {"must": [{"key": "k", "range": {"gte": 20, "lte": 60}}, {"key": "k", "match": {"except": [33, 44]}}]})
+    return search.count(catalog(spark, d, "events"), "events", {"must": [{"key": "k", "range": {"gte": 20, "lte": 60}}, {"key": "k", "match": {"except": [33, 44]}}]})
 
 
 def _facet(spark: SparkSession, d: str) -> DataFrame:
-    return search.facet(catalog(spark, d), "events", "event_type", {"must": [{"key": "value", "range": {"gt": 1}}]}, 10)
+    return search.facet(catalog(spark, d, "events"), "events", "event_type", {"must": [{"key": "value", "range": {"gt": 1}}]}, 10)
 
 
 def _facet_json(spark: SparkSession, d: str) -> DataFrame:
-    return search.facet(catalog(spark, d), "events", "k", None, 25)
+    return search.facet(catalog(spark, d, "events"), "events", "k", None, 25)
 
 
 def _scroll(spark: SparkSession, d: str) -> DataFrame:
-    """Three pages, each from the cursor of the last row of the one before; the cursors are checked by decoding them."""
-    c = catalog(spark, d)
+    """Two pages, the second from the cursor of the last row of the first."""
+    c = catalog(spark, d, "emb")
     first = search.scroll(c, "emb", None, 50)
     after = first.orderBy(F.desc("point_id")).first()["next_cursor"]
     second = search.scroll(c, "emb", after, 50)
@@ -119,15 +121,15 @@ def _scroll(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recommend(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.recommend(catalog(spark, d), "emb_l2", [1, 2, 3], [4, 5], 10))
+    return _rounded(search.recommend(catalog(spark, d, "emb_l2"), "emb_l2", [1, 2, 3], [4, 5], 10))
 
 
 def _discover(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.discover(catalog(spark, d), "emb_l2", [7, 8], 10))
+    return _rounded(search.discover(catalog(spark, d, "emb_l2"), "emb_l2", [7, 8], 10))
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
-    return search.lookup(catalog(spark, d), "emb", [42, 7, 99_999_999, 13])
+    return search.lookup(catalog(spark, d, "emb"), "emb", [42, 7, 99_999_999, 13])
 
 
 TERM = "the"
@@ -145,26 +147,26 @@ def _full_text_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid_text(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(query.hybrid_text(catalog(spark, d), "emb", query_vector(spark, d), TERM, "text", 10))
+    return _rounded(query.hybrid_text(catalog(spark, d, "emb"), "emb", query_vector(spark, d), TERM, "text", 10))
 
 
 def _hybrid_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(query.hybrid_sparse(catalog(spark, d), "emb", query_vector(spark, d), "terms", sparse_query(spark, d), 10))
+    return _rounded(query.hybrid_sparse(catalog(spark, d, "emb"), "emb", query_vector(spark, d), "terms", sparse_query(spark, d), 10))
 
 
 def _plan_weighted(spark: SparkSession, d: str) -> DataFrame:
     plan = query.prefetch([query.weight(query.nearest(query_vector(spark, d), 20), 3.0), query.nearest(query_vector(spark, d, 1), 20)])
-    return _rounded(query.execute(catalog(spark, d), "emb", plan))
+    return _rounded(query.execute(catalog(spark, d, "emb"), "emb", plan))
 
 
 def _plan_formula(spark: SparkSession, d: str) -> DataFrame:
     plan = query.rerank(query.formula(query.score_threshold(query.nearest(query_vector(spark, d), 40), 0.1, None), "(1 - $score) * 2 + -0.5 / 4"), 12)
-    return _rounded(query.execute(catalog(spark, d), "emb", plan))
+    return _rounded(query.execute(catalog(spark, d, "emb"), "emb", plan))
 
 
 def _plan_explain(spark: SparkSession, d: str) -> DataFrame:
     plan = query.prefetch([query.nearest(query_vector(spark, d), 20), query.full_text(TERM, "text", 20)])
-    return query.explain(catalog(spark, d), "emb", plan).select("stage", "branch", "strategy", "candidate_budget")
+    return query.explain(catalog(spark, d, "emb"), "emb", plan).select("stage", "branch", "strategy", "candidate_budget")
 
 
 def _branch_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +214,7 @@ def _point_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _payload(spark: SparkSession, d: str) -> DataFrame:
     """Columns and JSON paths changed in some rows."""
-    c = catalog(spark, d)
+    c = catalog(spark, d, "emb")
     changed, _ = mutations.set_payload(c, "emb", [str(i) for i in range(0, 40, 4)], {"label": 77, "meta.half": "x"})
     return changed.select(F.col("id").alias("vec_id"), "label", F.get_json_object("metadata", "$.half").alias("half"), F.get_json_object("metadata", "$.label").alias("meta_label"))
 
@@ -297,10 +299,8 @@ def _batch_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def _lineitem_scan(spark: SparkSession, d: str) -> DataFrame:
     """Exact search over all line items with a filter that reaches the scan."""
-    c = catalog(spark, d)
-    rows = c.tables["lineitem"].where(F.col("l_returnflag") == "R")
-    from vantor.functions.vectors import l2_distance
-
+    rows = table(spark, d, "lineitem").where(F.col("l_returnflag") == "R")
+    rows = rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.array(*(F.col(c).cast("float") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))).alias("v"))
     scored = rows.select(F.col("id").alias("source_key"), l2_distance(F.col("v"), [25.0, 30000.0, 0.05, 0.02]).alias("score"))
     return _rounded(scored.orderBy("score", "source_key").limit(100))
 
