@@ -26,9 +26,11 @@ def _plain(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def aggregate_vectors(df: DataFrame, keys: list[str], vector: str, how: str = "avg", dims: int | None = None, half: bool = False, out: str = "value") -> DataFrame:
+def aggregate_vectors(df: DataFrame, keys: list[str], vector: str, how: str = "avg", dims: int | None = None, half: bool = False, out: str = "value", counted: str | None = None) -> DataFrame:
     """Rows (keys, out): the sum or average of each group's vectors in double precision, or rounded to half precision.
 
+    counted names a further column with the number of vectors that aren't null.
+
     Null vectors are skipped; a group without any has null. Vectors of another dimension than dims, or than each other,
     are an error. Without keys the result is one row, also for an empty table.
     """
@@ -40,7 +42,7 @@ def aggregate_vectors(df: DataFrame, keys: list[str], vector: str, how: str = "a
         rows = rows.withColumn("_v", checked)
         sums = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), *(F.sum(F.get("_v", F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dims)))
         value = F.when(F.col("_n") > 0, F.array(*(_finish(F.col(f"_{i}"), F.col("_n"), how) for i in range(dims))))
-        done = sums.select(*keys, value.alias(out))
+        done = sums.select(*keys, value.alias(out), *([F.col("_n").alias(counted)] if counted else []))
     else:
         sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min(F.size("_v")).alias("_low"), F.max(F.size("_v")).alias("_high"))
         sizes = sizes.withColumn("_n", F.when(F.coalesce(F.col("_low") == F.col("_high"), F.lit(True)), F.col("_n")).otherwise(error("22023: dimension mismatch", "bigint")))
@@ -50,7 +52,8 @@ def aggregate_vectors(df: DataFrame, keys: list[str], vector: str, how: str = "a
         whole = whole.select(*renamed, "_v")
         on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
         joined = sizes.join(whole, on, "left") if on else sizes.crossJoin(whole)  # one row each
-        done = joined.select(*keys, F.when(F.col("_n") > 0, F.transform("_v", lambda x: _finish(x, F.col("_n"), how))).alias(out))
+        value = F.when(F.col("_n") > 0, F.transform("_v", lambda x: _finish(x, F.col("_n"), how)))
+        done = joined.select(*keys, value.alias(out), *([F.col("_n").alias(counted)] if counted else []))
     return done.withColumn(out, F.transform(out, round_half)) if half else done
 
 

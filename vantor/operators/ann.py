@@ -143,7 +143,8 @@ class AnnIndex:
         rows = self.table.read().where(F.col("list").isin(self.probed(vector, probes)))
         if how == "scalar":
             low, high = quantize.train_scalar(rows, "vector")
-            near = vectors.distance(p["metric"], quantize.scalar_reconstruct(quantize.scalar_quantize(F.col("vector"), low, high, levels), low, high, levels), query)
+            rows = rows.withColumn("_code", quantize.scalar_reconstruct(quantize.scalar_quantize(F.col("vector"), low, high, levels), low, high, levels))
+            near = vectors.distance(p["metric"], F.col("_code"), query)
         elif how == "binary":
             near = F.aggregate(F.zip_with(quantize.binary_quantize(F.col("vector")), F.array(*(F.lit(x >= 0) for x in query)), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
         else:

@@ -16,6 +16,7 @@ from vantor.errors import InvalidParameter
 from vantor.functions import sparse as sparse_
 from vantor.functions import vectors
 from vantor.operators import late, text
+from vantor.operators.aggregates import aggregate_vectors
 from vantor.sources.catalog import Catalog, Collection, check_limit
 
 Filter = str | Mapping | None
@@ -219,14 +220,16 @@ def cursor_column(collection_id: int, after: Column) -> Column:
     return encode(after)
 
 
-def _examples(catalog: Catalog, c: Collection, column: str, dims: int, ids: Sequence[int]) -> list[float]:
-    """The mean of the vectors of example points, at most a limit's number of them."""
-    from vantor.operators.aggregates import aggregate_vectors
-
-    rows = catalog.scan(c).join(_ids(catalog.spark, ids), "point_id", "left_semi").where(F.col(f"`{column}`").isNotNull())
-    if rows.select("point_id").distinct().count() != len(set(ids)):
-        raise InvalidParameter("an example point doesn't exist")
-    return aggregate_vectors(rows.select(F.col(f"`{column}`").alias("v")), [], "v", "avg", dims).first()[0]
+def _examples(catalog: Catalog, c: Collection, column: str, dims: int, *groups: Sequence[int]) -> list[list[float] | None]:
+    """The mean of the vectors of each group's example points, at most a limit's number of them in all; None for an empty group."""
+    ids = [(int(i), g) for g, group in enumerate(groups) for i in set(group)]
+    wanted = catalog.spark.createDataFrame(ids, "point_id bigint, _g int")
+    rows = catalog.scan(c).join(F.broadcast(wanted), "point_id").select("_g", F.col(f"`{column}`").alias("v"))  # at most 10,000 rows
+    means = {r["_g"]: r for r in aggregate_vectors(rows, ["_g"], "v", "avg", dims, counted="n").collect()}
+    for g, group in enumerate(groups):
+        if group and (g not in means or means[g]["n"] != len(set(group))):
+            raise InvalidParameter("an example point doesn't exist")
+    return [means[g]["value"] if group else None for g, group in enumerate(groups)]
 
 
 def _check_ids(*groups: Sequence[int]) -> None:
@@ -255,8 +258,7 @@ def recommend(catalog: Catalog, collection: str, positive: Sequence, negative: S
     ids = isinstance(positive[0], int)
     if ids:
         _check_ids(positive, negative)
-        target = _examples(catalog, c, e.column, e.dims, positive)
-        minus = _examples(catalog, c, e.column, e.dims, negative) if negative else None
+        target, minus = _examples(catalog, c, e.column, e.dims, positive, negative)
     else:
         target, minus = _mean(positive, e.dims), _mean(negative, e.dims) if negative else None
     if minus:
@@ -275,7 +277,7 @@ def discover(catalog: Catalog, collection: str, context: Sequence[int], limit: i
     if not context:
         raise InvalidParameter("discover needs a context point")
     _check_ids(context)
-    target = _examples(catalog, c, e.column, e.dims, context)
+    (target,) = _examples(catalog, c, e.column, e.dims, context)
     rows = catalog.scan(c).where(F.col(f"`{e.column}`").isNotNull()).join(_ids(catalog.spark, context), "point_id", "left_anti")
     return top(rows.withColumn("score", vectors.distance(e.metric, F.col(f"`{e.column}`"), target)), limit, descending=True)
 
