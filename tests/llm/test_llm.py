@@ -364,8 +364,18 @@ def test_quality_held_out(spark, data):
     assert len(test) > 200 and len(wrong) <= 0.03 * len(test)
 
 
+def test_labels_of_many_documents_are_those_of_each():
+    model = quality.fit([])
+    lines = [x for k in (PROSE, LIST, TABLE, CODE, JUNK) for x in k.split("\n") if x]
+    r = random.Random(0)
+    documents = [np.array([quality.observe(r.choice(lines)) for _ in range(n)], np.int64).reshape(-1, len(quality.SIZES)) for n in [0, 1, 1, 2, 5, 40, 7, 300, 3, 0, 12]]
+    for seen, label in zip(documents, quality.labels_of(documents, model)):
+        want = (quality.posteriors(seen, model)[0] @ quality._LABEL_OF).argmax(1) if len(seen) else []
+        assert label.tolist() == list(want)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=1500))
 def test_any_text_has_figures(text):
-    r = quality.figures(text, quality.fit([]))
+    (r,) = quality.figures([text], quality.fit([]))
     assert r[0] == len(text) and (r[8] is None or abs(sum(r[8:]) - 1) < 1e-9)

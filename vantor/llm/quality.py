@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,10 +64,7 @@ _NUMBER = re.compile(r"^[+\-]?[\d.,:/%x]*\d[\d.,:/%]*$")
 
 
 def _bin(value: float, edges: tuple[float, ...]) -> int:
-    for i, e in enumerate(edges):
-        if value <= e:
-            return i
-    return len(edges)
+    return bisect_left(edges, value)
 
 
 #: Number of bins of each statistic.
@@ -361,21 +359,67 @@ def judged_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndar
 _FIGURES = ["n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "n_lines", "ended_lines", "common_words", *(f"{s}_share" for s in STATES)]
 
 
-def figures(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float | None, ...]:
-    if text is None:
-        return (None,) * len(_FIGURES)
-    looks = [look(x) for x in stretches(text)]
-    if not looks:
-        return (len(text), 0, None, None, None, 0, None, None, *(None,) * len(STATES))
-    seen, counts = np.array([x[0] for x in looks], np.int64), np.array([x[1] for x in looks], np.float64)
-    label = (posteriors(seen, model)[0] @ _LABEL_OF).argmax(1)
-    solid, words, letters, common, symbols, digits = counts.sum(0)
-    shares = np.bincount(label, weights=counts[:, 0], minlength=len(STATES)) / solid
-    whole = [x.rstrip() for x in _BREAKS.split(text) if x and not x.isspace()]
-    return (
-        len(text), int(words), letters / words if words else None, symbols / solid, digits / solid,
-        len(whole), len([x for x in whole if x[-1] in _ENDS]) / len(whole), common / words if words else None, *map(float, shares),
-    )
+def labels_of(documents: list[np.ndarray], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """The likeliest label of each line of each document; documents of similar length go through the recursion together."""
+    emit, change, first = model
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(documents)
+    order = sorted((i for i in range(len(documents)) if len(documents[i])), key=lambda i: len(documents[i]))
+    at = 0
+    while at < len(order):
+        end = at + 1  # as many as keep the padded lines within bounds
+        while end < len(order) and (end + 1 - at) * len(documents[order[end]]) <= 8192:
+            end += 1
+        group = order[at:end]
+        at = end
+        lengths = np.array([len(documents[i]) for i in group])
+        n = int(lengths[-1])
+        seen = np.concatenate([documents[i] for i in group])
+        score = emit[:, seen + _OFFSETS].sum(2).T * _TEMPER
+        like = np.exp(score - score.max(1, keepdims=True)) + 1e-12
+        doc = np.repeat(np.arange(len(group)), lengths)
+        line = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        padded = np.ones((n, len(group), len(first)))
+        padded[line, doc] = like
+        ahead, back = np.empty_like(padded), np.ones_like(padded)
+        now = first * padded[0]
+        ahead[0] = now / now.sum(1, keepdims=True)
+        for i in range(1, n):
+            now = (ahead[i - 1] @ change) * padded[i]
+            ahead[i] = now / now.sum(1, keepdims=True)
+        for i in range(n - 2, -1, -1):
+            now = (back[i + 1] * padded[i + 1]) @ change.T
+            now /= now.sum(1, keepdims=True)
+            back[i] = np.where((i + 1 < lengths)[:, None], now, 1.0)
+        best = ((ahead * back)[line, doc] @ _LABEL_OF)
+        for i, part in zip(group, np.split(best.argmax(1), np.cumsum(lengths)[:-1]), strict=True):
+            out[i] = part
+    return out
+
+
+def figures(texts: list[str | None], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[float | None, ...]]:
+    """The figures of each text, in the order of _FIGURES."""
+    looks = [[look(x) for x in stretches(t)] if t else [] for t in texts]
+    labels = labels_of([np.array([x[0] for x in own], np.int64).reshape(-1, len(SIZES)) for own in looks], model)
+    out: list[tuple[float | None, ...]] = []
+    for text, own, label in zip(texts, looks, labels, strict=True):
+        if text is None:
+            out.append((None,) * len(_FIGURES))
+            continue
+        if not own:
+            out.append((len(text), 0, None, None, None, 0, None, None, *(None,) * len(STATES)))
+            continue
+        sums, shares = [0] * 6, [0] * len(STATES)
+        for (_, counts), name in zip(own, label.tolist(), strict=True):
+            shares[name] += counts[0]
+            for i, x in enumerate(counts):
+                sums[i] += x
+        solid, words, letters, common, symbols, digits = sums
+        whole = [x.rstrip() for x in _BREAKS.split(text) if x and not x.isspace()]
+        out.append((
+            len(text), words, letters / words if words else None, symbols / solid, digits / solid, len(whole), len([x for x in whole if x[-1] in _ENDS]) / len(whole),
+            common / words if words else None, *(x / solid for x in shares),
+        ))
+    return out
 
 
 def text_figures(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -395,7 +439,7 @@ def text_figures(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [figures(t, model) for t in part.column(1).to_pylist()]
+                rows = figures(part.column(1).to_pylist(), model)
                 columns = [pa.array([r[i] for r in rows], pa.int64() if c in counted else pa.float64()) for i, c in enumerate(_FIGURES)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *_FIGURES])
 
