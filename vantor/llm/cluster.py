@@ -29,7 +29,7 @@ THRESHOLD, TYPICAL = 0.85, 5
 PART_ROWS, REDUCED, START_ROWS, ROUNDS = 4_000, 24, 8_192, 6
 #: Neighbours among the representatives that link clusters of different parts, and lists probed for them.
 LINKS, PROBES = 16, 12
-#: A part of more than so many times PART_ROWS is divided further, at most so often.
+#: A part of more than so many times PART_ROWS is divided further, at most so often; what is larger still is dealt out by a hash.
 OVERSIZED, DIVISIONS = 3, 6
 #: Weight of the regularisation: a component's variance is drawn towards this share of the part's variance.
 SHRINK, PRIOR = 0.05, 2.0
@@ -99,8 +99,12 @@ def _start_means(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...], c
     return np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], middle + cells * length.mean() * 0.1).astype(np.float32)
 
 
-def _coarse_rounds(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...], means: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(means, rows nearest to each) after so many rounds over all rows; the shared variance starts from the first round's distances."""
+def _coarse_rounds(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...], means: np.ndarray, rounds: int, hard: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(means, rows nearest to each) after so many rounds over all rows; the shared variance starts from the first round's distances.
+
+    hard: each row counts for its nearest mean only, the limit of a small variance; with the shared one, means within a
+    dense spot would fall together again.
+    """
     width, variance, nearest = means.shape[1], None, np.zeros(len(means))
     for _ in range(rounds):
 
@@ -108,8 +112,12 @@ def _coarse_rounds(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...],
             z = _reduce(_units(batch.column(0), dim), reduction)
             d = _square_distances(z, means)
             least = d.min(1, keepdims=True)
-            r = np.exp(-(d - least) / (2 * (variance or max(1e-6, float(least.mean()) / width))))
-            r /= r.sum(1, keepdims=True)
+            if hard:
+                r = np.zeros_like(d)
+                r[np.arange(len(d)), d.argmin(1)] = 1
+            else:
+                r = np.exp(-(d - least) / (2 * (variance or max(1e-6, float(least.mean()) / width))))
+                r /= r.sum(1, keepdims=True)
             count = np.bincount(d.argmin(1), minlength=len(means))
             return np.concatenate([r.sum(0), (r.T @ z).ravel(), count, [(r * d).sum(), len(z)]])
 
@@ -121,8 +129,8 @@ def _coarse_rounds(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...],
     return means, nearest
 
 
-def fit_coarse(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...], count: int, part_rows: int) -> np.ndarray:
-    """Means of a mixture with equal weights and one shared variance, by expectation-maximisation over all rows.
+def fit_coarse(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...], count: int, part_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means of a mixture with equal weights and one shared variance, by expectation-maximisation over all rows, and the rows nearest to each.
 
     Components nearest to far more rows than a part should have are divided: new means from a sample of their own rows
     take their place, and two more rounds follow.
@@ -143,8 +151,8 @@ def fit_coarse(rows: DataFrame, dim: int, reduction: tuple[np.ndarray, ...], cou
 
             part = rows.select("key", "u").mapInArrow(only, rows.select("key", "u").schema)
             fresh.append(_start_means(part, dim, reduction, math.ceil(nearest[b] / part_rows)))
-        means, nearest = _coarse_rounds(rows, dim, reduction, np.concatenate(fresh), 2)
-    return means
+        means, nearest = _coarse_rounds(rows, dim, reduction, np.concatenate(fresh), 2, hard=True)
+    return means, nearest
 
 
 def fit_mixture(z: np.ndarray, seeds: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
@@ -279,8 +287,12 @@ def find_clusters(df: DataFrame, key: str, vector: str, dim: int, threshold: flo
         return spark.createDataFrame([], schema).withColumnRenamed("key", key)
     reduction = fit_reduction(distinct, dim, reduced)
     count = max(1, math.ceil(total / part_rows))
-    means = fit_coarse(distinct, dim, reduction, count, part_rows) if count > 1 else np.zeros((1, min(reduced, dim)), np.float32)
-    count = len(means)
+    if count > 1:
+        means, sizes = fit_coarse(distinct, dim, reduction, count, part_rows)
+    else:
+        means, sizes = np.zeros((1, min(reduced, dim)), np.float32), np.array([total])
+    pieces = np.maximum(1, np.ceil(sizes / (2 * OVERSIZED * part_rows))).astype(np.int64)
+    begins, count = np.cumsum(pieces) - pieces, int(pieces.sum())
     radius2 = float(2 * (1 - threshold) * (1 / reduction[1] ** 2).mean() * means.shape[1] / dim)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +300,9 @@ def find_clusters(df: DataFrame, key: str, vector: str, dim: int, threshold: flo
             if not batch.num_rows:
                 continue
             d = _square_distances(_reduce(_units(batch.column(1), dim), reduction), means)
-            yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1).astype(np.int32)), batch.column(0), batch.column(1)], ["part", "key", "u"])
+            own = d.argmin(1)
+            part = begins[own] + (batch.column(2).to_numpy() >> 7) % pieces[own]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0), batch.column(1)], ["part", "key", "u"])
 
     def mixtures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
@@ -312,24 +326,40 @@ def find_clusters(df: DataFrame, key: str, vector: str, dim: int, threshold: flo
             vectors = pa.array([x if y else None for x, y in zip(list(u), leads.tolist(), strict=True)], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([keys, keys.take(pa.array(smallest[cluster])), named, pa.array(density), vectors], ["key", "cluster", "component", "density", "lead"])
 
-    dealt = distinct.select("key", "u").mapInArrow(deal, f"part int, key {kind}, u binary").repartitionById(count, F.col("part"))
+    dealt = distinct.select("key", "u", "h1").mapInArrow(deal, f"part int, key {kind}, u binary").repartitionById(count, F.col("part"))
     found = materialize(dealt.mapInArrow(mixtures, schema + ", lead array<float>"), "mixtures")
     own = found.drop("lead")
     if count > 1:
-        leads = found.where(F.col("lead").isNotNull()).select("cluster", "lead")
-        labels = merge_linked(nearest(leads, "cluster", "lead", dim, k=LINKS, floor=threshold, probes=PROBES).select(F.col("key_a").alias("cluster"), F.col("key_b").alias("low")))
-        own = own.join(labels, "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label")
+        own = _across_parts(found.where(F.col("lead").isNotNull()).select("cluster", "lead"), own, dim, threshold)
     own = own.join(distinct.select("key", "h1", "h2"), "key").select("cluster", "component", "density", "h1", "h2")
     return names.join(own, ["h1", "h2"]).select(F.col("key").alias(key), "cluster", "component", "density")
 
 
+def _across_parts(leads: DataFrame, members: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """members with clusters of different parts under one name where their representatives are that similar.
+
+    As long as some representative has as many similar ones as are searched for, there may be more: then the search is
+    repeated with one representative of each merged cluster.
+    """
+    while True:
+        found = nearest(leads, "cluster", "lead", dim, k=LINKS, floor=threshold, probes=PROBES).select(F.col("key_a").alias("cluster"), F.col("key_b").alias("low"))
+        links = materialize(found, "links")
+        most = links.groupBy("cluster").count().agg(F.max("count")).first()[0]
+        if most is None:
+            return members
+        labels = merge_linked(links)
+        members = materialize(members.join(labels, "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label"), "members")
+        if most < LINKS:
+            return members
+        leads = materialize(leads.join(labels.where(F.col("label") != F.col("cluster")), "cluster", "left_anti"), "leads")
+
+
 def merge_linked(links: DataFrame) -> DataFrame:
     """Rows (cluster, label) for clusters with links (cluster, low): the smallest name in each connected set.
 
     Each round a link's two ends take the smaller of their labels, until nothing changes; as the members of a set are
     linked nearly all with each other, that takes a few rounds. Links and labels stay distributed.
     """
-    links = materialize(links, "links")
     both = links.unionByName(links.select(F.col("low").alias("cluster"), F.col("cluster").alias("low")))
     labels = materialize(both.groupBy("cluster").agg(F.least(F.min("low"), F.col("cluster")).alias("label")), "labels")
     while True:
