@@ -334,3 +334,32 @@ def test_reports(spark, basic, tmp_path):
     assert {r["recommendation"] for r in operations.index_advisor(basic, "docs").collect()} == {"cluster_files", "extract_column", "build_index"}
     exact = lambda q: search.search(basic, "docs", q, 10)
     assert operations.compare_indexes(spark, {"exact": exact}, exact, [[0.0, 0.0]]).first()["recall_at_10"] == 1.0
+
+
+def test_faults_count_only_for_active_points(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0], "a"), (3, [0.0, 0.0], "b"), (4, None, "b")]
+    c = make(spark, rows, "id int, embedding array<float>, k string", metric="cosine")
+    c.register_filter_column("docs", "k", "k")
+    with pytest.raises(PySparkException, match="22023|22P02"):
+        search.search(c, "docs", [1.0, 0.0], 5).collect()
+    c.delete_points("docs", ["2"])
+    with pytest.raises(PySparkException, match="22P02"):
+        search.search(c, "docs", [1.0, 0.0], 5).collect()
+    assert keys(search.search(c, "docs", [1.0, 0.0], 5, filter={"must": [{"key": "k", "match": "a"}]})) == ["1"]
+    c.delete_points("docs", ["3"])
+    assert keys(search.search(c, "docs", [1.0, 0.0], 5)) == ["1"]
+    with pytest.raises(InvalidParameter):
+        search.search(c, "docs", [0.0, 0.0], 5)
+
+
+def test_vectors_are_not_shuffled(spark, tmp_path):
+    spark.range(50).selectExpr("id", "array(float(id), float(1)) AS embedding", "'x' AS k").write.parquet(str(tmp_path / "t"))
+    c = Catalog(spark)
+    c.register_table("t", spark.read.parquet(str(tmp_path / "t")))
+    c.create_collection("t", "t")
+    c.register_vector("t", "dense", "embedding", 2, "l2")
+    c.register_filter_column("t", "k", "k")
+    c.backfill_points("t")
+    plan = search.search(c, "t", [0.0, 0.0], 3, filter={"must": [{"key": "k", "match": "x"}]})._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner")
+    assert "embedding" not in plan[:join] and "embedding" in plan[join:] and "(k#" in plan[join:]

@@ -1,7 +1,9 @@
 """Exact search over collections and inline arrays: top-k, grouped, facets, counts, scrolling, recommendation, discovery.
 
-Each function declares one plan: points joined with their source rows, the filter beside the join so that it reaches the
-scan, the score as an expression, and an ordered limit (TakeOrderedAndProject, which merges each task's first rows).
+Each function declares one plan: the filter and the score are evaluated at the scan of the source table, so that what is
+joined with the points is a key and a number per row, whatever the width of the vectors; then comes an ordered limit
+(TakeOrderedAndProject, which merges each task's first rows). Faults of a row, such as another dimension, travel along and
+are raised only if the row turns out to have an active point.
 """
 
 from __future__ import annotations
@@ -28,14 +30,56 @@ def top(df: DataFrame, limit: int, descending: bool = False, keep: Sequence[str]
     return df.where(F.col("score").isNotNull()).select(*keep).orderBy(order, F.asc("point_id")).limit(limit)
 
 
-def filtered(catalog: Catalog, c: Collection, filter: Filter = None, ids: Sequence[int] | DataFrame | None = None) -> DataFrame:
-    """The collection's scan with filter and candidate ids applied."""
-    rows = catalog.scan(c)
+def project(catalog: Catalog, c: Collection, columns: Mapping[str, Column], filter: Filter = None, ids: Sequence[int] | DataFrame | None = None, where: Column | None = None) -> DataFrame:
+    """Rows (point_id, source_key, columns) of the active points, restricted to ids, whose source row passes filter and where."""
+    source, points = catalog.source(c), catalog.active(c)
     if filter is not None:
-        rows = rows.where(catalog.compiler(c, rows.schema).compile(filter))
+        source = source.where(catalog.compiler(c, source.schema).compile(filter))
+    if where is not None:
+        source = source.where(where)
     if ids is not None:
-        rows = rows.join(_ids(rows.sparkSession, ids), "point_id", "left_semi")
-    return rows
+        points = points.join(_ids(points.sparkSession, ids), "point_id", "left_semi")
+    rows = source.select(F.col("id").cast("string").alias("_key"), *(e.alias(n) for n, e in columns.items()))
+    return points.join(rows, F.col("source_key") == F.col("_key")).drop("_key")
+
+
+def _raised(rows: DataFrame) -> DataFrame:
+    """rows with the score, or the error of a row's fault. The error names the point, so that no optimizer moves it before the join."""
+    told = F.concat(F.col("_fault"), F.lit(" (point "), F.col("point_id").cast("string"), F.lit(")"))
+    return rows.withColumn("score", F.when(F.col("_fault").isNull(), F.col("score")).otherwise(F.raise_error(told).cast("double"))).drop("_fault")
+
+
+_MISMATCH, _ZERO = "22023: dimension mismatch", "22P02: zero vector has no direction"
+
+
+def _dense(metric: str, column: str, query: Sequence[float]) -> dict[str, Column]:
+    """score and _fault of a vector column."""
+    v = F.col(f"`{column}`")
+    same = F.size(v) == len(query)
+    fault = F.when(~same, _MISMATCH)
+    if metric == "cosine":
+        if not any(query):
+            raise InvalidParameter("the query vector has no direction")
+        length = F.when(same, vectors.inner_product(v, v) if len(query) > vectors.UNROLLED else vectors._norm_like(v, query))
+        fault = fault.when(length == 0, _ZERO)
+        same = length > 0
+    return {"score": F.when(same, vectors.distance(metric, v, query)), "_fault": fault}
+
+
+def _sparse(metric: str, column: str, query: sparse_.Sparse) -> dict[str, Column]:
+    v = F.col(f"`{column}`")
+    good = v["dims"] == query.dims
+    fault = F.when(~good, _MISMATCH)
+    if metric == "cosine":
+        if not any(query.values):
+            raise InvalidParameter("the query vector has no direction")
+        length = vectors.squared_norm(v["values"])
+        fault, good = fault.when(length == 0, _ZERO), good & (length > 0)
+    return {"score": F.when(good, sparse_.distance(metric, v, query)), "_fault": fault}
+
+
+def _there(column: str) -> Column:
+    return F.col(f"`{column}`").isNotNull()
 
 
 def _ids(spark: SparkSession, ids: Sequence[int] | DataFrame) -> DataFrame:
@@ -55,8 +99,7 @@ def search(
     catalog.enforce_search(c, limit, len(candidates) if isinstance(candidates, (list, tuple)) else None)
     e = catalog.vector(c, name)
     query = vectors.check_vector(vector, e.dims)
-    rows = filtered(catalog, c, filter, candidates).where(F.col(f"`{e.column}`").isNotNull())
-    return top(rows.withColumn("score", vectors.distance(e.metric, F.col(f"`{e.column}`"), query)), limit)
+    return top(_raised(project(catalog, c, _dense(e.metric, e.column, query), filter, candidates, _there(e.column))), limit)
 
 
 def inline(spark: SparkSession, vector: Sequence[float], point_ids: Sequence[int], candidates: Sequence[Sequence[float]], metric: str, limit: int) -> DataFrame:
@@ -86,8 +129,7 @@ def search_sparse(catalog: Catalog, collection: str, name: str, query: sparse_.S
     e, q = catalog.vector(c, name, sparse=True), sparse_.literal(query)
     if q.dims != e.dims:
         raise InvalidParameter(f"expected {e.dims} dimensions, not {q.dims}")
-    rows = filtered(catalog, c, filter).where(F.col(f"`{e.column}`").isNotNull())
-    return top(rows.withColumn("score", sparse_.distance(e.metric, F.col(f"`{e.column}`"), q)), limit)
+    return top(_raised(project(catalog, c, _sparse(e.metric, e.column, q), filter, None, _there(e.column))), limit)
 
 
 def inline_sparse(spark: SparkSession, query: sparse_.Sparse | str, point_ids: Sequence[int], candidates: Sequence[sparse_.Sparse | str], metric: str, limit: int) -> DataFrame:
@@ -103,17 +145,20 @@ def search_full_text(catalog: Catalog, collection: str, query: str, column: str,
     c = catalog.resolve(collection)
     catalog.enforce_search(c, limit)
     text.check_query(query, column)
-    rows = catalog.scan(c)
-    _has(rows, column)
-    return top(rows.where(text.matches(F.col(column), query)).withColumn("score", text.rank(F.col(column), query)), limit, descending=True)
+    _has(catalog.source(c), column)
+    rows = project(catalog, c, {"score": text.rank(F.col(column), query)}, where=text.matches(F.col(column), query))
+    return top(rows, limit, descending=True)
 
 
 def search_late_interaction(catalog: Catalog, collection: str, queries: Sequence[Sequence[float]], column: str, limit: int) -> DataFrame:
     c = catalog.resolve(collection)
     catalog.enforce_search(c, limit)
-    rows = catalog.scan(c)
-    _has(rows, column)
-    return top(rows.withColumn("score", late.max_sim(F.col(f"`{column}`"), queries)), limit, descending=True)
+    _has(catalog.source(c), column)
+    tokens, dims = F.col(f"`{column}`"), len(late.check_queries(queries)[0])
+    even = F.forall(tokens, lambda t: F.size(t) == dims)
+    fault = F.when(F.coalesce(F.size(tokens), F.lit(0)) < 1, "22023: a row has no tokens").when(~F.coalesce(even, F.lit(False)), _MISMATCH)
+    rows = project(catalog, c, {"score": F.when((F.size(tokens) > 0) & even, late.max_sim(tokens, queries)), "_fault": fault})
+    return top(_raised(rows), limit, descending=True)
 
 
 def search_late_interaction_tokens(
@@ -148,9 +193,8 @@ def grouped_search(catalog: Catalog, collection: str, vector: Sequence[float], g
     check_limit(group_limit)
     e = catalog.vector(c, name)
     query = vectors.check_vector(vector, e.dims)
-    rows = catalog.scan(c).where(F.col(f"`{e.column}`").isNotNull())
-    rows = rows.withColumn("group_value", catalog.compiler(c, rows.schema).text(group_by)).where(F.col("group_value").isNotNull())
-    rows = rows.select("group_value", "point_id", "source_key", vectors.distance(e.metric, F.col(f"`{e.column}`"), query).alias("score"))
+    value = catalog.compiler(c, catalog.source(c).schema).text(group_by)
+    rows = _raised(project(catalog, c, _dense(e.metric, e.column, query) | {"group_value": value}, where=_there(e.column) & value.isNotNull()))
     window = Window.partitionBy("group_value").orderBy("score", "point_id")
     first = rows.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= group_limit)
     return top(first, limit, keep=("group_value", "point_id", "source_key", "score"))
@@ -160,7 +204,7 @@ def count(catalog: Catalog, collection: str, filter: Filter = None) -> DataFrame
     """One row (count): active points with a source row that pass the filter."""
     c = catalog.resolve(collection)
     catalog.vector(c)
-    return filtered(catalog, c, filter).agg(F.count(F.lit(1)).alias("count"))
+    return project(catalog, c, {}, filter).agg(F.count(F.lit(1)).alias("count"))
 
 
 def facet(catalog: Catalog, collection: str, key: str, filter: Filter = None, limit: int = 100) -> DataFrame:
@@ -168,8 +212,8 @@ def facet(catalog: Catalog, collection: str, key: str, filter: Filter = None, li
     c = catalog.resolve(collection)
     catalog.enforce_search(c, limit)
     catalog.vector(c)
-    rows = filtered(catalog, c, filter)
-    rows = rows.select(catalog.compiler(c, rows.schema).text(key).alias("value")).where(F.col("value").isNotNull())
+    value = catalog.compiler(c, catalog.source(c).schema).text(key)
+    rows = project(catalog, c, {"value": value}, filter, where=value.isNotNull())
     return rows.groupBy("value").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "value").limit(limit)
 
 
@@ -224,7 +268,7 @@ def _examples(catalog: Catalog, c: Collection, column: str, dims: int, *groups:
     """The mean of the vectors of each group's example points, at most a limit's number of them in all; None for an empty group."""
     ids = [(int(i), g) for g, group in enumerate(groups) for i in set(group)]
     wanted = catalog.spark.createDataFrame(ids, "point_id bigint, _g int")
-    rows = catalog.scan(c).join(F.broadcast(wanted), "point_id").select("_g", F.col(f"`{column}`").alias("v"))  # at most 10,000 rows
+    rows = project(catalog, c, {"v": F.col(f"`{column}`")}, ids=wanted).join(F.broadcast(wanted), "point_id").select("_g", "v")  # at most 10,000 rows
     means = {r["_g"]: r for r in aggregate_vectors(rows, ["_g"], "v", "avg", dims, counted="n").collect()}
     for g, group in enumerate(groups):
         if group and (g not in means or means[g]["n"] != len(set(group))):
@@ -263,10 +307,10 @@ def recommend(catalog: Catalog, collection: str, positive: Sequence, negative: S
         target, minus = _mean(positive, e.dims), _mean(negative, e.dims) if negative else None
     if minus:
         target = [a - b for a, b in zip(target, minus, strict=True)]
-    rows = catalog.scan(c).where(F.col(f"`{e.column}`").isNotNull())
+    rows = _raised(project(catalog, c, _dense(e.metric, e.column, target), where=_there(e.column)))
     if ids:
         rows = rows.join(_ids(catalog.spark, [*positive, *negative]), "point_id", "left_anti")
-    return top(rows.withColumn("score", vectors.distance(e.metric, F.col(f"`{e.column}`"), target)), limit)
+    return top(rows, limit)
 
 
 def discover(catalog: Catalog, collection: str, context: Sequence[int], limit: int, name: str | None = None) -> DataFrame:
@@ -278,8 +322,8 @@ def discover(catalog: Catalog, collection: str, context: Sequence[int], limit: i
         raise InvalidParameter("discover needs a context point")
     _check_ids(context)
     (target,) = _examples(catalog, c, e.column, e.dims, context)
-    rows = catalog.scan(c).where(F.col(f"`{e.column}`").isNotNull()).join(_ids(catalog.spark, context), "point_id", "left_anti")
-    return top(rows.withColumn("score", vectors.distance(e.metric, F.col(f"`{e.column}`"), target)), limit, descending=True)
+    rows = _raised(project(catalog, c, _dense(e.metric, e.column, target), where=_there(e.column))).join(_ids(catalog.spark, context), "point_id", "left_anti")
+    return top(rows, limit, descending=True)
 
 
 explore = discover
@@ -293,5 +337,5 @@ def lookup(catalog: Catalog, collection: str, point_ids: Sequence[int]) -> DataF
     for i, p in enumerate(point_ids):
         places.setdefault(p, i)
     wanted = catalog.spark.createDataFrame([(p, 0.0 - i) for p, i in places.items()], "point_id bigint, score double")
-    rows = catalog.scan(c).select("point_id", "source_key").join(F.broadcast(wanted), "point_id")  # at most 10,000 rows
+    rows = project(catalog, c, {}, ids=wanted).join(F.broadcast(wanted), "point_id")  # at most 10,000 rows
     return rows.select("point_id", "source_key", "score").orderBy(F.desc("score"), "point_id")

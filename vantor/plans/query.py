@@ -328,7 +328,7 @@ def explain_sparse(catalog: Catalog, collection: str, name: str, query: sparse.S
     e = catalog.vector(c, name, sparse=True)
     sparse.literal(query)
     check_limit(limit)
-    scored = catalog.scan(c).where(F.col(f"`{e.column}`").isNotNull()).count()
+    scored = search.project(catalog, c, {}, where=F.col(f"`{e.column}`").isNotNull()).count()
     return catalog.spark.createDataFrame([("exact", catalog.active(c).count(), scored, min(limit, scored), 0)], "strategy string, active_points bigint, scored_count bigint, candidate_count bigint, recheck_count bigint")
 
 
