@@ -8,6 +8,7 @@ route; compaction builds anew. Exact search needs none of this; recall depends o
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import io
 import math
@@ -27,17 +28,9 @@ from vantor.sources.versioned import VersionedTable
 SHARD_ROWS, SEED = 20_000, 23
 
 
-def _mixed(x: int) -> int:
-    """A 64-bit finaliser, so that levels depend on nothing but the node's number."""
-    x = (x + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 31)
-
-
 def node_level(node: int, m: int) -> int:
-    """Layers above the base: each is reached by one of m nodes of the layer below."""
-    h, level = _mixed(SEED ^ node), 0
+    """Layers above the base: each is reached by about one of m nodes of the layer below; a hash of the node's number decides."""
+    h, level = int.from_bytes(hashlib.blake2b(f"{SEED}/{node}".encode(), digest_size=8).digest(), "little"), 0
     while h % m == 0 and level < 16:
         h, level = h // m, level + 1
     return level

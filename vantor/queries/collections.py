@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from vantor.operators import ann, batch, fusion, graph, mutations, operations, s
 from vantor.plans import query
 from vantor.plans.filters import Compiler, Field
 from vantor.queries.vectors import CUT, l1, q_sql, query_vector, sparse_column, sparse_query
-from vantor.runtime import shared_dir, table
+from vantor.runtime import scratch, table
 from vantor.sources.catalog import Catalog
 from vantor.sources.tokens import explode_tokens
 from vantor.sources.versioned import VersionedTable
@@ -251,7 +249,7 @@ def _recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> ann.AnnIndex:
-    path = f"{shared_dir(spark)}/vantor-index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     return ann.AnnIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding", 64, "cosine", path)
 
 
@@ -275,7 +273,7 @@ def _index_quantized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> graph.GraphIndex:
-    path = f"{shared_dir(spark)}/vantor-graph-{uuid.uuid4().hex}"
+    path = scratch(spark, "graph")
     return graph.GraphIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding", 64, "cosine", path, shard_rows=500)
 
 
@@ -308,7 +306,7 @@ def _lineitem_scan(spark: SparkSession, d: str) -> DataFrame:
 def _versions(spark: SparkSession, d: str) -> DataFrame:
     """Changes between versions of a table, out of the manifests: rows per kind of change."""
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    t = VersionedTable(spark, f"{shared_dir(spark)}/vantor-versions-{uuid.uuid4().hex}")
+    t = VersionedTable(spark, scratch(spark, "versions"))
     t.commit(rows.where(F.col("c_nationkey") < 10))
     t.commit(rows.where(F.col("c_nationkey") >= 20), delete=F.col("c_nationkey") == 3)
     t.commit(delete=F.col("c_acctbal") < 0)

@@ -54,6 +54,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/vantor-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as a table into the shared folder and reads it back.
 
@@ -62,8 +69,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     deleted when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vantor-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
