@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -16,26 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable for the executors' Python, once per application; the driver's file server hands it out."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="vantor-"), "vantor.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in os.walk(root):
-            for file in files:
-                if file.endswith(".py"):
-                    path = os.path.join(folder, file)
-                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where the setting is unset (local tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -61,6 +42,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable for the executors' Python, once per application, by an archive in the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    path = scratch(spark, "package") + ".zip"
+    atexit.register(_delete, spark, path)
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(archive.getvalue()))
+    finally:
+        out.close()
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as a table into the shared folder and reads it back.
 
