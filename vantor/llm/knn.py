@@ -198,7 +198,7 @@ def _merge(keys: np.ndarray, best: tuple[np.ndarray, ...], found: list[tuple[np.
 
 
 def nearest(
-    df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: float | None = None, probes: int = 6,
+    df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: float | None = None, probes: int = 8,
     probe_share: float = 0.0, queries: Column | None = None, hot_copies: int = HOT_COPIES, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Rows (key_a, key_b, similarity, place): the k most similar other keys of each key, by cosine, then smaller key.
