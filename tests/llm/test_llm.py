@@ -281,6 +281,21 @@ def test_many_exact_copies(spark):
         assert all(got[k] == v for k, v in brute(keys, x, 5, None).items() if k >= 100)
 
 
+@pytest.mark.parametrize("group_rows", [200, 40_000])
+def test_a_third_of_exact_copies(spark, group_rows):
+    """The copies take up no lists, so that the usual eight probes suffice near them."""
+    g = np.random.default_rng(8)
+    base, spread = g.normal(size=24), g.normal(size=(80, 24))
+    near = base + np.repeat(0.35 * spread[:40], 10, axis=0) + 0.2 * g.normal(size=(400, 24))
+    x = np.concatenate([near, np.repeat(base[None], 1000, axis=0), np.repeat(spread[40:], 10, axis=0) + 0.3 * g.normal(size=(400, 24)), g.normal(size=(1200, 24))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    got = neighbours(knn.nearest(df, "id", "v", 24, floor=0.85, group_rows=group_rows))
+    keep = [i for i in range(len(x)) if not 406 <= i < 1400]  # the others are nobody's neighbours
+    want = {(a, b) for a, bs in brute(keep, x[keep], 5, 0.85).items() for b in bs}
+    assert len(want) > 2000 and len(want & {(a, b) for a, bs in got.items() for b in bs}) >= 0.99 * len(want)
+    assert all(got[i] == [400, 401, 402, 403, 404] for i in range(406, 1400))
+
+
 def test_text_keys_are_allowed(spark):
     df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [1.0, 0.2])], "id string, v array<float>")
     assert neighbours(knn.nearest(df, "id", "v", 2, k=1)) == {"a": ["b"], "b": ["a"], "c": ["a"]}

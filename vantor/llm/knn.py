@@ -63,6 +63,11 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray
     return centroids
 
 
+def _different(units: np.ndarray) -> np.ndarray:
+    """The first of each set of rows that are the same but for rounding, in their order."""
+    return units[np.sort(np.unique(units.round(5) + 0.0, axis=0, return_index=True)[1])]
+
+
 def group_lists(centroids: np.ndarray, weight: np.ndarray, groups: int) -> np.ndarray:
     """The group of each list: the heaviest group is halved along its main direction until there are enough."""
     parts = [np.arange(len(centroids))]
@@ -217,24 +222,35 @@ def nearest(
     kind = df.schema[key].dataType.simpleString()
     asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"), asked.alias("asked"))
-    total = rows.count()
+    total, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("v"))).first()
     schema = f"key_a {kind}, key_b {kind}, similarity double, place int"
     lists = max(1, min(MAX_LISTS, int(math.sqrt(total))))
     bound = lists * SAMPLE_PER_LIST
 
+    hot_from = max(hot_copies, total // 10_000)
+    counted = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_from)
+    hot = counted.select("h").collect()  # at most 10,000 rows
+    direct = None
+    if hot:
+        hashes = F.broadcast(spark.createDataFrame(hot, "h bigint"))
+        rows = rows.withColumn("h", F.xxhash64("v"))
+        rows, direct = _without_hot(rows, hashes, dim, k, floor)
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, vectors = unpack(batch.column(0), dim)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in unit(vectors)] if len(vectors) else [], pa.binary())], ["u"])
 
-    # a bounded sample: the rows with the smallest hashes of their keys, a few more than needed as some are unusable
-    part = min(1.0, 2.0 * bound / max(1, total))
-    drawn = rows.select("v", F.xxhash64("key").alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + part * (1 << 64)))))
-    drawn = drawn.orderBy("h").limit(bound).select("v")
+    # a bounded sample: the different vectors with the smallest hashes, a few more than needed as some are unusable. Copies
+    # would take up lists of their own, all at one place, and a vector near it would spend its probes on them
+    part = min(1.0, 2.0 * bound / max(1, distinct))
+    drawn = rows.select("v", F.xxhash64("v").alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + part * (1 << 64)))))
+    drawn = drawn.dropDuplicates(["h"]).orderBy("h").limit(bound).select("v")
     sample = np.array([np.frombuffer(bytes(r.u), np.float32) for r in drawn.mapInArrow(take, "u binary").collect()], np.float32).reshape(-1, dim)  # at most `bound` rows
     if not len(sample):
         return spark.createDataFrame([], schema)
-    centroids = fit_centroids(sample, lists)
+    sample = _different(sample)  # vectors of one direction can have different lengths
+    centroids = _different(fit_centroids(sample, lists))
     lists = len(centroids)
     weight = np.bincount((sample @ centroids.T).argmax(1), minlength=lists)
     groups = max(1, min(lists, round(total / group_rows)))
@@ -242,15 +258,6 @@ def nearest(
     probing = min(lists, max(probes, math.ceil(probe_share * lists)))
     turn = rotation(dim)
 
-    hot_from = max(hot_copies, total // 10_000)
-    counted = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_from)
-    hot = counted.select("h").collect()  # at most 10,000 rows
-    direct = None
-    if hot:
-        hashes = F.broadcast(spark.createDataFrame(hot, "h bigint"))
-        rows = rows.withColumn("h", F.xxhash64("v"))
-        rows, direct = _without_hot(rows, hashes, dim, k, floor)
-
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -265,7 +272,7 @@ def nearest(
                 else:
                     cut = np.broadcast_to(np.arange(lists), near.shape).copy()
                 cut = np.take_along_axis(cut, np.argsort(np.take_along_axis(near, cut, 1), axis=1, kind="stable"), 1).astype(np.uint16)
-                own = near.argmin(1).astype(np.int32)
+                own = cut[:, 0].astype(np.int32)  # also among equally near lists one that is probed
                 # one entry per vector and group that it probes, or its own group alone where no neighbours are wanted
                 n, probed = np.nonzero(asks)[0], cut[asks]
                 entry = (n[:, None] * groups + group_of[probed]).ravel()
