@@ -296,6 +296,17 @@ def test_a_third_of_exact_copies(spark, group_rows):
     assert all(got[i] == [400, 401, 402, 403, 404] for i in range(406, 1400))
 
 
+def test_a_third_of_the_rows_in_one_dense_spot(spark):
+    """Different vectors, so that a third of the lists lie in the spot: far more than the eight probed at least."""
+    g = np.random.default_rng(4)
+    centre = g.normal(size=64)
+    x = np.concatenate([centre / np.linalg.norm(centre) + 0.05 * g.normal(size=(2000, 64)), g.normal(size=(4000, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    got = {(r["key_a"], r["key_b"]) for r in knn.similar_pairs(knn.nearest(df, "id", "v", 64, floor=0.85), "v").collect()}
+    want = {(min(a, b), max(a, b)) for a, bs in brute(range(2000), x[:2000], 5, 0.85).items() for b in bs}
+    assert len(want) > 7000 and len(want & got) >= 0.99 * len(want)
+
+
 def test_text_keys_are_allowed(spark):
     df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [1.0, 0.2])], "id string, v array<float>")
     assert neighbours(knn.nearest(df, "id", "v", 2, k=1)) == {"a": ["b"], "b": ["a"], "c": ["a"]}

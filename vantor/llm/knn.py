@@ -24,6 +24,8 @@ SAMPLE_PER_LIST, MAX_LISTS = 32, 4096
 GROUP_ROWS, BLOCK, EPSILON, SLACK = 40_000, 16, 2.1, 8
 #: Groups of exact copies from this size on, and from a ten-thousandth of all rows on, are answered without the index.
 HOT_COPIES = 64
+#: A list is left out only if a neighbour in it would have to deviate by so many standard deviations from a random direction.
+REACH = 4.0
 SEED = 11
 
 
@@ -128,6 +130,18 @@ def _first(query: np.ndarray, value: np.ndarray, key: np.ndarray, n: int) -> np.
     return order[np.arange(len(q)) - begin < n]
 
 
+def reach(floor: float, dim: int) -> float:
+    """Lists whose centroids are at least this similar to a vector can hold vectors of similarity `floor` to it.
+
+    A member at the angle b from a centroid, itself at the angle a from the vector, has the similarity cos a cos b +
+    r sin a sin b, where r is the cosine of what both have beside the centroid: about 1 / sqrt(dim) as its standard
+    deviation between unrelated directions. With r at REACH of those and the b that suits best, this is
+    sqrt(cos² a + r² sin² a); below the floor, the list can't hold one.
+    """
+    r2 = REACH * REACH / dim
+    return -1.0 if floor <= 0 or r2 >= floor * floor else math.sqrt((floor * floor - r2) / (1 - r2)) if floor < 1 else 1.0 - 1e-5
+
+
 def scan(keys: np.ndarray, raw: np.ndarray, home: np.ndarray, probes: list[np.ndarray], k: int, floor: float | None, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, neighbour, similarity): keys of the k best members for each row that probes, over the lists of one group.
 
@@ -161,6 +175,10 @@ def scan(keys: np.ndarray, raw: np.ndarray, home: np.ndarray, probes: list[np.nd
                 first = slice(0, edges[0])
                 partial = np.einsum("ij,ij->i", rows[q, first], rows[q, first])[:, None] + np.einsum("ij,ij->i", rows[m, first], rows[m, first])[None] - 2 * (rows[q, first] @ rows[m, first].T)
                 i, j = np.nonzero(partial <= (limit[q] * slack[0] + 1e-5)[:, None])
+                # where most pairs pass the first block, as within one dense spot, one product over all columns is cheaper than going on by pairs
+                dense = len(i) > partial.size // 20
+                if dense:
+                    i, j = np.nonzero(2 - 2 * (rows[q] @ rows[m].T) <= (limit[q] + 2e-5)[:, None])
                 i, j = q[i], m[j]
                 other = keys[i] != keys[j]
                 i, j = i[other], j[other]
@@ -168,7 +186,7 @@ def scan(keys: np.ndarray, raw: np.ndarray, home: np.ndarray, probes: list[np.nd
                 got = np.zeros(len(i), np.float32)
                 for e, (start, end, wide) in enumerate(zip([0, *edges[:-1]], edges, slack, strict=True)):
                     got += np.einsum("ij,ij->i", d := rows[i, start:end] - rows[j, start:end], d)
-                    if e:
+                    if e and (not dense or end == dim):
                         go = got <= limit[i] * wide + 1e-5
                         i, j, got = i[go], j[go], got[go]
                 if len(i):
@@ -209,9 +227,10 @@ def nearest(
     """Rows (key_a, key_b, similarity, place): the k most similar other keys of each key, by cosine, then smaller key.
 
     floor: only neighbours of at least this similarity; the scan then abandons the more. queries: a condition that
-    says for which rows neighbours are wanted (all by default), against all rows. probes: lists probed by a vector, at
-    least this share (probe_share) of all lists. With a floor and no condition, what one vector finds also counts for
-    the other, so a pair is missed only if both miss it.
+    says for which rows neighbours are wanted (all by default), against all rows. probes: lists probed by a vector at
+    least, and at least this share (probe_share) of all lists. With a floor, a vector also probes every further list
+    within reach(floor, dim), however many a dense spot has. With a floor and no condition, what one vector finds also
+    counts for the other, so a pair is missed only if both miss it.
 
     Unusable vectors (null, other lengths, null or non-finite values, all zero) and null keys are left out. Repeated
     rows of a key count once; a key with different vectors is as similar as the most similar of them. Of exact copies
@@ -256,6 +275,7 @@ def nearest(
     groups = max(1, min(lists, round(total / group_rows)))
     group_of = group_lists(centroids, weight, groups)
     probing = min(lists, max(probes, math.ceil(probe_share * lists)))
+    within = None if floor is None else reach(floor, dim)
     turn = rotation(dim)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,22 +287,23 @@ def nearest(
                     continue
                 asks = part.column(2).to_numpy(zero_copy_only=False)[place].astype(bool)
                 near = -(unit(vectors) @ centroids.T)
+                own = near.argmin(1).astype(np.int32)
+                probed = np.full(near.shape, probing >= lists) if within is None or probing >= lists else near <= -within
+                probed[np.arange(len(near)), own] = True  # also where others are equally near
                 if probing < lists:
-                    cut = np.argpartition(near, probing - 1, axis=1)[:, :probing]
-                else:
-                    cut = np.broadcast_to(np.arange(lists), near.shape).copy()
-                cut = np.take_along_axis(cut, np.argsort(np.take_along_axis(near, cut, 1), axis=1, kind="stable"), 1).astype(np.uint16)
-                own = cut[:, 0].astype(np.int32)  # also among equally near lists one that is probed
+                    np.put_along_axis(probed, np.argpartition(near, probing - 1, axis=1)[:, :probing], True, axis=1)
+                n, cut = np.nonzero(probed & asks[:, None])
+                order = np.lexsort((cut, near[n, cut], n))
+                n, cut = n[order], cut[order].astype(np.uint16)
                 # one entry per vector and group that it probes, or its own group alone where no neighbours are wanted
-                n, probed = np.nonzero(asks)[0], cut[asks]
-                entry = (n[:, None] * groups + group_of[probed]).ravel()
+                entry = n * groups + group_of[cut]
                 order = np.argsort(entry, kind="stable")  # keeps the nearest list first
                 entry, first = np.unique(entry[order], return_index=True)
                 silent = np.nonzero(~asks)[0]
                 vec = np.concatenate([entry // groups, silent])
                 grp = np.concatenate([entry % groups, group_of[own[silent]]]).astype(np.int32)
-                offsets = np.concatenate([first, np.full(len(silent) + 1, probed.size)]).astype(np.int32) * 2
-                lists_of = pa.Array.from_buffers(pa.binary(), len(vec), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(probed.ravel()[order].tobytes())])
+                offsets = np.concatenate([first, np.full(len(silent) + 1, cut.size)]).astype(np.int32) * 2
+                lists_of = pa.Array.from_buffers(pa.binary(), len(vec), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cut[order].tobytes())])
                 home = np.where(group_of[own[vec]] == grp, own[vec], -1).astype(np.int32)
                 keys = part.column(0).take(pa.array(place[vec]))
                 yield pa.RecordBatch.from_arrays([pa.array(grp), keys, pa.array(home), lists_of, _pack(vectors).take(pa.array(vec))], ["grp", "key", "home", "probes", "raw"])
