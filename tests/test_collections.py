@@ -198,6 +198,18 @@ def test_fusion_known_answers(spark):
             fusion.weighted([branch(spark, [(1, 1)], weight=x) for x in weights])
 
 
+def test_weighted_fusion_by_query(spark, data):
+    rows = lambda *r: spark.createDataFrame([(q, p, str(p), float(s)) for q, p, s in r], "q long, point_id long, source_key string, score double")
+    parts = [fusion.Branch(rows((1, 1, 0.1), (1, 2, 0.9), (1, 2, 0.8), (2, 1, 500), (2, 2, 300)), False, 3.0), fusion.Branch(rows((1, 1, 1.0), (1, 3, 0.0), (3, 9, 1e308), (3, 8, -1e308)), True, 1.0)]
+    got = {(r["q"], r["point_id"]): r["score"] for r in fusion.weighted(parts, ["q"]).collect()}
+    assert got == pytest.approx({(1, 1): 0.0, (1, 2): 0.75, (1, 3): 0.25, (2, 1): 0.75, (2, 2): 0.0, (3, 9): 0.0, (3, 8): 0.25})
+    import __spark_entry__ as entry
+
+    fused = entry.queries()["branch_fusion_all"](spark, data)
+    rows = spark.read.parquet(f"{data}/search_candidates.parquet").where("query_id IS NOT NULL AND point_id IS NOT NULL AND NOT isnan(score) AND abs(score) < double('inf')")
+    assert {tuple(r) for r in fused.select("query_id", "point_id").collect()} == {tuple(r) for r in rows.select("query_id", "point_id").distinct().collect()}
+
+
 @pytest.fixture(scope="module")
 def hybrid(spark):
     rows = [(10, [1.0, 0.0], "database internals"), (20, [0.0, 0.0], "database database"), (30, [2.0, 0.0], "storage database"), (40, [3.0, 0.0], "unrelated"), (50, None, None)]

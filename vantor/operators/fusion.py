@@ -43,29 +43,32 @@ def rrf(branches: Sequence[Branch], k: float = RRF_K) -> DataFrame:
     return rows.groupBy("point_id").agg(F.min("source_key").alias("source_key"), F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def weighted(branches: Sequence[Branch]) -> DataFrame:
+def weighted(branches: Sequence[Branch], by: Sequence[str] = ()) -> DataFrame:
     """Rows (point_id, source_key, score): the weighted mean of the branches' scores scaled to 0..1, the higher the better.
 
     Each branch is scaled by its least and greatest score, upside down for distances; a constant branch counts 1. A
     point's best score in a branch holds. Branches of weight 0 are skipped; negative or non-finite weights, or none above 0,
     are errors.
+
+    by: columns of the branches, such as a query's id; each of their values gets a ranking of its own, in which only its
+    rows count, and the columns come first. A branch without rows for a value counts 0 for it, as an empty branch does.
     """
     if any(not math.isfinite(b.weight) or b.weight < 0 for b in branches):
         raise InvalidParameter("weights must be finite and not negative")
     total = sum(b.weight for b in branches)
     if not total > 0:
         raise InvalidParameter("no branch has a weight above 0")
-    rows = None
+    point, rows = [*by, "point_id"], None
     for b in branches:
         if not b.weight:
             continue
         sign = -1.0 if b.lower_is_better else 1.0
-        best = b.rows.groupBy("point_id").agg(F.max(F.col("score") * sign).alias("s"), F.min("source_key").alias("source_key"))
-        whole = Window.partitionBy()  # a limit's rows
+        best = b.rows.groupBy(*point).agg(F.max(F.col("score") * sign).alias("s"), F.min("source_key").alias("source_key"))
+        whole = Window.partitionBy(*by)  # a limit's rows
         low, high = F.min("s").over(whole), F.max("s").over(whole)
         # scaled first, so that the difference of extreme scores doesn't overflow
         scale = F.greatest(F.abs(low), F.abs(high))
         unit = F.when(low == high, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("s") / scale - low / scale) / (high / scale - low / scale))))
-        part = best.select("point_id", "source_key", (unit * (b.weight / total)).alias("score"))
+        part = best.select(*point, "source_key", (unit * (b.weight / total)).alias("score"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("point_id").agg(F.min("source_key").alias("source_key"), F.sum("score").alias("score"))
+    return rows.groupBy(*point).agg(F.min("source_key").alias("source_key"), F.sum("score").alias("score"))

@@ -10,7 +10,7 @@ from vantor.operators import ann, batch, fusion, graph, mutations, operations, s
 from vantor.plans import query
 from vantor.plans.filters import Compiler, Field
 from vantor.queries.vectors import CUT, l1, q_sql, query_vector, sparse_column, sparse_query
-from vantor.runtime import scratch, table
+from vantor.runtime import finite, scratch, table
 from vantor.sources.catalog import Catalog
 from vantor.sources.tokens import explode_tokens
 from vantor.sources.versioned import VersionedTable
@@ -175,6 +175,16 @@ def _branch_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("point_id", F.round("score", 6).alias("score"))
 
 
+def _branch_fusion_all(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted fusion of all branches of every query's candidates, dense_exact counting twice."""
+    name = lambda c: F.lower(F.translate(c, "_-", ""))
+    rows = table(spark, d, "search_candidates").where(finite(F.col("score")) & F.col("query_id").isNotNull() & F.col("point_id").isNotNull())
+    rows = rows.select("query_id", "point_id", F.col("point_id").cast("string").alias("source_key"), name("branch").alias("branch"), "score")
+    known = table(spark, d, "search_branches").select(name("branch").alias("branch"), F.lower("score_order").alias("way")).distinct().orderBy("branch").collect()  # six rows
+    parts = [fusion.Branch(rows.where(F.col("branch") == b).drop("branch"), way == "lowerisbetter", 2.0 if b == "denseexact" else 1.0) for b, way in known]
+    return fusion.weighted(parts, ["query_id"]).select("query_id", "point_id", F.round("score", 6).alias("score"))
+
+
 def _visible_points(spark: SparkSession, d: str) -> DataFrame:
     """The present version of each point that isn't deleted and has a source row."""
     versions = table(spark, d, "collection_points")
@@ -323,7 +333,7 @@ QUERIES = {
     **{f"search_{m}": _search(m) for m in _METRICS}, "search_alias": _search_alias, "search_filtered": _search_filtered, "search_json_filter": _search_json, "search_candidates": _search_candidates,
     "search_sparse": _search_sparse, "search_inline": _search_inline, "grouped_search": _grouped, "count_filtered": _count, "count_json": _count_json, "facet": _facet, "facet_json": _facet_json,
     "scroll": _scroll, "recommend": _recommend, "discover": _discover, "lookup": _lookup, "full_text": _full_text, "full_text_terms": _full_text_terms, "hybrid_text": _hybrid_text,
-    "hybrid_sparse": _hybrid_sparse, "plan_weighted": _plan_weighted, "plan_formula": _plan_formula, "plan_explain": _plan_explain, "branch_fusion": _branch_fusion, "visible_points": _visible_points,
+    "hybrid_sparse": _hybrid_sparse, "plan_weighted": _plan_weighted, "plan_formula": _plan_formula, "plan_explain": _plan_explain, "branch_fusion": _branch_fusion, "branch_fusion_all": _branch_fusion_all, "visible_points": _visible_points,
     "filter_documents": _filter_docs, "upsert_points": _upsert, "point_ids": _point_ids, "set_payload": _payload, "telemetry": _telemetry, "cohort_stats": _cohorts, "execution_stats": _executions,
     "recall_by_query": _recall, "index_exact": _index_all, "index_masked": _index_masked, "index_quantized": _index_quantized, "graph_search": _graph_search, "graph_masked": _graph_masked, "batch_knn": _batch_knn, "lineitem_scan": _lineitem_scan,
     "table_versions": _versions, "token_rows": _token_rows,
@@ -386,6 +396,11 @@ SQL = {
         p AS (SELECT b, point_id, max(CASE b WHEN 'denseexact' THEN -score ELSE score END) AS s FROM r WHERE b IN ('denseexact', 'fulltext') GROUP BY 1, 2),
         n AS (SELECT b, point_id, CASE WHEN max(s) OVER w = min(s) OVER w THEN 1 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS x FROM p WINDOW w AS (PARTITION BY b))
         SELECT point_id, round(sum(x * CASE b WHEN 'denseexact' THEN 2.0::DOUBLE / 3 ELSE 1.0::DOUBLE / 3 END), 6) AS score FROM n GROUP BY 1""",
+    "branch_fusion_all": """WITH r AS (SELECT query_id, point_id, lower(translate(c.branch, '_-', '')) AS b, CASE lower(s.score_order) WHEN 'lowerisbetter' THEN -score ELSE score END AS x
+        FROM search_candidates c JOIN search_branches s ON lower(translate(c.branch, '_-', '')) = lower(translate(s.branch, '_-', '')) WHERE query_id IS NOT NULL AND point_id IS NOT NULL AND isfinite(score)),
+        p AS (SELECT query_id, b, point_id, max(x) AS s FROM r GROUP BY 1, 2, 3), w AS (SELECT *, min(s) OVER q AS lo, max(s) OVER q AS hi, greatest(abs(lo), abs(hi)) AS m FROM p WINDOW q AS (PARTITION BY query_id, b))
+        SELECT query_id, point_id, round(sum(CASE WHEN lo = hi THEN 1 ELSE (s / m - lo / m) / (hi / m - lo / m) END * CASE b WHEN 'denseexact' THEN 2 ELSE 1 END
+        / (SELECT count(*) + 1.0::DOUBLE FROM (SELECT DISTINCT lower(translate(branch, '_-', '')) AS b FROM search_branches))), 6) AS score FROM w GROUP BY 1, 2""",
     "visible_points": """WITH v AS (SELECT point_id, collection_id, source_key, deleted_at IS NULL AS live FROM collection_points
         QUALIFY row_number() OVER (PARTITION BY point_id, collection_id ORDER BY greatest(created_at, updated_at, deleted_at) DESC NULLS LAST, (deleted_at IS NULL) DESC, source_key DESC) = 1)
         SELECT collection_id, count(*) AS n_points FROM v WHERE live AND source_key IN (SELECT id::VARCHAR FROM source_docs) GROUP BY 1""",
