@@ -307,6 +307,15 @@ def test_a_third_of_the_rows_in_one_dense_spot(spark):
     assert len(want) > 7000 and len(want & got) >= 0.99 * len(want)
 
 
+def test_few_usable_vectors_among_many(spark):
+    """The sample isn't used up by unusable vectors, even if all of them come first."""
+    g = np.random.default_rng(6)
+    some = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(5 + g.normal(size=(100, 4)))], "id long, v array<float>").where(F.xxhash64("v") > 2**62)
+    df = some.unionByName(spark.createDataFrame([(i, [float(i)]) for i in range(1000, 5000)], "id long, v array<float>"))
+    want = {r["id"] for r in some.collect()}
+    assert len(want) > 10 and set(neighbours(knn.nearest(df, "id", "v", 4, probes=1000))) == want
+
+
 def test_text_keys_are_allowed(spark):
     df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [1.0, 0.2])], "id string, v array<float>")
     assert neighbours(knn.nearest(df, "id", "v", 2, k=1)) == {"a": ["b"], "b": ["a"], "c": ["a"]}

@@ -241,12 +241,14 @@ def nearest(
     kind = df.schema[key].dataType.simpleString()
     asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"), asked.alias("asked"))
-    total, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("v"))).first()
+    every, total, distinct = rows.agg(F.count(F.lit(1)), F.count_if(_usable(dim)), F.approx_count_distinct(F.when(_usable(dim), F.xxhash64("v")))).first()
     schema = f"key_a {kind}, key_b {kind}, similarity double, place int"
+    if total < 2:
+        return spark.createDataFrame([], schema)
     lists = max(1, min(MAX_LISTS, int(math.sqrt(total))))
     bound = lists * SAMPLE_PER_LIST
 
-    hot_from = max(hot_copies, total // 10_000)
+    hot_from = max(hot_copies, every // 10_000)
     counted = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_from)
     hot = counted.select("h").collect()  # at most 10,000 rows
     direct = None
@@ -260,19 +262,17 @@ def nearest(
             _, vectors = unpack(batch.column(0), dim)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in unit(vectors)] if len(vectors) else [], pa.binary())], ["u"])
 
-    # a bounded sample: the different vectors with the smallest hashes, a few more than needed as some are unusable. Copies
+    # a bounded sample: the different usable vectors with the smallest hashes, a few more than needed as the count is rough. Copies
     # would take up lists of their own, all at one place, and a vector near it would spend its probes on them
     part = min(1.0, 2.0 * bound / max(1, distinct))
     drawn = rows.select("v", F.xxhash64("v").alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + part * (1 << 64)))))
-    drawn = drawn.dropDuplicates(["h"]).orderBy("h").limit(bound).select("v")
+    drawn = drawn.where(_usable(dim)).dropDuplicates(["h"]).orderBy("h").limit(bound).select("v")
     sample = np.array([np.frombuffer(bytes(r.u), np.float32) for r in drawn.mapInArrow(take, "u binary").collect()], np.float32).reshape(-1, dim)  # at most `bound` rows
-    if not len(sample):
-        return spark.createDataFrame([], schema)
     sample = _different(sample)  # vectors of one direction can have different lengths
     centroids = _different(fit_centroids(sample, lists))
     lists = len(centroids)
     weight = np.bincount((sample @ centroids.T).argmax(1), minlength=lists)
-    groups = max(1, min(lists, round(total / group_rows)))
+    groups = max(1, min(lists, round(every / group_rows)))
     group_of = group_lists(centroids, weight, groups)
     probing = min(lists, max(probes, math.ceil(probe_share * lists)))
     within = None if floor is None else reach(floor, dim)
@@ -337,10 +337,14 @@ def nearest(
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _usable(dim: int) -> Column:
+    """As unpack() has it."""
+    return (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
+
+
 def _without_hot(rows: DataFrame, hashes: DataFrame, dim: int, k: int, floor: float | None) -> tuple[DataFrame, DataFrame]:
     """rows without the copies that the index doesn't need, and the neighbours of those copies (key_a, key_b, similarity)."""
-    usable = (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    hot = rows.join(hashes, "h", "left_semi").where(usable).groupBy("h", "key").agg(F.max("asked").alias("asked"))
+    hot = rows.join(hashes, "h", "left_semi").where(_usable(dim)).groupBy("h", "key").agg(F.max("asked").alias("asked"))
     salted = hot.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
     for part in (["h", "salt"], ["h"]):  # first within salts, so that no task holds a whole group
         salted = salted.withColumn("rn", F.row_number().over(Window.partitionBy(*part).orderBy("key"))).where(F.col("rn") <= k + 1)
