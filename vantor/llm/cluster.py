@@ -2,7 +2,7 @@
 
 Vectors of length one are standardised and reduced to their leading principal components, both from moments over all
 rows. A coarse mixture with equal weights and one shared covariance, fitted by distributed expectation-maximisation,
-deals the rows out into parts that fit a task; rows between two components go to both parts. Within a part, mixtures of
+deals the rows out into parts that fit a task, each row to one part. Within a part, mixtures of
 spherical, regularised components and one broad background component are fitted, seeded at the peaks of density, and
 the Bayesian information criterion chooses how many components there are. The members of a component are then checked
 exactly: a cluster holds those whose similarity reaches the threshold, and clusters whose representatives (the members of
