@@ -1,8 +1,8 @@
 """Dense vectors: distances, comparison, text form and conversions, as expressions that stay in the JVM.
 
 A dense vector is an array of float (or double). Distances compute in double precision and are null if an operand is
-null. Against a constant query of moderate length the loop over the dimensions is written out, so that it is part of
-the generated code of its stage; otherwise higher-order functions do it.
+null. They are higher-order functions, so that their code is small whatever the dimension. Searches against a
+constant query use the Arrow batch functions of `scoring`, which are faster.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from vantor.errors import InvalidParameter, InvalidVector, OutOfRange, UnsupportedMetric
 
 MAX_DIMENSIONS = 16_000
-#: Longest constant query whose loop is written out.
-UNROLLED = 128
 Vector = Sequence[float] | Column
 METRICS = ("l2", "inner_product", "cosine", "l1")
 
@@ -48,18 +46,7 @@ def _column(v: Vector) -> Column:
 
 def _fold(a: Vector, b: Vector, term: Callable[[Column, Column], Column]) -> Column:
     """The sum of term over the dimensions of both; the dimensions must agree."""
-    if not isinstance(a, Column) and isinstance(b, Column):
-        a, b, inner = b, a, term
-        term = lambda x, y: inner(y, x)
-    a = _column(a)
-    if not isinstance(b, Column) and len(b) <= UNROLLED:
-        values = check_vector(b)
-        total = None
-        for i, q in enumerate(values):
-            part = term(F.get(a, F.lit(i)).cast("double"), F.lit(q))
-            total = part if total is None else total + part
-        return F.when(F.size(a) == len(values), total).when(F.size(a).isNotNull(), error("22023: dimension mismatch"))
-    b = _column(b)
+    a, b = _column(a), _column(b)
     same = F.size(a) == F.size(b)
     total = F.aggregate(F.zip_with(a, b, lambda x, y: term(x.cast("double"), y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     return F.when(same, total).when(same.isNotNull(), error("22023: dimension mismatch"))
@@ -87,18 +74,11 @@ def squared_norm(a: Vector) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
-def _norm_like(a: Vector, b: Vector) -> Column:
-    """|a|², written out if b tells the dimension."""
-    if isinstance(a, Column) and not isinstance(b, Column) and len(b) <= UNROLLED:
-        return _fold(a, b, lambda x, y: x * x)
-    return squared_norm(a)
-
-
 def cosine_distance(a: Vector, b: Vector) -> Column:
     """1 - cosine; an operand of length zero is an error."""
     if not isinstance(a, Column) and isinstance(b, Column):
         a, b = b, a
-    norms = _norm_like(a, b) * squared_norm(b)
+    norms = squared_norm(a) * squared_norm(b)
     return F.when(norms > 0, 1.0 - inner_product(a, b) / F.sqrt(norms)).when(norms.isNotNull(), error("22P02: zero vector has no direction"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantor.errors import Corrupt, InvalidParameter, NotReady, UnknownTable
-from vantor.functions import quantize, vectors
+from vantor.functions import quantize, scoring, vectors
 from vantor.sources.versioned import VersionedTable
 
 #: The centroids are fitted on at most SAMPLE_PER_LIST vectors per list, of at most MAX_LISTS lists.
@@ -50,7 +50,7 @@ class AnnIndex:
     def build(cls, df: DataFrame, point: str, vector: str, dims: int, metric: str, path: str, lists: int | None = None) -> AnnIndex:
         """Builds an index of all rows whose vector isn't null into a folder that has none."""
         spark, self = df.sparkSession, cls(df.sparkSession, path)
-        vectors.distance(metric, F.col(vector), [1.0])  # checks the metric
+        scoring.check_metric(metric)
         if self.table.version():
             raise InvalidParameter(f"{path} holds an index")
         rows = df.where(F.col(vector).isNotNull()).select(F.col(point).cast("bigint").alias("point_id"), F.col(vector).cast("array<float>").alias("vector"))
@@ -130,7 +130,7 @@ class AnnIndex:
         rows = self.table.read().where(F.col("list").isin(self.probed(vector, probes)))
         if allowed is not None:
             rows = rows.join(allowed.select(F.col(allowed.columns[0]).cast("bigint").alias("point_id")), "point_id", "left_semi")
-        scored = rows.select("point_id", vectors.distance(p["metric"], F.col("vector"), vectors.check_vector(vector, p["dims"])).alias("score"))
+        scored = rows.select("point_id", scoring.score(p["metric"], F.col("vector"), vectors.check_vector(vector, p["dims"])).alias("score"))
         return scored.orderBy("score", "point_id").limit(limit)
 
     def search_quantized(self, vector: Sequence[float], limit: int, candidates: int, how: str = "scalar", probes: int = 8, levels: int = 256) -> DataFrame:
@@ -144,13 +144,13 @@ class AnnIndex:
         if how == "scalar":
             low, high = quantize.train_scalar(rows, "vector")
             rows = rows.withColumn("_code", quantize.scalar_reconstruct(quantize.scalar_quantize(F.col("vector"), low, high, levels), low, high, levels))
-            near = vectors.distance(p["metric"], F.col("_code"), query)
+            near = scoring.score(p["metric"], F.col("_code"), query)
         elif how == "binary":
             near = F.aggregate(F.zip_with(quantize.binary_quantize(F.col("vector")), F.array(*(F.lit(x >= 0) for x in query)), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
         else:
             raise InvalidParameter("how must be scalar or binary")
         chosen = rows.withColumn("_near", near).orderBy("_near", "point_id").limit(max(limit, candidates))
-        return chosen.select("point_id", vectors.distance(p["metric"], F.col("vector"), query).alias("score")).orderBy("score", "point_id").limit(limit)
+        return chosen.select("point_id", scoring.score(p["metric"], F.col("vector"), query).alias("score")).orderBy("score", "point_id").limit(limit)
 
     def status(self) -> DataFrame:
         """One row (status, detail, repair_advice): ready, not_ready or corrupt."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantor.errors import Corrupt, InvalidParameter, NotReady
-from vantor.functions import vectors
+from vantor.functions import scoring, vectors
 from vantor.sources.catalog import check_limit
 from vantor.sources.jobs import decode_segment, encode_segment
 from vantor.sources.versioned import VersionedTable
@@ -29,11 +29,9 @@ SHARD_ROWS, SEED = 20_000, 23
 
 
 def node_level(node: int, m: int) -> int:
-    """Layers above the base: each is reached by about one of m nodes of the layer below; a hash of the node's number decides."""
-    h, level = int.from_bytes(hashlib.blake2b(f"{SEED}/{node}".encode(), digest_size=8).digest(), "little"), 0
-    while h % m == 0 and level < 16:
-        h, level = h // m, level + 1
-    return level
+    """Layers above the base by the published law: floor(-ln(u) / ln(m)) for a u that is uniform in (0, 1), here out of a hash of the node's number."""
+    bits = int.from_bytes(hashlib.blake2b(f"{SEED}/{node}".encode(), digest_size=8).digest(), "little") >> 11
+    return min(16, int(-math.log((bits + 0.5) / (1 << 53)) / math.log(m)))
 
 
 class ShardGraph:
@@ -183,7 +181,7 @@ class GraphIndex:
     @classmethod
     def build(cls, df: DataFrame, point: str, vector: str, dims: int, metric: str, path: str, m: int = 16, ef_construction: int = 64, shard_rows: int = SHARD_ROWS) -> GraphIndex:
         """Builds an index of all rows whose vector isn't null; ids must be unique."""
-        vectors.distance(metric, F.col(vector), [1.0])  # checks the metric
+        scoring.check_metric(metric)
         if not 2 <= m <= 100 or ef_construction < m or shard_rows < 1:
             raise InvalidParameter("bad graph parameters")
         self = cls(df.sparkSession, path)
@@ -281,7 +279,7 @@ class GraphIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(graph.ids[found]), pa.array(list(rows), pa.list_(pa.float32()))], ["point_id", "vector"])
 
         hits = shards.mapInArrow(run, "point_id bigint, vector array<float>")
-        return hits.select("point_id", vectors.distance(metric, F.col("vector"), query.tolist()).alias("score")).orderBy("score", "point_id").limit(limit)
+        return hits.select("point_id", scoring.score(metric, F.col("vector"), query.tolist()).alias("score")).orderBy("score", "point_id").limit(limit)
 
     @staticmethod
     def _ids(shards: DataFrame, metric: str) -> DataFrame:

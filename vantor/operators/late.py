@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantor.errors import BudgetExceeded, InvalidParameter
-from vantor.functions import vectors
+from vantor.functions import scoring, vectors
 
 MAX_COMPARISONS = 1_000_000
 
@@ -24,30 +24,24 @@ def check_queries(queries: Sequence[Sequence[float]]) -> list[list[float]]:
 
 def max_sim(tokens: Column, queries: Sequence[Sequence[float]]) -> Column:
     """The score of an array of token vectors; a null or empty array is an error (22023), as is another dimension."""
-    total = None
-    for q in check_queries(queries):
-        best = F.array_max(F.transform(tokens, _product_with(q)))
-        total = best if total is None else total + best
-    return F.when(F.size(tokens) > 0, total).otherwise(vectors.error("22023: a row has no tokens"))
+    return scoring.best_products(tokens, check_queries(queries))
 
 
-def _product_with(q: list[float]) -> Callable[[Column], Column]:
-    return lambda t: vectors.inner_product(t, q)
+def sum_of_best(rows: DataFrame, keys: Sequence[str], products: str, count: int) -> DataFrame:
+    """Rows (keys, score): the best of each query's products over a point's rows, by hash aggregation, then their sum."""
+    best = rows.groupBy(*keys).agg(*(F.max(F.get(products, F.lit(i))).alias(f"_{i}") for i in range(count)))
+    return best.select(*keys, F.aggregate(F.array(*(F.col(f"_{i}") for i in range(count))), F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
 def max_sim_rows(tokens: DataFrame, point: str, vector: str, queries: Sequence[Sequence[float]]) -> DataFrame:
-    """Rows (point, score) from one row per token: the best product per query vector by hash aggregation, then their sum.
+    """Rows (point_id, score) from one row per token: the best product per query vector by hash aggregation, then their sum.
 
     The form for large token tables: partial maxima are combined before the shuffle, and no point's tokens are collected.
     Null vectors are skipped.
     """
     wanted = check_queries(queries)
-    rows = tokens.where(F.col(vector).isNotNull()).select(F.col(point).alias("point_id"), *(vectors.inner_product(F.col(vector), q).alias(f"_{i}") for i, q in enumerate(wanted)))
-    best = rows.groupBy("point_id").agg(*(F.max(f"_{i}").alias(f"_{i}") for i in range(len(wanted))))
-    total = F.col("_0")
-    for i in range(1, len(wanted)):
-        total = total + F.col(f"_{i}")
-    return best.select("point_id", total.alias("score"))
+    rows = tokens.where(F.col(vector).isNotNull()).select(F.col(point).alias("point_id"), scoring.products(F.col(vector), wanted).alias("_p"))
+    return sum_of_best(rows, ["point_id"], "_p", len(wanted))
 
 
 def check_offsets(offsets: Sequence[int], count: int, points: int) -> None:

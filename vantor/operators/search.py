@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantor.errors import InvalidParameter
+from vantor.functions import scoring, vectors
 from vantor.functions import sparse as sparse_
-from vantor.functions import vectors
 from vantor.operators import late, text
 from vantor.operators.aggregates import aggregate_vectors
+from vantor.runtime import materialize
 from vantor.sources.catalog import Catalog, Collection, check_limit
 
 Filter = str | Mapping | None
@@ -53,17 +54,15 @@ _MISMATCH, _ZERO = "22023: dimension mismatch", "22P02: zero vector has no direc
 
 
 def _dense(metric: str, column: str, query: Sequence[float]) -> dict[str, Column]:
-    """score and _fault of a vector column."""
+    """score and _fault of a vector column; the score is one batch function, evaluated once per row."""
+    if metric == "cosine" and not any(query):
+        raise InvalidParameter("the query vector has no direction")
     v = F.col(f"`{column}`")
-    same = F.size(v) == len(query)
-    fault = F.when(~same, _MISMATCH)
+    score = scoring.score(metric, v, query)
+    fault = F.when(F.size(v) != len(query), _MISMATCH)
     if metric == "cosine":
-        if not any(query):
-            raise InvalidParameter("the query vector has no direction")
-        length = F.when(same, vectors.inner_product(v, v) if len(query) > vectors.UNROLLED else vectors._norm_like(v, query))
-        fault = fault.when(length == 0, _ZERO)
-        same = length > 0
-    return {"score": F.when(same, vectors.distance(metric, v, query)), "_fault": fault}
+        fault = fault.when(score == scoring.NO_DIRECTION, _ZERO)
+    return {"score": score, "_fault": fault}
 
 
 def _sparse(metric: str, column: str, query: sparse_.Sparse) -> dict[str, Column]:
@@ -108,7 +107,10 @@ def inline(spark: SparkSession, vector: Sequence[float], point_ids: Sequence[int
     query = vectors.check_vector(vector)
     _aligned(point_ids, candidates)
     rows = spark.createDataFrame([(int(i), vectors.check_vector(v, len(query))) for i, v in zip(point_ids, candidates, strict=True)], "point_id bigint, v array<double>")
-    return top(rows.select("point_id", vectors.distance(metric, F.col("v"), query).alias("score")), limit, keep=("point_id", "score"))
+    scored = rows.select("point_id", scoring.score(metric, F.col("v"), query).alias("score"))
+    if metric == "cosine":
+        scored = scored.withColumn("score", F.when(F.col("score") != scoring.NO_DIRECTION, F.col("score")).when(F.col("score").isNotNull(), vectors.error(_ZERO)))
+    return top(scored, limit, keep=("point_id", "score"))
 
 
 def rerank_quantized(spark: SparkSession, vector: Sequence[float], point_ids: Sequence[int], originals: Sequence[Sequence[float]], metric: str, limit: int) -> DataFrame:
@@ -157,26 +159,32 @@ def search_late_interaction(catalog: Catalog, collection: str, queries: Sequence
     tokens, dims = F.col(f"`{column}`"), len(late.check_queries(queries)[0])
     even = F.forall(tokens, lambda t: F.size(t) == dims)
     fault = F.when(F.coalesce(F.size(tokens), F.lit(0)) < 1, "22023: a row has no tokens").when(~F.coalesce(even, F.lit(False)), _MISMATCH)
-    rows = project(catalog, c, {"score": F.when((F.size(tokens) > 0) & even, late.max_sim(tokens, queries)), "_fault": fault})
+    whole = F.when((F.size(tokens) > 0) & even, tokens).otherwise(F.array(F.array_repeat(F.lit(0.0).cast("float"), dims)))
+    rows = project(catalog, c, {"score": F.when(fault.isNull(), late.max_sim(whole, queries)), "_fault": fault})
     return top(_raised(rows), limit, descending=True)
 
 
 def search_late_interaction_tokens(
     catalog: Catalog, collection: str, queries: Sequence[Sequence[float]], tokens: DataFrame, key: str, vector: str, candidates: int, limit: int
 ) -> DataFrame:
-    """Late interaction over a table with one row per token: per query vector the `candidates` best tokens choose points, which are then scored over all their tokens."""
+    """Late interaction over a table with one row per token: per query vector the `candidates` best tokens choose points, which are then scored over all their tokens.
+
+    All query vectors are scored in one pass at the scan of the tokens, which leaves a key and a number per query vector of
+    each token; token vectors don't travel.
+    """
     c = catalog.resolve(collection)
     catalog.enforce_search(c, limit, candidates)
     check_limit(candidates)
     wanted = late.check_queries(queries)
     points = catalog.active(c).join(catalog.source(c).select(F.col("id").cast("string").alias("source_key")), "source_key", "left_semi")
-    rows = tokens.select(F.col(key).cast("string").alias("source_key"), F.col(vector).alias("_t")).where(F.col("_t").isNotNull()).join(points, "source_key")
+    rows = tokens.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("source_key"), scoring.products(F.col(vector), wanted).alias("_p"))
+    rows = materialize(rows.where(F.col("_p").isNotNull()).join(points, "source_key").select("point_id", "source_key", "_p"), "tokens")
     chosen = None
-    for q in wanted:
-        best = rows.select("point_id", vectors.inner_product(F.col("_t"), q).alias("s")).orderBy(F.desc("s"), "point_id").limit(candidates).select("point_id")
+    for i in range(len(wanted)):
+        best = rows.select("point_id", F.get("_p", F.lit(i)).alias("s")).orderBy(F.desc("s"), "point_id").limit(candidates).select("point_id")
         chosen = best if chosen is None else chosen.unionByName(best)
-    scored = late.max_sim_rows(rows.join(chosen.distinct(), "point_id", "left_semi"), "point_id", "_t", wanted)
-    return top(scored.join(points, "point_id"), limit, descending=True)
+    scored = late.sum_of_best(rows.join(chosen.distinct(), "point_id", "left_semi"), ["point_id", "source_key"], "_p", len(wanted))
+    return top(scored, limit, descending=True)
 
 
 def _has(rows: DataFrame, column: str) -> None:

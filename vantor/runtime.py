@@ -12,15 +12,20 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantor.errors import NotReady
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where the setting is unset (local tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session (one machine, as in tests) gets a temporary one; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise NotReady("spark.checkpoint.dir must name a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="vantor-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
