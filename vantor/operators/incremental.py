@@ -1,18 +1,20 @@
-"""What the next run over a collection's points must process.
-
-The files in which points are delivered are immutable, and a row's loaded_at tells from when on a reader saw it. So the
-version of the table that a run saw at its snapshot is: every file, less a deletion vector that hides the rows loaded
-later. The manifest below holds, per file and collection, how far its rows reach; its difference between a run's version
-and the present one names the entries that bring new rows, and only those rows are candidates. To them come the rows
-behind the position at which the run stopped. The last completed run is read from the job table, where a run's position
-is saved with its completion; runs that did not complete have left nothing that counts.
+"""What the next run over a collection's points must process, by the difference of table versions.
+
+Deliveries of points are commits of a versioned table: immutable files under immutable manifests (`ledger`). A run over a
+collection saw the version of that table at its snapshot. What the last completed runs left is one commit of the output
+table (`replay`): the version of each point they covered, whether the run had come to it, and as properties of that
+very commit the ledger version covered by collection. Runs that did not complete have committed nothing and leave no trace. The
+next run (`run`) reads these properties, takes the difference of the manifests, hence only files added since, and commits what it
+finds together with the version reached.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
+
+from vantor.runtime import scratch
+from vantor.sources.versioned import VersionedTable, progress, run_incremental
 
 DONE = "completed"
 
@@ -32,50 +34,68 @@ def last_runs(jobs: DataFrame) -> DataFrame:
     return latest.select("collection_id", "run.*")
 
 
-def manifest(points: DataFrame) -> DataFrame:
-    """Rows (file, collection_id, first_loaded, last_loaded, n_rows), one per delivered file and collection."""
-    return points.groupBy("file", "collection_id").agg(
-        F.min("loaded_at").alias("first_loaded"), F.max("loaded_at").alias("last_loaded"),
-        F.max(F.col("loaded_at").isNull()).alias("undated"), F.count(F.lit(1)).alias("n_rows"),
-    )
+def ledger(points: DataFrame, runs: DataFrame, path: str) -> tuple[VersionedTable, dict[int, int]]:
+    """The deliveries as commits of a versioned table (point_id, collection_id, changed_at, loaded_at), and the version that each collection's run saw.
+
+    A version ends with the rows loaded up to and including a snapshot, so that a run's snapshot is a version; there are as
+    many as different snapshots of last runs, at most one per collection. Rows without loaded_at come with the last version,
+    as no run is known to have seen them. Rows without point_id are left out.
+    """
+    seen = [(r[0], r[1]) for r in runs.select("collection_id", F.col("snapshot_at").cast("string")).collect()]  # one row per collection
+    kind = points.schema["loaded_at"].dataType.simpleString()
+    cuts = sorted({s for _, s in seen})
+    rows = points.where(F.col("point_id").isNotNull()).select("point_id", "collection_id", change_time(points).alias("changed_at"), "loaded_at")
+    epoch = F.lit(0)
+    if cuts:
+        times = F.array(*(F.lit(c).cast(kind) for c in cuts))
+        epoch = F.when(F.col("loaded_at").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(times, lambda c: c < F.col("loaded_at"))))
+    table = VersionedTable(points.sparkSession, path)
+    versions = table.load(rows.withColumn("epoch", epoch), "epoch", len(cuts) + 1)
+    return table, {c: versions[cuts.index(s)] for c, s in seen}
+
+
+def replay(table: VersionedTable, seen: dict[int, int], runs: DataFrame, path: str) -> VersionedTable:
+    """The output table with one commit, the state that the last completed runs left: rows (point_id, collection_id, changed_at, pending).
+
+    One row per point of the version its run saw, with its latest change then; pending if the run had not come to it. The
+    versions covered are properties of the commit.
+    """
+    target = VersionedTable(table.spark, path)
+    covered = table.seen_by("collection_id", seen).groupBy("point_id", "collection_id").agg(F.max("changed_at").alias("changed_at"))
+    state = covered.join(F.broadcast(runs), "collection_id")  # one row per collection
+    state = state.select("point_id", "collection_id", "changed_at", F.coalesce(_behind("changed_at", "point_id"), F.lit(False)).alias("pending"))
+    target.commit(state, properties=progress("points", 0, seen))
+    return target
 
 
-def manifest_diff(entries: DataFrame, runs: DataFrame) -> DataFrame:
-    """The manifest entries that differ between the version each collection's last run saw and the present one.
+def run(table: VersionedTable, target: VersionedTable) -> int:
+    """The next run: commits to the target, as pending, the points whose present version came with deliveries that no completed run saw.
 
-    Adds the run's columns and `kind`: "added" (no row of the entry was visible) or "unhidden" (its deletion vector was
-    not empty). Entries that the run saw whole are left out. Undated rows count as never seen.
+    Of the ledger only files added since the saved versions are read. A delivery of a version that was covered
+    before, or of an older one, makes no point pending.
     """
-    both = entries.join(runs, "collection_id", "left")
-    hidden = F.col("snapshot_at").isNull() | (F.col("last_loaded") > F.col("snapshot_at")) | F.col("undated")
-    added = F.col("snapshot_at").isNull() | (F.coalesce(F.col("first_loaded") > F.col("snapshot_at"), F.lit(True)))
-    return both.where(hidden).withColumn("kind", F.when(added, "added").otherwise("unhidden"))
+    covered = target.read().select("point_id", "collection_id", F.col("changed_at").alias("_covered"), F.lit(True).alias("_known"))
 
+    def fresh(changes: DataFrame) -> DataFrame:
+        new = changes.groupBy("point_id", "collection_id").agg(F.max("changed_at").alias("changed_at"))
+        both = new.join(covered, ["point_id", "collection_id"], "left")
+        later = F.col("changed_at").isNotNull() & (F.col("_covered").isNull() | (F.col("changed_at") > F.col("_covered")))
+        return both.where(F.col("_known").isNull() | later).select("point_id", "collection_id", "changed_at", F.lit(True).alias("pending"))
 
-def with_file(points: DataFrame) -> DataFrame:
-    """points with the column file: the delivered file of each row; one name for all where rows come from no file."""
-    try:
-        return points.withColumn("file", F.col("_metadata.file_path"))
-    except Exception:  # noqa: BLE001 - a table that isn't read from files has no such column
-        return points.withColumn("file", F.lit("-"))
+    return run_incremental(table, target, fresh, "points", "collection_id")
 
 
 def record_deltas(points: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows that each collection's last completed run has not covered: (point_id, collection_id, changed_at, loaded_at, reason).
 
-    reason is "added" or "unhidden" for rows out of the manifests' difference, "unread" for rows of the run's own version
-    behind the position at which it stopped. Repeated rows stay repeated.
+    reason is "added" for rows out of the manifests' difference, "unread" for rows of the run's own version behind the
+    position at which it stopped. Repeated rows stay repeated; rows without point_id are left out.
     """
     runs = last_runs(jobs)
-    needed = ["point_id", "collection_id", "created_at", "updated_at", "deleted_at", "loaded_at"]
-    rows = with_file(points).select(*needed, "file").withColumn("changed_at", change_time(points))
-    diff = manifest_diff(manifest(rows), runs).select("file", F.col("collection_id").alias("_c"), F.col("snapshot_at").alias("_seen"), "kind")
-    rows = rows.withColumnRenamed("file", "_file")
-    new = rows.join(diff, (F.col("_file") == F.col("file")) & F.col("collection_id").eqNullSafe(F.col("_c")))
-    new = new.where(F.col("_seen").isNull() | F.col("loaded_at").isNull() | (F.col("loaded_at") > F.col("_seen")))
-    tail = rows.join(runs, "collection_id").where((F.col("loaded_at") <= F.col("snapshot_at")) & _behind("changed_at", "point_id"))
-    columns = ["point_id", "collection_id", "changed_at", "loaded_at"]
-    return new.select(*columns, F.col("kind").alias("reason")).unionByName(tail.select(*columns, F.lit("unread").alias("reason")))
+    table, seen = ledger(points, runs, scratch(points.sparkSession, "ledger"))
+    new = table.changes_by("collection_id", seen).drop("_change").withColumn("reason", F.lit("added"))
+    tail = table.seen_by("collection_id", seen).join(F.broadcast(runs), "collection_id").where(_behind("changed_at", "point_id"))
+    return new.unionByName(tail.select("point_id", "collection_id", "changed_at", "loaded_at", F.lit("unread").alias("reason")))
 
 
 def _behind(changed: str, point: str) -> Column:
@@ -87,20 +107,16 @@ def _behind(changed: str, point: str) -> Column:
 def pending_points(points: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows (point_id): points whose present version the last completed run of their collection has not covered.
 
-    The present version has the latest time of change; delivered more than once, it counts as loaded at its earliest
-    loaded_at. Candidates are the points of record_deltas; the check against their present version, taken over all their
-    rows, follows (an old version that was loaded late is no case).
+    The deliveries become a ledger, the last completed runs the state they left, and one more run adds what the ledger's
+    manifests have beyond the versions saved with that state.
 
-    Null point_id: left out. Null collection_id: no run, hence always pending. All times null: the earliest change. Null
-    loaded_at: never seen, unless the same version was also delivered with one. Empty tables and repeated rows are fine;
-    without any completed run every point is pending.
+    The present version has the latest time of change; delivered more than once, it counts as loaded at its earliest
+    loaded_at. Null point_id: left out. Null collection_id: no run, hence always pending. All times null: the earliest change.
+    Null loaded_at: never seen, unless the same version was also delivered with one. Empty tables and repeated rows are
+    fine; without any completed run every point is pending. Other columns are ignored.
     """
-    kind = points.schema["loaded_at"].dataType
-    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'" if isinstance(kind, TimestampNTZType) else "TIMESTAMP'1970-01-01 00:00:00Z'")
-    touched = record_deltas(points, jobs).where(F.col("point_id").isNotNull()).select("point_id").distinct()
-    rows = points.select("point_id", "collection_id", change_time(points).alias("changed_at"), (epoch - F.col("loaded_at")).alias("_early"), "loaded_at")
-    rows = rows.join(touched, "point_id", "left_semi")
-    present = rows.groupBy("point_id", "collection_id").agg(F.max(F.struct("changed_at", "_early", "loaded_at")).alias("v"))
-    present = present.select("point_id", "collection_id", "v.changed_at", "v.loaded_at").join(last_runs(jobs), "collection_id", "left")
-    unseen = F.col("snapshot_at").isNull() | F.col("loaded_at").isNull() | (F.col("loaded_at") > F.col("snapshot_at"))
-    return present.where(unseen | _behind("changed_at", "point_id")).select("point_id").distinct()
+    spark, runs = points.sparkSession, last_runs(jobs)
+    table, seen = ledger(points, runs, scratch(spark, "ledger"))
+    target = replay(table, seen, runs, scratch(spark, "pending"))
+    run(table, target)
+    return target.read().where("pending").select("point_id").distinct()

@@ -15,18 +15,20 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vantor.errors import Conflict, UnknownTable
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """One version: file name -> name of its deletion vector, or None; properties hold what a commit wants to remember."""
+    """One version: file name -> name of its deletion vector, or None; properties hold what a commit wants to remember; born: file name -> version that added it."""
 
     version: int
     schema: str
     files: dict[str, str | None] = field(default_factory=dict)
     properties: dict[str, object] = field(default_factory=dict)
+    born: dict[str, int] = field(default_factory=dict)
 
 
 class VersionedTable:
@@ -61,7 +63,8 @@ class VersionedTable:
             stream.close()
 
     def _put(self, manifest: Manifest) -> None:
-        text = json.dumps(manifest.__dict__)
+        born = {f: manifest.born.get(f, manifest.version) for f in manifest.files}
+        text = json.dumps(manifest.__dict__ | {"born": born})
         draft = self._at("_log", f".{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
         try:
@@ -135,9 +138,28 @@ class VersionedTable:
         if added is not None:
             schema = schema or _schema(added)
             files |= self._write(added)
-        self._put(Manifest(m.version + 1, schema, files, m.properties | (properties or {})))
+        self._put(Manifest(m.version + 1, schema, files, m.properties | (properties or {}), m.born))
         return m.version + 1
 
+    def load(self, rows: DataFrame, epoch: str, epochs: int) -> list[int]:
+        """One commit per delivery, written in one job: rows whose column `epoch` is i, from 0 to epochs - 1, come with the i-th of the new versions, which are returned.
+
+        The column itself isn't kept. A delivery without rows gives a version without new files.
+        """
+        m, name = self.manifest(), uuid.uuid4().hex
+        schema, files = m.schema or _schema(rows.drop(epoch)), dict(m.files)
+        rows.withColumnRenamed(epoch, "_epoch").write.partitionBy("_epoch").parquet(f"{self.path}/data/{name}")
+        versions = []
+        for i in range(epochs):
+            folder = self._at("data", name, f"_epoch={i}")
+            if self._fs.exists(folder):
+                files |= {f"{name}/_epoch={i}/{s.getPath().getName()}": None for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".parquet")}
+            m = Manifest(m.version + 1, schema, dict(files), m.properties, m.born)
+            self._put(m)
+            m = self.manifest(m.version)
+            versions.append(m.version)
+        return versions
+
     def replace(self, rows: DataFrame, base: int | None = None, properties: dict[str, object] | None = None) -> int:
         """Writes the next version, which holds just these rows."""
         m = self.manifest(base)
@@ -178,21 +200,87 @@ class VersionedTable:
         return out.drop("_file", "_row")
 
 
+    def changes_by(self, key: str, done: dict[object, int], rest: int = 0, until: int | None = None) -> DataFrame:
+        """changes() where each value of the column `key` has its own version from which on changes count: done's, or `rest` for values (and null) that done lacks.
+
+        Files that were there at the least of those versions are not read, and files older than all of done's versions only
+        for other keys. As long as files were only added, one pass does: a row counts if its file was added after its
+        key's version.
+        """
+        now, first = self.manifest(until), min([rest, *done.values()])
+        old = self.manifest(first)
+        if now.version == 0:
+            raise UnknownTable(f"{self.path} has no version")
+        kind = StructType.fromDDL(now.schema)[key].dataType
+        marked = [old, *(self.manifest(v) for v in sorted(set(done.values()) - {first, now.version}))]
+        if not any(any(m.files.values()) or m.files.keys() - now.files.keys() for m in [now, *marked]):
+            added = {f: now.born[f] for f in now.files.keys() - old.files.keys()}
+            least = min(done.values(), default=rest)
+            late, early = ({f: v for f, v in added.items() if (v > least) == after} for after in (True, False))
+            parts = []
+            if late:
+                born = F.broadcast(self.spark.createDataFrame(sorted(late.items()), "_file string, _born int"))  # a row per file, out of the manifest
+                marks = self.spark.createDataFrame(list(done.items()), StructType([StructField("_key", kind), StructField("_done", IntegerType())]))
+                rows = self._rows(sorted(late), now.schema).drop("_row").join(born, "_file").join(F.broadcast(marks), F.col(key) == F.col("_key"), "left")
+                parts.append(rows.where(F.col("_born") > F.coalesce("_done", F.lit(rest))).drop("_file", "_born", "_key", "_done"))
+            if early:  # before the first of done's versions only other keys have news
+                other = F.col(key).isNull() | ~F.col(key).isin(list(done)) if done else F.lit(True)
+                parts.append(self._rows(sorted(early), now.schema).where(other).drop("_file", "_row"))
+            if not parts:
+                return self.spark.createDataFrame([], now.schema + ", _change string")
+            return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).withColumn("_change", F.lit("insert"))
+        out = None
+        for version in sorted({rest, *done.values()}):
+            own = [k for k, v in done.items() if v == version]
+            among = F.coalesce(F.col(key).isin(own), F.lit(False)) if own else F.lit(False)
+            if version == rest:
+                among = among | ~F.coalesce(F.col(key).isin(list(done)), F.lit(False)) if done else F.lit(True)
+            part = self.changes(version, now.version).where(among)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def seen_by(self, key: str, done: dict[object, int]) -> DataFrame:
+        """Rows that were there at their key's version; keys that done lacks have none."""
+        now = self.manifest()
+        kind = StructType.fromDDL(now.schema)[key].dataType
+        out = None
+        names = sorted(f for f, v in now.born.items() if v <= max(done.values(), default=0))
+        if not names or any(now.files.values()) or any(any(self.manifest(v).files.values()) for v in set(done.values())):
+            for version in sorted(set(done.values())):
+                part = self.read(version).where(F.col(key).isin([k for k, v in done.items() if v == version]))
+                out = part if out is None else out.unionByName(part)
+            return self.spark.createDataFrame([], now.schema) if out is None else out
+        born = F.broadcast(self.spark.createDataFrame([(f, now.born[f]) for f in names], "_file string, _born int"))
+        marks = self.spark.createDataFrame([(k, v) for k, v in done.items()], StructType([StructField("_key", kind), StructField("_done", IntegerType())]))
+        rows = self._rows(names, now.schema).drop("_row").join(born, "_file").join(F.broadcast(marks), F.col(key) == F.col("_key"))
+        return rows.where(F.col("_born") <= F.col("_done")).drop("_file", "_born", "_key", "_done")
+
+
 def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def run_incremental(source: VersionedTable, target: VersionedTable, transform: Callable[[DataFrame], DataFrame], name: str = "source") -> int:
+def run_incremental(source: VersionedTable, target: VersionedTable, transform: Callable[[DataFrame], DataFrame], name: str = "source", key: str | None = None) -> int:
     """One run over what changed in `source` since the last run that was committed to `target`; returns the source version now covered.
 
     The version reached is a property of the target's own commit, so output and progress appear together or not at all.
     A run that fails leaves nothing behind, whatever it had written; the next one starts from the same version. A
     concurrent run loses at the commit (Conflict). Without changes nothing is written.
+
+    key: a column of the source whose values may have been covered up to versions of their own, which a commit saved as
+    progress(name, version, by_key); the run brings them all to one version.
     """
     base = target.version()
-    done = int(target.manifest(base).properties.get(f"{name}_version", 0) or 0)
+    saved = target.manifest(base).properties
+    done, behind = int(saved.get(f"{name}_version", 0) or 0), {k: v for k, v in saved.get(f"{name}_versions", ())}
     now = source.version()
-    if now == done:
+    if now == done and not any(v < now for v in behind.values()):
         return done
-    target.commit(transform(source.changes(done, now)), base=base, properties={f"{name}_version": now})
+    changes = source.changes(done, now) if key is None else source.changes_by(key, behind, done, now)
+    target.commit(transform(changes), base=base, properties=progress(name, now))
     return now
+
+
+def progress(name: str, version: int, by_key: dict[object, int] | None = None) -> dict[str, object]:
+    """Properties for a target's commit: the source version it covers, and those of single keys that stand elsewhere."""
+    return {f"{name}_version": version, f"{name}_versions": [[k, v] for k, v in (by_key or {}).items()]}
