@@ -245,7 +245,7 @@ class VersionedTable:
         kind = StructType.fromDDL(now.schema)[key].dataType
         out = None
         names = sorted(f for f, v in now.born.items() if v <= max(done.values(), default=0))
-        if not names or any(now.files.values()) or any(any(self.manifest(v).files.values()) for v in set(done.values())):
+        if not names or any(any(m.files.values()) or m.files.keys() - now.files.keys() for m in [now, *(self.manifest(v) for v in sorted(set(done.values())))]):
             for version in sorted(set(done.values())):
                 part = self.read(version).where(F.col(key).isin([k for k, v in done.items() if v == version]))
                 out = part if out is None else out.unionByName(part)
