@@ -54,6 +54,32 @@ def test_runs_of_nearly_the_limit_are_not_cut():
         assert "forced" not in {k for *_, k in pieces}
 
 
+def test_long_sentences_beside_long_runs_keep_the_run_whole():
+    text = ("word " * 260)[:1299] + ". " + "x" * 1400 + " tail."
+    assert [(a, b) for a, b, _ in check_pieces(text, 1500, 150)] == [(0, 1351), (1201, 2701), (2551, len(text))]
+    for size in range(1201, 1351):
+        for run in (1351, 1400, 1499):
+            sentence = ("word " * 300)[: size - 2] + ". "
+            for text in (sentence + "x" * run + " tail.", "Before it. " * 30 + sentence + "x" * run + " tail.", "x" * run + " " + sentence + "x" * run + " " + sentence * 2):
+                assert not {k for *_, k in check_pieces(text, 1500, 150)} & {"forced", "tight"}
+
+
+def test_runs_side_by_side():
+    """Runs of nearly the limit share the overlaps with what lies between them, be it one space; none is cut."""
+    assert "tight" not in {k for *_, k in check_pieces("x" * 1400 + " " + "y" * 1400 + " z", 1500, 150)}
+    assert "tight" not in {k for *_, k in check_pieces("x" * 1499 + " " + "y" * 1499 + " z", 1500, 150)}
+    assert "tight" not in {k for *_, k in check_pieces(" ".join(c * 1500 for c in "xyzxyz"), 1500, 150)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 3200), min_size=1, max_size=6))
+def test_forced_cuts_tell_long_runs(runs):
+    text = " ".join("x" * n for n in runs) + " the rest of it"
+    kinds = {k for *_, k in check_pieces(text, 1500, 150)}
+    if len(text) > 1500:
+        assert ("forced" in kinds) == (max(runs) > 1500)
+
+
 def test_split_texts(spark):
     body = "Some sentence. " * 300
     df = spark.createDataFrame([(1, body, "x"), (1, None, "y"), (1, body, "z"), (2, "short", "x"), (3, None, None), (4, "", ""), (5, "😀" * 1501, None)], "id long, body string, piece string")

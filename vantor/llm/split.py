@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 1500, 150
-#: Strength of a boundary, weakest first; a forced one lies inside an unbroken run of characters.
-FORCED, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
-NAMES = ("forced", "word", "sentence", "line", "paragraph")
+#: Strength of a boundary, weakest first; a forced one lies inside an unbroken run of more than the limit, a tight one inside a shorter run.
+TIGHT, FORCED, WORD, SENTENCE, LINE, PARAGRAPH = range(6)
+NAMES = ("tight", "forced", "word", "sentence", "line", "paragraph")
 _BREAKS = " \t\r\n.!?;。！？；"
 _ATOM = re.compile(f"[^{_BREAKS}]*[{_BREAKS}]+|[^{_BREAKS}]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n[\s]*$")
@@ -60,26 +60,50 @@ def _atoms(text: str, capacity: int, limit: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _sentences(atoms: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int, int]]:
-    """Joins the atoms of each sentence that fits: merging the weakest boundaries first would do just that."""
+def _sentences(atoms: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """The atoms of each sentence that fits together, other atoms by themselves: merging the weakest boundaries first would do just that."""
     out, first = [], 0
     for i, (_, end, strength) in enumerate(atoms):
         if strength >= SENTENCE or i == len(atoms) - 1:
             if end - atoms[first][0] <= capacity:
-                out.append((atoms[first][0], end, strength))
+                out.append(atoms[first : i + 1])
             else:
-                out += atoms[first : i + 1]
+                out += [[a] for a in atoms[first : i + 1]]
             first = i + 1
     return out
 
 
+def _segments(units: list[list[tuple[int, int, int]]], limit: int, capacity: int) -> list[tuple[int, int, int]]:
+    """(start, end, strength of the boundary at end) of segments that fit one after another, with overlaps between them.
+
+    From the end of the text, each segment tells how much of the overlap must lie behind the cut before it. One that can't
+    hold what the next asks for gives way: a sentence to its atoms, a single run to its halves.
+    """
+    todo, out, need = units[:], [], 0
+    while todo:
+        unit = todo.pop()
+        start, end, strength = unit[0][0], unit[-1][1], unit[-1][2]
+        size = end - start + need
+        if size > limit:
+            if len(unit) > 1:
+                todo += [[a] for a in unit]
+            else:
+                middle = start + (end - start) // 2
+                todo += [[(start, middle, TIGHT)], [(middle, end, strength)]]
+            continue
+        out.append((start, end, strength))
+        need = max(0, size - capacity)
+    return out[::-1]
+
+
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """(start, end, kind of the cut at its end) of consecutive pieces of at most `limit` characters, each sharing `overlap` characters with the next.
 
     Adjacent segments lie in a heap by the strength of the boundary between them; the weakest boundary is merged first
-    (of equals the pair that is smallest, then the leftmost), as long as the pair and the overlap fit. A cut's overlap lies before it; only where
-    the segment after a cut is too long for that (a run of more than limit - overlap characters) it lies behind it, in the
-    piece before. The last piece's kind is "end". A text that fits is one piece; an empty one gives none.
+    (of equals the pair that is smallest, then the leftmost), as long as the pair and the overlap fit. A cut's overlap lies before it, except
+    for what the piece after it can't hold (its segment being longer than limit - overlap): that part lies behind the cut. So a run of up to
+    `limit` characters stays whole unless its neighbours are nearly as long ("tight"). The last piece's kind is "end".
+    A text that fits is one piece; an empty one gives none.
     """
     if not 0 <= overlap * 3 < limit:
         raise ValueError("the overlap must be less than a third of the limit")
@@ -87,51 +111,42 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     if n <= limit:
         return [(0, n, "end")] if n else []
     capacity = limit - overlap
-    units = _sentences(_atoms(text, capacity, limit), capacity)
-    # an unbroken run of capacity to limit characters needs the overlaps of both its cuts in its neighbours; where a neighbour can't hold one, the run is cut
-    fixed: list[tuple[int, int, int]] = []
-    for start, end, strength in units:
-        if end - start > capacity and fixed and fixed[-1][1] - fixed[-1][0] > limit - 2 * overlap:
-            middle = start + (end - start) // 2
-            fixed += [(start, middle, FORCED), (middle, end, strength)]
-        else:
-            if fixed and fixed[-1][1] - fixed[-1][0] > capacity and end - start > limit - 2 * overlap and end - start <= capacity:
-                middle = start + (end - start) // 2
-                fixed.append((start, middle, FORCED))
-                start = middle
-            fixed.append((start, end, strength))
+    fixed = _segments(_sentences(_atoms(text, capacity, limit), capacity), limit, capacity)
     count = len(fixed)
     start_of, end_of, strength_of = ([u[i] for u in fixed] for i in range(3))
     before, after = list(range(-1, count - 1)), [*range(1, count), -1]
     alive = [True] * count
-    wide = [end_of[i] - start_of[i] > capacity for i in range(count)]
-
-    def room(left: int, right: int) -> int:
-        """Characters that the merged pair may have: the limit less the overlaps that its piece takes over."""
-        most = limit - (overlap if before[left] >= 0 else 0)
-        nxt = after[right]
-        return most - (overlap if nxt >= 0 and wide[nxt] else 0)
+    # what of the overlap with the next segment lies behind a segment's end
+    behind = [0] * count
+    for i in range(count - 2, -1, -1):
+        behind[i] = max(0, end_of[i + 1] - start_of[i + 1] + behind[i + 1] - capacity)
 
     def push(i: int) -> None:
         j = after[i]
-        if j >= 0 and not wide[i] and not wide[j]:
-            size = end_of[j] - start_of[i]
-            if size <= limit:
-                heapq.heappush(heap, (strength_of[i], size, start_of[i], i, j))
+        if j >= 0 and end_of[j] - start_of[i] + behind[j] <= (limit if before[i] < 0 else capacity):
+            heapq.heappush(heap, (strength_of[i], end_of[j] - start_of[i], start_of[i], i, j))
 
     heap: list[tuple[int, int, int, int, int]] = []
     for i in range(count):
         push(i)
     while heap:
         _, size, start, i, j = heapq.heappop(heap)
-        if not (alive[i] and alive[j]) or after[i] != j or end_of[j] - start_of[i] != size or size > room(i, j):
+        if not (alive[i] and alive[j]) or after[i] != j or end_of[j] - start_of[i] != size:
             continue
         alive[j] = False
-        end_of[i], strength_of[i], after[i] = end_of[j], strength_of[j], after[j]
+        end_of[i], strength_of[i], after[i], behind[i] = end_of[j], strength_of[j], after[j], behind[j]
         if after[j] >= 0:
             before[after[j]] = i
-        if before[i] >= 0:
-            push(before[i])
+        # the pair fits with its overlap before it, so the segments to its left may have more room than before
+        at = before[i]
+        while at >= 0:
+            nxt = after[at]
+            asked = max(0, end_of[nxt] - start_of[nxt] + behind[nxt] - capacity)
+            changed, behind[at] = asked < behind[at], asked
+            push(at)
+            if not changed:
+                break
+            at = before[at]
         push(i)
     pieces, i, left = [], 0, 0
     while i >= 0:
@@ -139,7 +154,8 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         if nxt < 0:
             pieces.append((left, end_of[i], "end"))
             break
-        end = end_of[i] + (overlap if wide[nxt] else 0)
+        # a first segment that is shorter than the overlap takes the rest from behind
+        end = max(end_of[i] + behind[i], overlap + 1 if before[i] < 0 else 0)
         pieces.append((left, end, NAMES[strength_of[i]]))
         left, i = end - overlap, nxt
     return pieces
@@ -148,7 +164,6 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
 def _split(df: DataFrame, key: str, text: str, limit: int, overlap: int) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     names = [key, "piece_no", "start", "cut", "piece"]
-    unbroken = re.compile(f"[^{_BREAKS}]{{{limit + 1}}}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,9 +171,8 @@ def _split(df: DataFrame, key: str, text: str, limit: int, overlap: int) -> Data
                 part = batch.slice(at, 200)
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 for i, body in enumerate(part.column(1).to_pylist()):
-                    forced = "forced" if unbroken.search(body) else "tight"
                     for k, (start, end, cut) in enumerate(split_text(body, limit, overlap)):
-                        for column, value in zip(rows, (i, k, start, forced if cut == "forced" else cut, body[start:end]), strict=True):
+                        for column, value in zip(rows, (i, k, start, cut, body[start:end]), strict=True):
                             column.append(value)
                 keys = part.column(0).take(pa.array(rows[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.string())], names)
@@ -172,7 +186,7 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
 
     piece_no counts from 0, start is the piece's first character in the text, cut the kind of boundary at the piece's
     end (paragraph, line, sentence, word, forced; end for the last). The cut is "forced" only inside a run of more than
-    `limit` characters without white space or sentence end (or where two runs of nearly that length touch: kind "tight").
+    `limit` characters without white space or sentence end; where runs of nearly that length touch, one of them may be cut, of kind "tight".
     Lengths count Unicode code points. Null, empty and short texts give no rows; repeated rows of a key with one text
     give one set of pieces; other columns are ignored.
     """
