@@ -41,11 +41,10 @@ def truncated_poisson(mean: float, most: int) -> list[float]:
 
 
 def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: source, key, target_share, max_repeats, tokens, corpus_tokens, wanted, rate, feasible.
+    """One row per target: source, key, target_share, max_repeats, tokens, corpus_tokens, wanted, rate.
 
     sizes: rows (key, n_tokens), key being the folded source, null for documents without one. corpus_tokens covers all
-    documents, listed source or not. rate is the mean number of copies of a document, at most max_repeats; feasible is
-    false if even max_repeats copies of each document hold fewer tokens than wanted. Targets without documents have 0
+    documents, listed source or not. rate is the mean number of copies of a document, at most max_repeats. Targets without documents have 0
     tokens; targets with a null source, share or repeats are left out. Of targets that fold to one source, the first by name holds.
     """
     by_source = materialize(sizes.groupBy("key").agg(F.sum("n_tokens").alias("tokens")), "sources")  # the corpus is read once
@@ -58,53 +57,41 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.select(
         "source", "key", "target_share", "max_repeats", tokens.alias("tokens"), "corpus_tokens", want.alias("wanted"),
         F.least(F.when(tokens > 0, want / tokens).otherwise(0.0), F.col("max_repeats").cast("double")).alias("rate"),
-        (tokens * F.col("max_repeats") >= want).alias("feasible"),
     )
 
 
-def token_sizes(documents: DataFrame, directory: str = TOKENIZERS) -> DataFrame:
-    """Rows (key, n_tokens), one per document and text; null texts have 0 tokens."""
-    rows = documents.select(folded(F.col("source")).alias("key"), "text")
-    return count_tokens(rows, ["key"], "text", directory)
+def _sized(documents: DataFrame, directory: str, text: bool) -> DataFrame:
+    """The table (doc_id, key, n_tokens), with the texts if wanted, one row per document; null texts have 0 tokens. The tokens are counted once."""
+    rows = documents.select("doc_id", folded(F.col("source")).alias("key"), F.col("text").cast("string").alias("text"))
+    return materialize(count_tokens(rows, ["doc_id", "key", *(["text"] if text else [])], "text", directory), "sized")
 
 
-def mix(documents: DataFrame, targets: DataFrame, directory: str = TOKENIZERS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The mix and its report.
+def _drawn(sized: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, list[tuple]]:
+    """sized with source and the number of copies n of each document that enters the mix, and the rows of the report.
 
-    Mix: rows (doc_id, source, copy, n_tokens, text, order_key), one per copy, dealt out by order_key, which is a hash, and sorted by it
-    within each partition: a global shuffle. A document's number of copies comes from its hash through the inverse of a Poisson
-    distribution cut off at max_repeats, whose mean is the source's rate. As such draws miss the target by the
-    luck of the hash, a correction follows: in each source, documents whose second hash lies below a threshold get one
-    copy more (or one fewer), the threshold being found from exact token sums by hash bucket over the whole source.
-
-    Report: per target the plan's columns with actual_tokens, actual_share and mix_tokens.
-
-    Documents with null or unlisted source count towards the corpus and don't enter the mix; documents without tokens
-    (null or empty text) don't enter it either. Repeated rows of a doc_id are drawn alike, each row for itself. Targets
-    that can't be met are filled with max_repeats copies of each document. Empty documents give an empty mix.
+    What decides on n besides hashes of doc_id is a few rows per target, which are broadcast; documents aren't shuffled.
     """
-    spark = documents.sparkSession
-    rows = documents.select("doc_id", folded(F.col("source")).alias("key"), "text")
-    sized = materialize(count_tokens(rows, ["doc_id", "key"], "text", directory), "sized")
+    spark = sized.sparkSession
     plan = source_plan(sized, targets).collect()  # one row per target
     draws = [(r.key, r.source, int(r.max_repeats), truncated_poisson(float(r.rate), int(r.max_repeats))) for r in plan if r.max_repeats >= 0]
     table = spark.createDataFrame(draws, "key string, source string, max_repeats int, cumulative array<double>")
     u = (F.xxhash64(F.lit(seed), "doc_id") / F.lit(_U) + 1) / 2
     second = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(BUCKETS)).cast("int")
-    drawn = sized.where(F.col("n_tokens") > 0).join(F.broadcast(table), "key").select(
-        "doc_id", "key", "source", "max_repeats", "n_tokens", second.alias("bucket"),
-        F.least(F.size(F.filter("cumulative", lambda c: c <= u)), F.col("max_repeats")).alias("n"),
-    )
+    drawn = sized.where(F.col("n_tokens") > 0).join(F.broadcast(table), "key")
+    drawn = drawn.withColumn("bucket", second).withColumn("n", F.least(F.size(F.filter("cumulative", lambda c: c <= u)), F.col("max_repeats"))).drop("cumulative")
     sums = drawn.groupBy("key", "bucket").agg(
         F.sum(F.col("n") * F.col("n_tokens")).alias("drawn"),
         F.sum(F.when(F.col("n") < F.col("max_repeats"), F.col("n_tokens")).otherwise(0)).alias("more"),
         F.sum(F.when(F.col("n") > 0, F.col("n_tokens")).otherwise(0)).alias("fewer"),
     ).collect()  # at most BUCKETS rows per target
-    turns = []
+    by_key: dict[str, list] = {}
+    for s in sums:
+        by_key.setdefault(s.key, []).append(s)
+    turns, reached = [], {}
     for r in plan:
-        own = sorted((s for s in sums if s.key == r.key), key=lambda s: s.bucket)
-        goal = min(float(r.wanted), float(r.tokens) * max(0, r.max_repeats))
-        off = goal - sum(s.drawn for s in own)
+        own = sorted(by_key.get(r.key, ()), key=lambda s: s.bucket)
+        first = sum(s.drawn for s in own)
+        off = min(float(r.wanted), float(r.tokens) * max(0, r.max_repeats)) - first
         step = 1 if off > 0 else -1
         below, done = 0, 0
         for s in own:
@@ -113,25 +100,53 @@ def mix(documents: DataFrame, targets: DataFrame, directory: str = TOKENIZERS, s
                 break
             done, below = done + gain, s.bucket + 1
         turns.append((r.key, step, below))
+        reached[r.key] = int(first + step * done)
     turned = spark.createDataFrame(turns, "key string, step int, below int")
     final = F.when(F.col("bucket") < F.col("below"), F.least(F.greatest(F.col("n") + F.col("step"), F.lit(0)), F.col("max_repeats"))).otherwise(F.col("n"))
-    counted = drawn.join(F.broadcast(turned), "key").select("doc_id", "key", "source", "n_tokens", final.alias("n")).where(F.col("n") > 0)
-    report_rows = {x.key: x.t for x in counted.groupBy("key").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t")).collect()}
-    total = sum(report_rows.values())
-    report = spark.createDataFrame(
-        [(r.source, float(r.target_share), int(r.max_repeats), int(r.tokens), bool(r.feasible), int(report_rows.get(r.key, 0)), report_rows.get(r.key, 0) / total if total else 0.0, int(total)) for r in plan],
-        "source string, target_share double, max_repeats int, tokens bigint, feasible boolean, actual_tokens bigint, actual_share double, mix_tokens bigint",
-    )
-    # a copy's number is added before the join with the texts, whose key may repeat only together with its row here
-    per_doc = counted.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.col("source").alias("source"), "n_tokens", "n")
-    copies = rows.where(F.length("text") > 0).join(per_doc, ["doc_id", "key"]).select(
-        "doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "n_tokens", "text"
-    )
+    drawn = drawn.join(F.broadcast(turned), "key").withColumn("n", final).where(F.col("n") > 0).drop("bucket", "step", "below", "max_repeats")
+    total = sum(reached.values())
+    report = [
+        (r.source, float(r.target_share), int(r.max_repeats), int(r.tokens), float(r.wanted), reached[r.key], reached[r.key] / total if total else 0.0, int(total), reached[r.key] >= int(r.tokens) * int(r.max_repeats))
+        for r in plan
+    ]
+    return drawn, report
+
+
+def mix(documents: DataFrame, targets: DataFrame, directory: str = TOKENIZERS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The mix and its report.
+
+    Mix: rows (doc_id, source, copy, n_tokens, text, order_key), one per copy, dealt out by order_key, which is a hash, and sorted by it
+    within each partition: a global shuffle, the only one of the texts. A document's number of copies comes from its hash through the inverse of a Poisson
+    distribution cut off at max_repeats, whose mean is the source's rate. As such draws miss the target by the
+    luck of the hash, a correction follows: in each source, documents whose second hash lies below a threshold get one
+    copy more (or one fewer), the threshold being found from exact token sums by hash bucket over the whole source.
+
+    Report: per target source, target_share, max_repeats, tokens, wanted_tokens, actual_tokens, actual_share, mix_tokens,
+    exhausted (every document is used max_repeats times).
+
+    Documents with null or unlisted source count towards the corpus and don't enter the mix; documents without tokens
+    (null or empty text) don't enter it either. Repeated rows of a doc_id are drawn alike, each row for itself. Targets
+    that can't be met are filled with max_repeats copies of each document. Empty documents give an empty mix.
+    """
+    drawn, report = _drawn(_sized(documents, directory, True), targets, seed)
+    copies = drawn.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "n_tokens", "text")
     copies = copies.withColumn("order_key", F.xxhash64(F.lit(seed + 2), "doc_id", "copy"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(parts, "order_key").sortWithinPartitions("order_key"), report
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartition(parts, "order_key").sortWithinPartitions("order_key"), _report(documents, report)
+
+
+_REPORT = "source string, target_share double, max_repeats int, tokens bigint, wanted_tokens double, actual_tokens bigint, actual_share double, mix_tokens bigint, exhausted boolean"
+
+
+def _report(documents: DataFrame, rows: list[tuple]) -> DataFrame:
+    return documents.sparkSession.createDataFrame(rows, _REPORT)  # one row per target
+
+
+def shares(documents: DataFrame, targets: DataFrame, directory: str = TOKENIZERS, seed: int = SEED) -> DataFrame:
+    """The mix's report alone: the draws are made, the texts stay where they are."""
+    return _report(documents, _drawn(_sized(documents, directory, False), targets, seed)[1])
 
 
-def unreachable(documents: DataFrame, targets: DataFrame, directory: str = TOKENIZERS) -> DataFrame:
-    """Rows (source): targets whose documents can't reach their share even when each is used max_repeats times."""
-    return source_plan(token_sizes(documents, directory), targets).where(~F.col("feasible")).select("source")
+def unreachable(report: DataFrame) -> DataFrame:
+    """Rows (source): targets of a mix that its draws left short of the wanted tokens with every document used max_repeats times."""
+    return report.where((F.col("actual_tokens") < F.col("wanted_tokens")) & F.col("exhausted")).select("source")
