@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATES = ("prose", "list", "table", "code", "junk")
-#: Bounds of the fitting sample: documents, and lines of a document (longer judged documents aren't fitted on).
-MAX_JUDGED, MAX_JUDGED_LINES = 3000, 2000
+#: Bound of the fitting sample: judged documents, which are fitted on whole.
+MAX_JUDGED = 3000
+#: Lines, padding included, that go through the recursion together.
+TOGETHER = 8192
 #: Characters of a line that are one observation.
 STRETCH = 400
 ROUNDS = 6
@@ -315,20 +317,66 @@ def posteriors(seen: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray
     return gamma, moves
 
 
+def _groups(documents: list[np.ndarray]) -> Iterator[list[int]]:
+    """Documents with lines, those of similar length together, as many as keep the padded lines within bounds (one, if it is longer)."""
+    order = sorted((i for i in range(len(documents)) if len(documents[i])), key=lambda i: len(documents[i]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(documents[order[end]]) <= TOGETHER:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def _recursion(seen: np.ndarray, lengths: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray], hints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As posteriors(), for several documents of ascending lengths whose lines stand one after another; hints has a row per document."""
+    emit, change, first = model
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    line = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    score = emit[:, seen + _OFFSETS].sum(2).T * _TEMPER
+    if hints is not None:
+        score = score + hints[doc]
+    n = int(lengths[-1])
+    padded = np.ones((n, len(lengths), len(first)))
+    padded[line, doc] = np.exp(score - score.max(1, keepdims=True)) + 1e-12
+    ahead, back = np.empty_like(padded), np.ones_like(padded)
+    now = first * padded[0]
+    ahead[0] = now / now.sum(1, keepdims=True)
+    for i in range(1, n):
+        now = (ahead[i - 1] @ change) * padded[i]
+        ahead[i] = now / now.sum(1, keepdims=True)
+    for i in range(n - 2, -1, -1):
+        now = (back[i + 1] * padded[i + 1]) @ change.T
+        now /= now.sum(1, keepdims=True)
+        back[i] = np.where((i + 1 < lengths)[:, None], now, 1.0)
+    gamma = (ahead * back)[line, doc]
+    gamma /= gamma.sum(1, keepdims=True)
+    moves = np.zeros(change.shape)
+    if hints is not None and n > 1:
+        go = np.arange(1, n)[:, None] < lengths[None, :]
+        left, right = ahead[:-1][go], (padded[1:] * back[1:])[go]
+        moves = change * ((left / ((left @ change) * right).sum(1, keepdims=True)).T @ right)
+    return gamma, moves
+
+
 def fit(judged: list[tuple[np.ndarray, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model after a few rounds of expectation-maximisation over judged documents (statistics of their lines, label)."""
     prior = _start_model()
     model = _logs(*prior)
+    documents = [seen for seen, _ in judged]
+    hint = np.array([np.where(_LABEL == STATES.index(label), 0.0, np.where(_LABEL == 0, -3.0, -5.0)) for _, label in judged]).reshape(-1, len(_LABEL))
     for k in range(ROUNDS if judged else 0):
         counts, change, first = (x.copy() for x in prior)
-        for seen, label in judged:
-            hint = np.where(_LABEL == STATES.index(label), 0.0, np.where(_LABEL == 0, -3.0, -5.0)) * (3.0 if k == 0 else 1.0)
-            gamma, moves = posteriors(seen, model, hint)
-            for s in range(len(_LABEL)):
-                np.add.at(counts[s], (seen + _OFFSETS).ravel(), np.repeat(gamma[:, s], len(SIZES)))
+        by_value = counts.T.copy()
+        for group in _groups(documents):
+            seen, lengths = np.concatenate([documents[i] for i in group]), np.array([len(documents[i]) for i in group])
+            gamma, moves = _recursion(seen, lengths, model, hint[group] * (3.0 if k == 0 else 1.0))
+            for f, at in enumerate(_OFFSETS):
+                np.add.at(by_value, seen[:, f] + at, gamma)
             change += moves
-            first += gamma[0]
-        model = _logs(counts, change, first)
+            first += gamma[np.cumsum(lengths) - lengths].sum(0)
+        model = _logs(by_value.T.copy(), change, first)
     return model
 
 
@@ -347,12 +395,13 @@ def judged_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndar
             seen, label = [], []
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = stretches(text)
-                if 0 < len(lines) <= MAX_JUDGED_LINES:
+                if lines:
                     seen.append(np.array([observe(x) for x in lines], np.uint8).tobytes())
                     label.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), pa.array(label, pa.string())], ["seen", "label"])
 
-    found = rows.select("text", "label").mapInArrow(run, "seen binary, label string").orderBy("label", "seen").collect()
+    found = rows.select("text", "label").mapInArrow(run, "seen binary, label string").collect()  # at most MAX_JUDGED rows
+    found.sort(key=lambda r: (r.label, bytes(r.seen)))
     return [(np.frombuffer(bytes(r.seen), np.uint8).astype(np.int64).reshape(-1, len(SIZES)), r.label) for r in found]
 
 
@@ -361,37 +410,11 @@ _FIGURES = ["n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_rat
 
 def labels_of(documents: list[np.ndarray], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """The likeliest label of each line of each document; documents of similar length go through the recursion together."""
-    emit, change, first = model
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(documents)
-    order = sorted((i for i in range(len(documents)) if len(documents[i])), key=lambda i: len(documents[i]))
-    at = 0
-    while at < len(order):
-        end = at + 1  # as many as keep the padded lines within bounds
-        while end < len(order) and (end + 1 - at) * len(documents[order[end]]) <= 8192:
-            end += 1
-        group = order[at:end]
-        at = end
+    for group in _groups(documents):
         lengths = np.array([len(documents[i]) for i in group])
-        n = int(lengths[-1])
-        seen = np.concatenate([documents[i] for i in group])
-        score = emit[:, seen + _OFFSETS].sum(2).T * _TEMPER
-        like = np.exp(score - score.max(1, keepdims=True)) + 1e-12
-        doc = np.repeat(np.arange(len(group)), lengths)
-        line = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        padded = np.ones((n, len(group), len(first)))
-        padded[line, doc] = like
-        ahead, back = np.empty_like(padded), np.ones_like(padded)
-        now = first * padded[0]
-        ahead[0] = now / now.sum(1, keepdims=True)
-        for i in range(1, n):
-            now = (ahead[i - 1] @ change) * padded[i]
-            ahead[i] = now / now.sum(1, keepdims=True)
-        for i in range(n - 2, -1, -1):
-            now = (back[i + 1] * padded[i + 1]) @ change.T
-            now /= now.sum(1, keepdims=True)
-            back[i] = np.where((i + 1 < lengths)[:, None], now, 1.0)
-        best = ((ahead * back)[line, doc] @ _LABEL_OF)
-        for i, part in zip(group, np.split(best.argmax(1), np.cumsum(lengths)[:-1]), strict=True):
+        gamma, _ = _recursion(np.concatenate([documents[i] for i in group]), lengths, model)
+        for i, part in zip(group, np.split((gamma @ _LABEL_OF).argmax(1), np.cumsum(lengths)[:-1]), strict=True):
             out[i] = part
     return out
 
