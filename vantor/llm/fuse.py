@@ -32,13 +32,11 @@ def branch_places(candidates: DataFrame, branches: DataFrame, hot_rows: int = 20
     return places(materialize(best, "branches"), ["query_id", "branch"], "best", "point_id", "place", hot_rows).drop("best")
 
 
-def fuse(candidates: DataFrame, branches: DataFrame, k: int = RRF_K, consensus: int = 2, hot_rows: int = 200_000) -> DataFrame:
-    """Rows (query_id, point_id, score, n_branches, of_branches, worst_place, agreed, place): the combined ranking.
+def fuse(candidates: DataFrame, branches: DataFrame, k: int = RRF_K, hot_rows: int = 200_000) -> DataFrame:
+    """Rows (query_id, point_id, score, n_branches, of_branches, worst_place, place): the combined ranking.
 
-    score is the sum of 1 / (k + place) over the branches that hold the point. Since 1/(k+1) + 1/(k+3) > 2/(k+2) for
-    every k, the sum alone can put a point with places 1 and 3 before one with places 2 and 2. Therefore points that
-    stand within the first `consensus` places of every branch their query has left come first (agreed); then the sum
-    decides, then the smaller point_id. consensus=0 gives the plain fusion.
+    score is the sum of 1 / (k + place) over the branches that hold the point; the sum decides, then the smaller point_id.
+    n_branches tells how many of the query's branches (of_branches) hold the point, worst_place its last place among them.
 
     Nulls, ties and repeated rows: see branch_places. Empty tables give an empty ranking; other columns are ignored.
     """
@@ -48,17 +46,17 @@ def fuse(candidates: DataFrame, branches: DataFrame, k: int = RRF_K, consensus:
     fused = ranked.groupBy("query_id", "point_id").agg(
         F.sum(1.0 / (k + F.col("place"))).alias("_sum"), F.count(F.lit(1)).alias("n_branches"), F.max("place").alias("worst_place")
     )
-    fused = fused.join(left, "query_id").select(
-        "query_id", "point_id", F.round("_sum", 12).alias("score"), "n_branches", "of_branches", "worst_place",
-        ((F.col("n_branches") == F.col("of_branches")) & (F.col("worst_place") <= consensus)).alias("agreed"),
-    )
-    # one sort key: a sum never reaches of_branches / k, so that a point that is agreed upon stands before all others
-    fused = fused.withColumn("_key", F.col("score") + F.when(F.col("agreed"), F.col("of_branches").cast("double")).otherwise(0.0))
-    return places(materialize(fused, "fused"), ["query_id"], "_key", "point_id", "place", hot_rows).drop("_key")
-
-
-def clear_winners(ranking: DataFrame) -> DataFrame:
-    """Rows (query_id, point_id): of queries with two branches or more, the single point that is agreed upon and comes first."""
-    agreed = ranking.where(F.col("agreed") & (F.col("of_branches") >= 2))
-    agreed = agreed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("point_id").alias("point_id"), F.min("place").alias("place"))
-    return agreed.where((F.col("n") == 1) & (F.col("place") == 1)).select("query_id", "point_id")
+    fused = fused.join(left, "query_id").select("query_id", "point_id", F.round("_sum", 12).alias("score"), "n_branches", "of_branches", "worst_place")
+    return places(materialize(fused, "fused"), ["query_id"], "score", "point_id", "place", hot_rows)
+
+
+def clear_winners(ranking: DataFrame, within: int = 2) -> DataFrame:
+    """Rows (query_id, point_id): of queries with two branches or more, the first point of the ranking, if an exact check confirms it.
+
+    The check: the point stands within the first `within` places of every branch its query has left, and no other does.
+    A point that would pass it but doesn't come first by the sum is not returned: since 1/(k+1) + 1/(k+3) > 2/(k+2) for
+    every k, a point with places 1 and 3 comes before one with places 2 and 2.
+    """
+    everywhere = (F.col("n_branches") == F.col("of_branches")) & (F.col("worst_place") <= within)
+    few = ranking.where(everywhere & (F.col("of_branches") >= 2)).groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("place").alias("_first"), F.min("point_id").alias("point_id"))
+    return few.where((F.col("_n") == 1) & (F.col("_first") == 1)).select("query_id", "point_id")

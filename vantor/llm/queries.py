@@ -72,7 +72,7 @@ def _p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mix.unreachable(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mix.unreachable(mix.shares(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
 def _p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def _p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mix.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def _p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ _FUSED = f"""
     SELECT query_id, point_id, round(sum(1.0::DOUBLE / (60 + place)), 12) AS score, count(*) AS k, max(place) AS worst, any_value(of_branches) AS of_branches
     FROM placed JOIN n USING (query_id) GROUP BY 1, 2)
   SELECT query_id, point_id, score, k = of_branches AND worst <= 2 AS agreed, of_branches,
-    row_number() OVER (PARTITION BY query_id ORDER BY (k = of_branches AND worst <= 2) DESC, score DESC, point_id) AS place FROM s"""
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS place FROM s"""
 
 
 def _unit(table: str, key: str, column: str, dims: int) -> str:
@@ -141,7 +141,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_neighbours": f"SELECT field, key_a, key_b, round(s, 9) AS similarity, place::INT AS place FROM ({_near('k % 50 = 0', -2)})",
         "p5_found": f"SELECT category, point_id FROM ({_TOP}) WHERE place <= 10",
         "p5_top": f"SELECT category, point_id, score, place FROM ({_TOP}) WHERE place <= 10",
-        "p6_found": f"""SELECT query_id, point_id FROM ({_FUSED}) WHERE agreed AND of_branches >= 2
-          QUALIFY count(*) OVER (PARTITION BY query_id) = 1""",
+        "p6_found": f"""SELECT query_id, point_id FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM ({_FUSED}) WHERE agreed AND of_branches >= 2) WHERE n = 1 AND place = 1""",
         "p6_ranking": f"SELECT query_id, point_id, score, place FROM ({_FUSED})",
     }
