@@ -407,12 +407,48 @@ def test_no_clusters(spark):
 def test_criterion_finds_the_components():
     g = np.random.default_rng(4)
     z = np.concatenate([g.normal(size=(60, 4)) * 0.05 + c for c in g.normal(size=(6, 4)) * 3] + [g.normal(size=(60, 4)) * 3]).astype(np.float32)
-    part, density = cluster.choose_mixture(z, 0.1)
+    mixture = cluster.choose_mixture(z, 0.1)
+    part, density = mixture.logs(z).argmax(1), mixture.logs(z).max(1)
     for i in range(6):
         assert Counter(part[60 * i : 60 * i + 60].tolist()).most_common(1)[0][1] >= 58
     assert density[:360].mean() > density[360:].mean()
 
 
+def test_clusters_come_from_the_components():
+    """With the mixture's components replaced, the clusters are lost, though the check of the members is the same."""
+    g = np.random.default_rng(9)
+    centres = g.normal(size=(20, 24))
+    x = np.concatenate([c + 0.1 * g.normal(size=(12, 24)) for c in centres] + [g.normal(size=(200, 24))])
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    z, want = u * 5, np.repeat(np.arange(20), 12)
+    found, component, _ = cluster.component_clusters(z, u, 7.5, 0.85)
+    assert all(len(set(found[:240][want == i])) == 1 for i in range(20)) and (found[240:] == -1).all() and (found[:240] >= 0).all()
+    # the mixture alone, without the check of its members
+    mixture = cluster.choose_mixture(z, 7.5)
+    part = mixture.logs(z).argmax(1)
+    assert len(mixture.means) == 20 and all(len(set(part[:240][want == i])) == 1 for i in range(20)) and (part[240:] == 20).all()
+
+    def shuffled(z, radius2):
+        made = cluster.choose_mixture(z, radius2)
+        made.means = np.random.default_rng(1).permuted(made.means, axis=0)
+        return made
+
+    assert (cluster.component_clusters(z, u, 7.5, 0.85, shuffled)[0] >= 0).sum() < 120
+    assert (cluster.component_clusters(z, u, 7.5, 0.85, lambda a, b: cluster.Mixture(a, np.zeros(0, int)))[0] == -1).all()
+
+
+def test_only_representatives_are_indexed(spark):
+    g = np.random.default_rng(2)
+    x = g.normal(size=(300, 16))
+    x[100:200] = x[:100] + 0.05 * g.normal(size=(100, 16))
+    rows = [(i, v.tolist(), i < 100) for i, v in enumerate(x)] + [(900 + i, x[0].tolist(), i % 2 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, e array<float>, rep boolean")
+    got = knn.nearest(df, "id", "e", 16, k=3, floor=0.9, indexed=F.col("rep")).collect()
+    reps = set(range(100)) | {900 + i for i in range(0, 200, 2)}
+    assert got and all(r["key_b"] in reps for r in got)
+    assert {r["key_a"] for r in got} >= set(range(100, 200)) | {900 + i for i in range(200)}
+
+
 def test_links_across_parts(spark):
     links = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8)], "cluster long, low long")
     assert {r["cluster"]: r["label"] for r in cluster.merge_linked(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}

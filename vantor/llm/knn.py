@@ -222,14 +222,15 @@ def _merge(keys: np.ndarray, best: tuple[np.ndarray, ...], found: list[tuple[np.
 
 def nearest(
     df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: float | None = None, probes: int = 8,
-    probe_share: float = 0.0, queries: Column | None = None, hot_copies: int = HOT_COPIES, group_rows: int = GROUP_ROWS,
+    probe_share: float = 0.0, queries: Column | None = None, indexed: Column | None = None, hot_copies: int = HOT_COPIES, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Rows (key_a, key_b, similarity, place): the k most similar other keys of each key, by cosine, then smaller key.
 
     floor: only neighbours of at least this similarity; the scan then abandons the more. queries: a condition that
-    says for which rows neighbours are wanted (all by default), against all rows. probes: lists probed by a vector at
+    says for which rows neighbours are wanted (all by default), against all rows. indexed: a condition that says which rows
+    can be neighbours (all by default). probes: lists probed by a vector at
     least, and at least this share (probe_share) of all lists. With a floor, a vector also probes every further list
-    within reach(floor, dim), however many a dense spot has. With a floor and no condition, what one vector finds also
+    within reach(floor, dim), however many a dense spot has. With a floor and neither condition, what one vector finds also
     counts for the other, so a pair is missed only if both miss it.
 
     Unusable vectors (null, other lengths, null or non-finite values, all zero) and null keys are left out. Repeated
@@ -240,16 +241,17 @@ def nearest(
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
-    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"), asked.alias("asked"))
-    every, total, distinct = rows.agg(F.count(F.lit(1)), F.count_if(_usable(dim)), F.approx_count_distinct(F.when(_usable(dim), F.xxhash64("v")))).first()
+    member = F.lit(True) if indexed is None else F.coalesce(indexed, F.lit(False))
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"), asked.alias("asked"), member.alias("member"))
+    every, total, distinct = rows.where("member").agg(F.count(F.lit(1)), F.count_if(_usable(dim)), F.approx_count_distinct(F.when(_usable(dim), F.xxhash64("v")))).first()
     schema = f"key_a {kind}, key_b {kind}, similarity double, place int"
-    if total < 2:
+    if total < (2 if indexed is None else 1):
         return spark.createDataFrame([], schema)
     lists = max(1, min(MAX_LISTS, int(math.sqrt(total))))
     bound = lists * SAMPLE_PER_LIST
 
     hot_from = max(hot_copies, every // 10_000)
-    counted = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_from)
+    counted = rows.where("member").groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_from)
     hot = counted.select("h").collect()  # at most 10,000 rows
     direct = None
     if hot:
@@ -265,7 +267,7 @@ def nearest(
     # a bounded sample: the different usable vectors with the smallest hashes, a few more than needed as the count is rough. Copies
     # would take up lists of their own, all at one place, and a vector near it would spend its probes on them
     part = min(1.0, 2.0 * bound / max(1, distinct))
-    drawn = rows.select("v", F.xxhash64("v").alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + part * (1 << 64)))))
+    drawn = rows.where("member").select("v", F.xxhash64("v").alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + part * (1 << 64)))))
     drawn = drawn.where(_usable(dim)).dropDuplicates(["h"]).orderBy("h").limit(bound).select("v")
     sample = np.array([np.frombuffer(bytes(r.u), np.float32) for r in drawn.mapInArrow(take, "u binary").collect()], np.float32).reshape(-1, dim)  # at most `bound` rows
     sample = _different(sample)  # vectors of one direction can have different lengths
@@ -285,7 +287,7 @@ def nearest(
                 place, vectors = unpack(part.column(1), dim)
                 if not len(place):
                     continue
-                asks = part.column(2).to_numpy(zero_copy_only=False)[place].astype(bool)
+                asks, member = (part.column(i).to_numpy(zero_copy_only=False)[place].astype(bool) for i in (2, 3))
                 near = -(unit(vectors) @ centroids.T)
                 own = near.argmin(1).astype(np.int32)
                 probed = np.full(near.shape, probing >= lists) if within is None or probing >= lists else near <= -within
@@ -299,16 +301,16 @@ def nearest(
                 entry = n * groups + group_of[cut]
                 order = np.argsort(entry, kind="stable")  # keeps the nearest list first
                 entry, first = np.unique(entry[order], return_index=True)
-                silent = np.nonzero(~asks)[0]
+                silent = np.nonzero(~asks & member)[0]
                 vec = np.concatenate([entry // groups, silent])
                 grp = np.concatenate([entry % groups, group_of[own[silent]]]).astype(np.int32)
                 offsets = np.concatenate([first, np.full(len(silent) + 1, cut.size)]).astype(np.int32) * 2
                 lists_of = pa.Array.from_buffers(pa.binary(), len(vec), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cut[order].tobytes())])
-                home = np.where(group_of[own[vec]] == grp, own[vec], -1).astype(np.int32)
+                home = np.where((group_of[own[vec]] == grp) & member[vec], own[vec], -1).astype(np.int32)
                 keys = part.column(0).take(pa.array(place[vec]))
                 yield pa.RecordBatch.from_arrays([pa.array(grp), keys, pa.array(home), lists_of, _pack(vectors).take(pa.array(vec))], ["grp", "key", "home", "probes", "raw"])
 
-    mirrored = floor is not None and queries is None
+    mirrored = floor is not None and queries is None and indexed is None
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
@@ -325,7 +327,7 @@ def nearest(
             distinct = pa.array(number[0], names.type)
             yield pa.RecordBatch.from_arrays([distinct.take(pa.array(a)), distinct.take(pa.array(b)), pa.array(s, pa.float64())], ["key_a", "key_b", "similarity"])
 
-    assigned = rows.select("key", "v", "asked").mapInArrow(assign, f"grp int, key {kind}, home int, probes binary, raw binary")
+    assigned = rows.select("key", "v", "asked", "member").mapInArrow(assign, f"grp int, key {kind}, home int, probes binary, raw binary")
     pairs = assigned.repartitionById(groups, F.col("grp")).mapInArrow(search, f"key_a {kind}, key_b {kind}, similarity double")
     if mirrored:
         both = F.explode(F.array(F.struct("key_a", "key_b", "similarity"), F.struct(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "similarity")))
@@ -344,14 +346,14 @@ def _usable(dim: int) -> Column:
 
 def _without_hot(rows: DataFrame, hashes: DataFrame, dim: int, k: int, floor: float | None) -> tuple[DataFrame, DataFrame]:
     """rows without the copies that the index doesn't need, and the neighbours of those copies (key_a, key_b, similarity)."""
-    hot = rows.join(hashes, "h", "left_semi").where(_usable(dim)).groupBy("h", "key").agg(F.max("asked").alias("asked"))
-    salted = hot.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
+    hot = rows.join(hashes, "h", "left_semi").where(_usable(dim)).groupBy("h", "key").agg(F.max("asked").alias("asked"), F.max("member").alias("member"))
+    salted = hot.where("member").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
     for part in (["h", "salt"], ["h"]):  # first within salts, so that no task holds a whole group
         salted = salted.withColumn("rn", F.row_number().over(Window.partitionBy(*part).orderBy("key"))).where(F.col("rn") <= k + 1)
     leaders = salted.select("h", "key").groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("leaders"))  # at most 10,000 rows of k + 1 keys
     leaders = F.broadcast(leaders)
     known = rows.join(leaders, "h", "left")
-    kept = known.where(F.col("leaders").isNull() | F.array_contains("leaders", F.col("key"))).select("key", "v", "asked")
+    kept = known.where(F.col("leaders").isNull() | F.array_contains("leaders", F.col("key"))).select("key", "v", "asked", "member")
     rest = hot.join(leaders, "h").where(~F.array_contains("leaders", F.col("key")) & F.col("asked"))
     direct = rest.select(F.col("key").alias("key_a"), F.explode(F.slice("leaders", 1, k)).alias("key_b"), F.lit(1.0).alias("similarity"))
     return kept, direct if floor is None else direct.where(F.lit(floor) <= 1.0)
