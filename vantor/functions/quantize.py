@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantor.errors import InvalidParameter
+from vantor.runtime import drawn
 
 
 def binary_quantize(v: Column) -> Column:
@@ -80,8 +81,9 @@ def train_product(df: DataFrame, vector: str, key: str, width: int, centroids: i
     """
     if not 1 <= centroids <= 256:
         raise InvalidParameter("1 to 256 centroids")
-    drawn = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(key, vector).collect()
-    rows = np.array([r[1] for r in sorted(drawn, key=lambda r: r[0])], np.float64)
+    usable = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector)
+    taken = drawn(usable, F.xxhash64(key), sample, usable.count()).collect()
+    rows = np.array([r[1] for r in sorted(taken, key=lambda r: r[0])], np.float64)
     if not len(rows) or rows.shape[1] % width:
         raise InvalidParameter("no rows, or the dimension isn't a multiple of the subvectors'")
     books = []

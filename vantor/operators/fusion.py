@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from vantor.errors import InvalidParameter
 
-RRF_K = 60
+#: MOST is the greatest limit of a search, and hence of a branch.
+RRF_K, MOST = 60, 10_000
 
 
 @dataclass(frozen=True)
@@ -25,17 +26,22 @@ def best_first(b: Branch) -> list:
     return [F.asc("score") if b.lower_is_better else F.desc("score"), F.asc("point_id")]
 
 
+def _cut(b: Branch) -> DataFrame:
+    """The branch's first MOST rows, so that ranking them in one task is bounded whatever is passed."""
+    return b.rows.orderBy(*best_first(b)).limit(MOST)
+
+
 def rrf(branches: Sequence[Branch], k: float = RRF_K) -> DataFrame:
     """Rows (point_id, source_key, score): the sum over branches of 1 / (k + rank), the higher the better.
 
     The rank is the position in the branch from 1 on; a point that a branch holds twice counts at its first position,
-    but later rows keep theirs. Branches hold at most a limit's rows, so ranking each in one task is bounded.
+    but later rows keep theirs. A branch holds at most MOST rows, the greatest limit of a search; the first so many count.
     """
     if not branches:
         raise InvalidParameter("nothing to fuse")
     parts = []
     for i, b in enumerate(branches):
-        ranked = b.rows.withColumn("rank", F.row_number().over(Window.orderBy(*best_first(b))))
+        ranked = _cut(b).withColumn("rank", F.row_number().over(Window.orderBy(*best_first(b))))
         parts.append(ranked.groupBy("point_id").agg(F.min("rank").alias("rank"), F.min("source_key").alias("source_key")).withColumn("b", F.lit(i)))
     rows = parts[0]
     for p in parts[1:]:
@@ -50,7 +56,7 @@ def weighted(branches: Sequence[Branch], by: Sequence[str] = ()) -> DataFrame:
     point's best score in a branch holds. Branches of weight 0 are skipped; negative or non-finite weights, or none above 0,
     are errors.
 
-    by: columns of the branches, such as a query's id; each of their values gets a ranking of its own, in which only its
+    Without `by` a branch's first MOST rows count. by: columns of the branches, such as a query's id; each of their values gets a ranking of its own, in which only its
     rows count, and the columns come first. A branch without rows for a value counts 0 for it, as an empty branch does.
     """
     if any(not math.isfinite(b.weight) or b.weight < 0 for b in branches):
@@ -63,7 +69,7 @@ def weighted(branches: Sequence[Branch], by: Sequence[str] = ()) -> DataFrame:
         if not b.weight:
             continue
         sign = -1.0 if b.lower_is_better else 1.0
-        best = b.rows.groupBy(*point).agg(F.max(F.col("score") * sign).alias("s"), F.min("source_key").alias("source_key"))
+        best = (b.rows if by else _cut(b)).groupBy(*point).agg(F.max(F.col("score") * sign).alias("s"), F.min("source_key").alias("source_key"))
         whole = Window.partitionBy(*by)  # a limit's rows
         low, high = F.min("s").over(whole), F.max("s").over(whole)
         # scaled first, so that the difference of extreme scores doesn't overflow

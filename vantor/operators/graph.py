@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vantor.errors import Corrupt, InvalidParameter, NotReady
@@ -37,8 +37,10 @@ def node_level(node: int, m: int) -> int:
 class ShardGraph:
     """The graph over one shard's vectors."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, metric: str, m: int = 16) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, metric: str, m: int = 16, of: np.ndarray | None = None) -> None:
+        """rows are the nodes' vectors; of tells the node of each id, as equal vectors share one (by default each id has its own)."""
         self.ids, self.metric, self.m = ids, metric, m
+        self.of = np.arange(len(ids)) if of is None else of
         self.rows = rows.astype(np.float32)
         if metric == "cosine":
             self.rows = self.rows / np.maximum(np.linalg.norm(self.rows, axis=1, keepdims=True), 1e-30)
@@ -134,10 +136,21 @@ class ShardGraph:
                             heapq.heappop(found)
         return sorted((-d, -n) for d, n in found)
 
-    def search(self, q: np.ndarray, ef: int, allowed: np.ndarray | None = None) -> list[int]:
-        """Positions of the nearest rows found by a beam of that width."""
+    def search(self, q: np.ndarray, ef: int, allowed: np.ndarray | None = None, each: int | None = None) -> list[int]:
+        """Places (in ids) of the nearest rows found by a beam of that width; of equal vectors the `each` smallest ids. allowed: a mask of ids."""
         if self.entry < 0:
             return []
+        nodes = self._nodes(q, ef, None if allowed is None else np.bincount(self.of, allowed, len(self.rows)) > 0)
+        order = np.lexsort((self.ids, self.of))
+        begin = np.searchsorted(self.of[order], nodes)
+        end = np.searchsorted(self.of[order], nodes, side="right")
+        out = []
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            own = order[a:b] if allowed is None else order[a:b][allowed[order[a:b]]]
+            out += own[:each].tolist()
+        return out
+
+    def _nodes(self, q: np.ndarray, ef: int, allowed: np.ndarray | None) -> list[int]:
         q = q.astype(np.float32)
         if self.metric == "cosine":
             q = q / max(float(np.linalg.norm(q)), 1e-30)
@@ -153,7 +166,7 @@ class ShardGraph:
         flat |= {f"c{i}": np.array([len(layer[int(n)]) for n in nodes[i]], np.int32) for i, layer in enumerate(self.links)}
         flat |= {f"l{i}": np.concatenate([layer[int(n)] for n in nodes[i]] or [np.zeros(0, np.int32)]) for i, layer in enumerate(self.links)}
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, rows=original.astype(np.float32), meta=np.array([self.m, self.entry, len(self.links)]), **flat)
+        np.savez(out, ids=self.ids, of=self.of, rows=original.astype(np.float32), meta=np.array([self.m, self.entry, len(self.links)]), **flat)
         return encode_segment("graph", out.getvalue())
 
     @classmethod
@@ -164,11 +177,11 @@ class ShardGraph:
             raise Corrupt("not a graph segment")
         with np.load(io.BytesIO(payload), allow_pickle=False) as data:
             m, entry, layers = (int(x) for x in data["meta"])
-            self = cls(data["ids"], data["rows"], metric, m)
+            self = cls(data["ids"], data["rows"], metric, m, data["of"])
             self.entry = entry
             for i in range(layers):
                 links = data[f"l{i}"]
-                if len(links) and not 0 <= links.min() <= links.max() < len(self.ids):
+                if len(links) and not 0 <= links.min() <= links.max() < len(self.rows):
                     raise Corrupt("link out of range")
                 self.links.append(dict(zip(data[f"n{i}"].tolist(), np.split(links, np.cumsum(data[f"c{i}"])[:-1]), strict=True)))
             return self, data["rows"]
@@ -189,6 +202,8 @@ class GraphIndex:
             raise InvalidParameter(f"{path} holds an index")
         properties = {"metric": metric, "dims": dims, "m": m, "ef_construction": ef_construction, "shard_rows": shard_rows}
         self.table.commit(self._built(df, point, vector, properties), properties=properties)
+        rows = self.table.read().agg({"n": "sum"}).first()[0] or 0
+        self.table.commit(properties={"base_rows": int(rows)})
         return self
 
     def _properties(self) -> dict:
@@ -211,11 +226,15 @@ class GraphIndex:
             if (np.diff(column.offsets.to_numpy()) != dims).any():
                 raise ValueError("22023: dimension mismatch")
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            graph = ShardGraph(data["id"].to_numpy(), x, metric, m).build(ef)
-            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([graph.dump(x)], pa.binary())], ["n", "segment"])
+            ids = data["id"].to_numpy()
+            _, first, of = np.unique(x, axis=0, return_index=True, return_inverse=True)
+            place = np.argsort(np.argsort(first))  # nodes in the order of their first ids
+            nodes = x[np.sort(first)]
+            graph = ShardGraph(ids, nodes, metric, m, place[of.ravel()]).build(ef)
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([graph.dump(nodes)], pa.binary()), pa.array([ids.tolist()], pa.list_(pa.int64()))], ["n", "segment", "ids"])
 
         part = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-        return rows.repartitionById(shards, part).mapInArrow(run, "n bigint, segment binary")
+        return rows.repartitionById(shards, part).mapInArrow(run, "n bigint, segment binary, ids array<bigint>")
 
     def add(self, df: DataFrame, point: str, vector: str) -> int:
         """Adds rows as shards of their own (the delta); ids must be new."""
@@ -237,7 +256,7 @@ class GraphIndex:
             for batch in batches:
                 for segment in batch.column(0).to_pylist():
                     graph, x = ShardGraph.load(segment, metric)
-                    yield pa.RecordBatch.from_arrays([pa.array(graph.ids), pa.array(list(x), pa.list_(pa.float32()))], ["point_id", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(graph.ids), pa.array(list(x[graph.of]), pa.list_(pa.float32()))], ["point_id", "vector"])
 
         return self._live(self.table.read().select("segment").mapInArrow(run, "point_id bigint, vector array<float>"))
 
@@ -250,7 +269,11 @@ class GraphIndex:
         return version
 
     def search(self, vector: Sequence[float], limit: int, ef: int = 64, allowed: DataFrame | None = None) -> DataFrame:
-        """Rows (point_id, score), nearest first, scored exactly in double precision.
+        """Rows (point_id, score), nearest first, scored exactly in double precision. See search_many."""
+        return self.search_many([vector], limit, ef, allowed).select("point_id", "score").orderBy("score", "point_id").limit(limit)
+
+    def search_many(self, queries: Sequence[Sequence[float]], limit: int, ef: int = 64, allowed: DataFrame | None = None) -> DataFrame:
+        """Rows (query, point_id, score), query being the place in the list of queries, each with its first `limit` points; a shard is loaded once for all queries.
 
         Each shard gives what a beam of max(ef, limit) finds. allowed: a table of the ids that may be returned, of any
         size; removed ids are never returned. Nodes that may not be returned still route; if fewer than a quarter of a
@@ -258,38 +281,33 @@ class GraphIndex:
         """
         check_limit(limit)
         p = self._properties()
-        query, metric, width = np.array(vectors.check_vector(vector, p["dims"])), p["metric"], max(ef, limit)
-        shards = self.table.read().select("segment", F.xxhash64("segment").alias("shard"))
-        masked = allowed is not None or bool(self.gone.version())
-        if masked:
-            # ids by shard: at most a shard's rows each
-            ids = self._ids(shards, metric)
+        metric, width = p["metric"], max(ef, limit)
+        q = np.array([vectors.check_vector(x, p["dims"]) for x in queries])
+        shards = self.table.read().select("segment", "ids")
+        if allowed is not None or bool(self.gone.version()):
+            # the ids of a shard are a column of their own: at most a shard's rows each
+            named = shards.withColumn("shard", F.xxhash64("segment"))
+            ids = named.select("shard", F.explode("ids").alias("point_id"))
             if allowed is not None:
                 ids = ids.join(allowed.select(F.col(allowed.columns[0]).cast("bigint").alias("point_id")), "point_id", "left_semi")
-            shards = shards.join(self._live(ids).groupBy("shard").agg(F.collect_list("point_id").alias("ids")), "shard").select("segment", "ids")
+            ids = self._live(ids).groupBy("shard").agg(F.collect_list("point_id").alias("ids"))
+            shards = named.select("segment", "shard").join(ids, "shard").select("segment", "ids")
         else:
             shards = shards.select("segment", F.lit(None).cast("array<bigint>").alias("ids"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for segment, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    graph, x = ShardGraph.load(segment, metric)
-                    found = graph.search(query, width, None if ids is None else np.isin(graph.ids, np.array(ids, np.int64)))
-                    rows = x[found]
-                    yield pa.RecordBatch.from_arrays([pa.array(graph.ids[found]), pa.array(list(rows), pa.list_(pa.float32()))], ["point_id", "vector"])
-
-        hits = shards.mapInArrow(run, "point_id bigint, vector array<float>")
-        return hits.select("point_id", scoring.score(metric, F.col("vector"), query.tolist()).alias("score")).orderBy("score", "point_id").limit(limit)
-
-    @staticmethod
-    def _ids(shards: DataFrame, metric: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for segment, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    graph, _ = ShardGraph.load(segment, metric)
-                    yield pa.RecordBatch.from_arrays([pa.array(graph.ids), pa.array(np.full(len(graph.ids), shard, np.int64))], ["point_id", "shard"])
-
-        return shards.mapInArrow(run, "point_id bigint, shard bigint")
+                for segment, ids in zip(batch.column(0), batch.column(1), strict=True):
+                    graph, x = ShardGraph.load(segment.as_py(), metric)
+                    mask = None if not ids.is_valid else np.isin(graph.ids, ids.values.to_numpy())
+                    for i in range(len(q)):
+                        found = np.array(graph.search(q[i], width, mask, limit), np.int64)
+                        score = scoring.scores_of(metric, x[graph.of[found]].astype(np.float64), q[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), pa.array(graph.ids[found]), pa.array(score)], ["query", "point_id", "score"])
+
+        hits = shards.mapInArrow(run, "query int, point_id bigint, score double")
+        order = Window.partitionBy("query").orderBy("score", "point_id")
+        return hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
     def status(self) -> DataFrame:
         """One row (status, shards, rows): every segment is read and its checksum tested."""

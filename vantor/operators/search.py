@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantor.errors import InvalidParameter
+from vantor.errors import Corrupt, InvalidParameter, NotReady, UnknownTable
 from vantor.functions import scoring, vectors
 from vantor.functions import sparse as sparse_
-from vantor.operators import late, text
+from vantor.operators import ann, graph, late, text
 from vantor.operators.aggregates import aggregate_vectors
 from vantor.runtime import materialize
-from vantor.sources.catalog import Catalog, Collection, check_limit
+from vantor.sources.catalog import MAX_LIMIT, Catalog, Collection, VectorEntry, check_limit
 
 Filter = str | Mapping | None
 
@@ -87,17 +87,76 @@ def _ids(spark: SparkSession, ids: Sequence[int] | DataFrame) -> DataFrame:
     return spark.createDataFrame([(int(i),) for i in ids], "point_id bigint")
 
 
+#: Rows of an attached index from which on a search uses it unasked.
+INDEX_FROM = 100_000
+
+
+def build_index(catalog: Catalog, collection: str, path: str, name: str | None = None, kind: str = "lists", **options: int) -> ann.AnnIndex | graph.GraphIndex:
+    """Builds an index, of lists or a graph, over the active points of a collection's vector and attaches it."""
+    c = catalog.resolve(collection)
+    e = catalog.vector(c, name)
+    rows = project(catalog, c, {"vector": F.col(f"`{e.column}`")}, where=_there(e.column))
+    known = {"lists": ann.AnnIndex, "graph": graph.GraphIndex}
+    if kind not in known:
+        raise InvalidParameter("kind must be lists or graph")
+    index = known[kind].build(rows, "point_id", "vector", e.dims, e.metric, path, **options)
+    catalog.attach_index(c.name, e.name, path)
+    return index
+
+
+def _found(index: ann.AnnIndex | graph.GraphIndex, query: Sequence[float], limit: int, probes: int, ef: int, allowed: DataFrame | None) -> DataFrame:
+    """Rows (point_id, score) that the index offers: all of the probed lists, or what each shard's beam finds, with room for points that are gone."""
+    if isinstance(index, ann.AnnIndex):
+        return index.scan([query], probes).select("point_id", "score")
+    return index.search_many([query], min(MAX_LIMIT, 4 * limit), ef, allowed).select("point_id", "score")
+
+
+def chosen_index(catalog: Catalog, e: VectorEntry, strategy: str = "auto") -> ann.AnnIndex | graph.GraphIndex | None:
+    """The attached index, if a search is to use it; None for the exact search.
+
+    "auto" falls back to the exact search where the index is missing, damaged, of another metric or dimension, or small;
+    "index" raises instead.
+    """
+    if strategy not in ("auto", "exact", "index"):
+        raise InvalidParameter("strategy must be auto, exact or index")
+    if strategy == "exact" or (e.index is None and strategy == "auto"):
+        return None
+    if e.index is None:
+        raise NotReady("no index is attached")
+    index = graph.GraphIndex(catalog.spark, e.index)
+    if not index.table.version():
+        index = ann.AnnIndex(catalog.spark, e.index)
+    try:
+        p = index._properties()
+        if p["metric"] != e.metric or p["dims"] != e.dims:
+            raise NotReady("the index is of another metric or dimension")
+    except (NotReady, Corrupt, UnknownTable):
+        if strategy == "index":
+            raise
+        return None
+    return index if strategy == "index" or p.get("base_rows", INDEX_FROM) >= INDEX_FROM else None
+
+
 def search(
-    catalog: Catalog, collection: str, vector: Sequence[float], limit: int, *, name: str | None = None, filter: Filter = None, candidates: Sequence[int] | DataFrame | None = None
-) -> DataFrame:
+    catalog: Catalog, collection: str, vector: Sequence[float], limit: int, *, name: str | None = None, filter: Filter = None, candidates: Sequence[int] | DataFrame | None = None,
+    strategy: str = "auto", probes: int = 8, ef: int = 64,
+) -> DataFrame:
     """Rows (point_id, source_key, score), nearest first by the registered metric, then point_id.
 
     Rows whose vector is null are left out; an empty result is no error. A vector of another dimension, or of length zero under cosine, is one.
+
+    strategy: "exact", "index", or "auto", which takes an attached index that is ready once it has INDEX_FROM rows (see
+    chosen_index). An index gives the points of the probed lists, or of its graphs' beams of width ef, with exact scores; they are checked against the active
+    points, and against filter and candidates, before the first are taken.
     """
     c = catalog.resolve(collection)
     catalog.enforce_search(c, limit, len(candidates) if isinstance(candidates, (list, tuple)) else None)
     e = catalog.vector(c, name)
     query = vectors.check_vector(vector, e.dims)
+    if (index := chosen_index(catalog, e, strategy)) is not None:
+        free = filter is None and candidates is None
+        points = catalog.active(c) if free else project(catalog, c, {}, filter, candidates)
+        return top(_found(index, query, limit, probes, ef, None if free else points).join(points, "point_id"), limit)
     return top(_raised(project(catalog, c, _dense(e.metric, e.column, query), filter, candidates, _there(e.column))), limit)
 
 
@@ -165,18 +224,34 @@ def search_late_interaction(catalog: Catalog, collection: str, queries: Sequence
 
 
 def search_late_interaction_tokens(
-    catalog: Catalog, collection: str, queries: Sequence[Sequence[float]], tokens: DataFrame, key: str, vector: str, candidates: int, limit: int
-) -> DataFrame:
+    catalog: Catalog, collection: str, queries: Sequence[Sequence[float]], tokens: DataFrame, key: str, vector: str, candidates: int, limit: int,
+    index: ann.AnnIndex | graph.GraphIndex | None = None, probes: int = 8, ef: int = 64, token: str | None = None,
+) -> DataFrame:
     """Late interaction over a table with one row per token: per query vector the `candidates` best tokens choose points, which are then scored over all their tokens.
 
     All query vectors are scored in one pass at the scan of the tokens, which leaves a key and a number per query vector of
     each token; token vectors don't travel.
+
+    index: an index over the tokens by inner product, of lists with the points' keys as owners, or a graph over the ids in the column
+    `token`; it then chooses the points, and only their tokens are scored.
     """
     c = catalog.resolve(collection)
     catalog.enforce_search(c, limit, candidates)
     check_limit(candidates)
     wanted = late.check_queries(queries)
     points = catalog.active(c).join(catalog.source(c).select(F.col("id").cast("string").alias("source_key")), "source_key", "left_semi")
+    if index is not None:
+        if isinstance(index, graph.GraphIndex):
+            if token is None:
+                raise InvalidParameter("a graph needs the column of the tokens' ids")
+            ids = index.search_many(wanted, candidates, ef).select(F.col("point_id").alias("_token")).distinct()
+            owners = tokens.join(F.broadcast(ids), F.col(token).cast("bigint") == F.col("_token"), "left_semi").select(F.col(key).cast("string").alias("_key"))
+        else:
+            owners = index.search_many(wanted, candidates, probes).select(F.col("owner").alias("_key"))
+        owners = owners.distinct()  # at most `candidates` per query vector
+        tokens = tokens.join(F.broadcast(owners), F.col(key).cast("string") == F.col("_key"), "left_semi")
+        scored = tokens.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("source_key"), scoring.products(F.col(vector), wanted).alias("_p"))
+        return top(late.sum_of_best(scored.where(F.col("_p").isNotNull()), ["source_key"], "_p", len(wanted)).join(points, "source_key"), limit, descending=True)
     rows = tokens.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("source_key"), scoring.products(F.col(vector), wanted).alias("_p"))
     rows = materialize(rows.where(F.col("_p").isNotNull()).join(points, "source_key").select("point_id", "source_key", "_p"), "tokens")
     chosen = None

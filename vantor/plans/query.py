@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vantor.errors import BudgetExceeded, InvalidParameter
 from vantor.functions import sparse, vectors
-from vantor.operators import fusion, late, search, text
+from vantor.operators import ann, fusion, late, search, text
 from vantor.plans.filters import parse as parse_filter
 from vantor.plans.formula import Formula
 from vantor.sources.catalog import Catalog, check_limit
@@ -300,7 +300,10 @@ def explain(catalog: Catalog, collection: str, plan: str | Plan) -> DataFrame:
         sizes = [walk(b, f"{at}.{i}") for i, b in enumerate(children)]
         leaf = not children
         limit = n.get("limit") or (len(n["point_ids"]) if n["kind"] == "lookup" else max(sizes, default=points))
-        rows.append((n["kind"], _DETAILS[n["kind"]](n), at, "exact" if leaf else "driver_plan", "ready", points if leaf else sum(sizes), limit))
+        strategy = "exact" if leaf else "driver_plan"
+        if n["kind"] == "nearest" and search.chosen_index(catalog, catalog.vector(c, n.get("vector_name"))) is not None:
+            strategy = "index"
+        rows.append((n["kind"], _DETAILS[n["kind"]](n), at, strategy, "ready", points if leaf else sum(sizes), limit))
         return limit
 
     walk(plan, "0")
@@ -314,7 +317,7 @@ def explain_hybrid(catalog: Catalog, collection: str, text_column: str) -> DataF
     points = catalog.active(c).count()
     return catalog.spark.createDataFrame(
         [
-            ("dense", f"{e.metric} over {e.column}", "dense", "exact" if e.index is None else "index_available", "ready", points, 10_000),
+            ("dense", f"{e.metric} over {e.column}", "dense", "exact" if search.chosen_index(catalog, e) is None else "index", "ready", points, 10_000),
             ("full_text", f"all terms in {text_column}", "text", "exact", "ready", points, 10_000),
             ("fusion", "reciprocal rank fusion", "fused", "rrf", "ready", 2 * points, 10_000),
         ],
@@ -332,6 +335,21 @@ def explain_sparse(catalog: Catalog, collection: str, name: str, query: sparse.S
     return catalog.spark.createDataFrame([("exact", catalog.active(c).count(), scored, min(limit, scored), 0)], "strategy string, active_points bigint, scored_count bigint, candidate_count bigint, recheck_count bigint")
 
 
+def explain_late_interaction_ann(catalog: Catalog, collection: str, queries: Sequence[Sequence[float]], index: ann.AnnIndex, candidates: int, probes: int = 8) -> DataFrame:
+    """The stages of a late-interaction query over an index of its tokens, with the index's state and the tokens its probed lists hold."""
+    c = catalog.resolve(collection)
+    wanted = late.check_queries(queries)
+    state = index.status().first()["status"]
+    held = index._probed_rows(wanted, probes, None, ["point_id"])[0].count() if state == "ready" else 0
+    points = catalog.active(c).count()
+    rows = [
+        ("probe", f"{probes} lists for each of {len(wanted)} query vectors", "tokens", "index", state, held, held),
+        ("candidates", f"{candidates} tokens for each query vector choose points", "tokens", "token_topk", state, min(held, len(wanted) * candidates), len(wanted) * candidates),
+        ("score", "sum of best products over all tokens of the chosen points", "points", "exact", "ready", min(points, len(wanted) * candidates), late.MAX_COMPARISONS),
+    ]
+    return catalog.spark.createDataFrame(rows, _EXPLAIN)
+
+
 def explain_late_interaction(catalog: Catalog, collection: str, queries: Sequence[Sequence[float]], column: str, candidates: int | None = None) -> DataFrame:
     """The stages of a late-interaction query, exact or by token candidates."""
     c = catalog.resolve(collection)

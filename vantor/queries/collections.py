@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantor.functions import sparse
 from vantor.functions.vectors import l2_distance
-from vantor.operators import ann, batch, fusion, graph, mutations, operations, search, text
+from vantor.operators import ann, batch, fusion, graph, mutations, operations, postings, search, text
 from vantor.plans import query
 from vantor.plans.filters import Compiler, Field
 from vantor.queries.vectors import CUT, l1, q_sql, query_vector, sparse_column, sparse_query
-from vantor.runtime import finite, scratch, table
+from vantor.runtime import drawn, finite, materialize, scratch, table
 from vantor.sources.catalog import Catalog
+from vantor.sources.jobs import Artifacts, BuildJobs, encode_segment
 from vantor.sources.tokens import explode_tokens
 from vantor.sources.versioned import VersionedTable
 
@@ -85,8 +87,62 @@ def _search_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search_inline(spark: SparkSession, d: str) -> DataFrame:
-    ids = [10, 20, 30, 40]
-    return _rounded(search.inline(spark, [0.0, 0.0], ids, [[3.0, 0.0], [1.0, 0.0], [2.0, 0.0], [1.0, 0.0]], "l2", 3))
+    """The nearest of some rows' vectors, given as constants."""
+    rows = table(spark, d, "embeddings").where(F.col("vec_id") < 20).select("vec_id", "embedding").collect()
+    return _rounded(search.inline(spark, query_vector(spark, d, 30), [r[0] for r in rows], [r[1] for r in rows], "cosine", 5))
+
+
+def _search_inline_sparse(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").where(F.col("vec_id") < 20).select("vec_id", "embedding").collect()
+    cut = [[x if abs(x) >= CUT else 0.0 for x in r[1]] for r in rows]
+    return _rounded(search.inline_sparse(spark, sparse_query(spark, d, 30), [r[0] for r in rows], [sparse.literal(v) for v in cut], "inner_product", 5))
+
+
+def _search_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest points between two scores."""
+    plan = query.score_threshold(query.nearest(query_vector(spark, d), 60), 0.5, 0.8)
+    return _rounded(query.execute(catalog(spark, d, "emb"), "emb", plan))
+
+
+NESTED = {
+    "must": [{"key": "label", "range": {"gte": 1}, "match": {"any": [2, 3, 4, 6, 8]}}, {"should": [{"key": "lang", "match": "en"}, {"must": [{"key": "label", "match": 4}], "must_not": [{"key": "lang", "is_null": True}]}]}],
+}
+
+
+def _count_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Filters within filters, and several predicates in one condition, of which the last by name holds."""
+    return search.count(catalog(spark, d, "emb"), "emb", NESTED)
+
+
+def _plan_of(node) -> object:
+    return lambda spark, d: _rounded(query.execute(catalog(spark, d, "emb_l2"), "emb_l2", node))
+
+
+def _token_catalog(spark: SparkSession, d: str) -> Catalog:
+    """The embeddings as four tokens of 16 values each, registered for late interaction."""
+    out = Catalog(spark)
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, 16))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", tokens.alias("tokens"))
+    out.register_table("tokens", rows)
+    out.create_collection("tokens", "tokens")
+    out.register_vector("tokens", "dense", "embedding", 64, "cosine")
+    out.adopt_points("tokens", rows.select(F.col("id").alias("point_id"), F.col("id").cast("string").alias("source_key"), F.lit(None).alias("deleted_at")))
+    out.exact("tokens").tokens = ("tokens", "tokens")
+    return out
+
+
+def _late_queries(spark: SparkSession, d: str) -> list[list[float]]:
+    q = query_vector(spark, d)
+    return [q[:16], q[16:32]]
+
+
+def _plan_late(spark: SparkSession, d: str) -> DataFrame:
+    """A plan's late interaction: tokens choose points, whose whole scores order them; as many candidates as the scores of the first ten need."""
+    return _rounded(query.execute(_token_catalog(spark, d), "tokens", query.late_interaction(_late_queries(spark, d), 2000, 10)))
+
+
+def _search_late(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.search_late_interaction(_token_catalog(spark, d), "tokens", _late_queries(spark, d), "tokens", 10))
 
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
@@ -164,15 +220,7 @@ def _plan_formula(spark: SparkSession, d: str) -> DataFrame:
 
 def _plan_explain(spark: SparkSession, d: str) -> DataFrame:
     plan = query.prefetch([query.nearest(query_vector(spark, d), 20), query.full_text(TERM, "text", 20)])
-    return query.explain(catalog(spark, d, "emb"), "emb", plan).select("stage", "branch", "strategy", "candidate_budget")
-
-
-def _branch_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted fusion of two branches of one query's candidates."""
-    rows = table(spark, d, "search_candidates").where((F.col("query_id") == 5) & ~F.isnan("score") & (F.abs("score") < 1e300))
-    parts = [rows.where(F.lower(F.translate("branch", "_-", "")) == b).select("point_id", F.col("point_id").cast("string").alias("source_key"), "score") for b in ("denseexact", "fulltext")]
-    fused = fusion.weighted([fusion.Branch(parts[0], True, 2.0), fusion.Branch(parts[1], False, 1.0)])
-    return fused.select("point_id", F.round("score", 6).alias("score"))
+    return query.explain(catalog(spark, d, "emb"), "emb", plan).select("stage", "branch", "strategy", "estimated_candidates", "candidate_budget")
 
 
 def _branch_fusion_all(spark: SparkSession, d: str) -> DataFrame:
@@ -299,6 +347,161 @@ def _graph_masked(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(index.search(query_vector(spark, d), 10, ef=500, allowed=rows.where(F.col("label") < 3).select("vec_id")))
 
 
+def _delete_payload(spark: SparkSession, d: str) -> DataFrame:
+    """A column made null and a JSON path removed in some rows."""
+    changed, _ = mutations.delete_payload(catalog(spark, d, "emb"), "emb", [str(i) for i in range(0, 40, 4)], ["label", "meta.half"])
+    return changed.select(F.col("id").alias("vec_id"), F.coalesce("label", F.lit(-1)).alias("label"), F.get_json_object("metadata", "$.half").alias("half"), F.get_json_object("metadata", "$.label").alias("meta_label"))
+
+
+def _clear_payload(spark: SparkSession, d: str) -> DataFrame:
+    """All registered fields of some rows."""
+    changed, _ = mutations.clear_payload(catalog(spark, d, "emb"), "emb", [str(i) for i in range(0, 40, 4)])
+    return changed.select(F.col("id").alias("vec_id"), F.coalesce("label", F.lit(-1)).alias("label"), "tenant_id", F.get_json_object("metadata", "$.label").alias("meta_label"))
+
+
+def _listings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors, sparse vectors and filter fields of a collection, aliases, limits, models and migrations, as rows (kind, name, detail)."""
+    c = catalog(spark, d, "emb")
+    c.configure_limits("emb", max_search_limit=500, strict_mode=True)
+    c.register_model_version("emb", "m", "1", 64, "cosine")
+    c.register_model_version("emb", "m", "2", 64, "cosine")
+    c.create_migration("emb", ("m", "1"), ("m", "2"), table(spark, d, "embeddings").count())
+    c.update_migration(1, 10, "running")
+    text = lambda *cols: F.concat_ws("/", *(F.col(x).cast("string") for x in cols))
+    parts = [
+        c.collection_vectors("emb").select(F.lit("vector").alias("kind"), F.col("vector_name").alias("name"), text("vector_column", "dimensions", "metric").alias("detail")),
+        c.collection_vectors("emb", True).select(F.lit("sparse"), "vector_name", text("vector_column", "dimensions", "metric")),
+        c.filter_fields("emb").select(F.lit("field"), "filter_key", "column_name"),
+        c.collection_aliases().select(F.lit("alias"), "alias_name", "collection_name"),
+        c.collection_limits("emb").select(F.lit("limit"), F.lit("max_search_limit"), text("max_search_limit", "strict_mode")),
+        c.model_versions().select(F.lit("model"), text("model_name", "model_version"), text("dimensions", "metric")),
+        c.embedding_migrations().select(F.lit("migration"), text("source_version", "target_version"), text("status", "processed_points", "total_points")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _optimization(spark: SparkSession, d: str) -> DataFrame:
+    """State of a collection before and after an index is attached, and the advice for it."""
+    c = catalog(spark, d, "emb")
+    before = operations.optimization_status(c, "emb").select(F.lit("before").alias("stage"), "registered_vectors", "active_points", "filter_fields", "indexes", "status")
+    advice = operations.index_advisor(c, "emb").groupBy("recommendation").agg(F.count(F.lit(1)).alias("n"))
+    search.build_index(c, "emb", scratch(spark, "attached"), "dense")
+    after = operations.optimization_status(c, "emb").select(F.lit("after").alias("stage"), "registered_vectors", "active_points", "filter_fields", "indexes", "status")
+    told = advice.select(F.lit("advice").alias("stage"), F.col("n").alias("registered_vectors"), F.lit(0).cast("bigint").alias("active_points"), F.lit(0).cast("bigint").alias("filter_fields"), F.lit(0).cast("bigint").alias("indexes"), F.col("recommendation").alias("status"))
+    return before.unionByName(after).unionByName(told)
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    """A build over all customers by steps that fails once and is retried, with its artifact; both are read back from where they are kept."""
+    path = scratch(spark, "jobs")
+    jobs = BuildJobs(spark, f"{path}/jobs")
+    total = table(spark, d, "customer").count()
+    job = jobs.start("customers", "vectors", "v", "t", total)
+    failed = []
+
+    def work(first: int, last: int) -> None:
+        if first and not failed:
+            failed.append(first)
+            raise RuntimeError("lost")
+
+    jobs.run(job.build_job_id, work, max(1, total // 4))
+    job.retry()
+    jobs.run(job.build_job_id, work, max(1, total // 4))
+    kept = BuildJobs(spark, f"{path}/jobs")
+    Artifacts(spark, f"{path}/artifacts", kept).publish(1, encode_segment("vectors", b"x" * total))
+    again = Artifacts(spark, f"{path}/artifacts", kept)
+    rows = kept.listing().select("build_job_id", "total_units", "processed_units", "attempt", "status")
+    return rows.join(again.listing().select("build_job_id", "payload_bytes", "lifecycle_state"), "build_job_id").join(again.diagnostics().select(F.col("artifact_id").alias("build_job_id"), F.col("status").alias("artifact")), "build_job_id")
+
+
+#: Recall that each way of searching an index must reach: its normal parameters and, for codes, candidates.
+GATES = {"graph": 0.95, "graph_masked": 0.95, "scalar": 0.95, "binary": 0.75, "attached": 0.95}
+SAMPLED = 50
+
+
+def recalls(spark: SparkSession, d: str) -> dict[str, float]:
+    """Recall of the first ten against the exact search, for up to SAMPLED rows as queries against all rows."""
+    rows = table(spark, d, "embeddings")
+    asked = drawn(rows, F.xxhash64("vec_id"), SAMPLED, rows.count()).select("vec_id", "embedding").collect()
+    queries, some = [r[1] for r in asked], F.col("label") < 2
+    of = spark.createDataFrame([(i, r[0]) for i, r in enumerate(asked)], "query int, query_id bigint")
+
+    def recall(found: DataFrame, among: DataFrame) -> float:
+        wanted = batch.batch_nearest(among, rows.join(F.broadcast(of.select(F.col("query_id").alias("vec_id"))), "vec_id", "left_semi"), "vec_id", "embedding", 64, 10, "cosine")
+        out = operations.recall_by_query(wanted.join(of, "query_id").select("query", "point_id"), found.select("query", "point_id"), "query", "point_id")
+        return out.agg(F.sum("intersection_count") / F.sum("exact_count")).first()[0]
+
+    shards = graph.GraphIndex.build(rows, "vec_id", "embedding", 64, "cosine", scratch(spark, "graph"), shard_rows=1000)
+    lists = _index(spark, d)
+    every = len(lists._properties()["centroids"])
+    c = catalog(spark, d, "emb_cosine")
+    c.attach_index("emb_cosine", "dense", f"{shards.table.path[:-7]}")
+    one = [search.search(c, "emb_cosine", q, 10, strategy="index").select(F.lit(i).alias("query"), "point_id") for i, q in enumerate(queries[:5])]
+    attached = one[0]
+    for x in one[1:]:
+        attached = attached.unionByName(x)
+    few = of.where("query < 5")
+    whole = batch.batch_nearest(rows, rows.join(F.broadcast(few.select(F.col("query_id").alias("vec_id"))), "vec_id", "left_semi"), "vec_id", "embedding", 64, 10, "cosine").join(few, "query_id")
+    hits = operations.recall_by_query(whole.select("query", "point_id"), attached, "query", "point_id").agg(F.sum("intersection_count") / F.sum("exact_count")).first()[0]
+    return {
+        "graph": recall(shards.search_many(queries, 10), rows), "graph_masked": recall(shards.search_many(queries, 10, allowed=rows.where(some).select("vec_id")), rows.where(some)),
+        "scalar": recall(lists.search_many(queries, 10, every, None, "scalar", 50), rows), "binary": recall(lists.search_many(queries, 10, every, None, "binary", 150), rows), "attached": hits,
+    }
+
+
+def _index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each way of searching an index reaches its recall: a graph with the default beam, plain and masked; stored codes with exact
+    ordering of 50 or 150 candidates; and a collection's search over the graph attached to it."""
+    found = recalls(spark, d)
+    n = min(SAMPLED, table(spark, d, "embeddings").count())
+    return spark.createDataFrame([(k, 5 if k == "attached" else n, GATES[k], v >= GATES[k]) for k, v in found.items()], "way string, queries bigint, least double, reached boolean")
+
+
+def late_recall(spark: SparkSession, d: str) -> float:
+    """Recall of the first ten points of late interaction over a graph of all usable tokens, against the exact search, for ten points' tokens as queries."""
+    usable = (F.size("token_vector") == 48) & F.forall("token_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    tokens = table(spark, d, "late_interaction_tokens").where(usable & F.col("point_id").isNotNull() & F.col("token_id").isNotNull()).dropDuplicates(["token_id"])
+    tokens = materialize(tokens.select("token_id", "point_id", "token_vector"), "tokens")
+    points = tokens.select("point_id").distinct()
+    c = Catalog(spark)
+    c.register_table("points", points.select(F.col("point_id").alias("id")))
+    c.create_collection("points", "points")
+    c.adopt_points("points", points.select("point_id", F.col("point_id").cast("string").alias("source_key"), F.lit(None).alias("deleted_at")))
+    index = graph.GraphIndex.build(tokens, "token_id", "token_vector", 48, "inner_product", scratch(spark, "tokens"), shard_rows=1000)
+    chosen = drawn(points, F.xxhash64("point_id"), 10, points.count())
+    asked = tokens.join(F.broadcast(chosen), "point_id", "left_semi").groupBy("point_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("token_id", "token_vector"))), 1, 3).alias("t")).collect()
+    hits = total = 0
+    for r in asked:
+        queries = [list(t.token_vector) for t in r.t]
+        exact = {x[0] for x in search.search_late_interaction_tokens(c, "points", queries, tokens, "point_id", "token_vector", 10_000, 10).select("point_id").collect()}
+        found = {x[0] for x in search.search_late_interaction_tokens(c, "points", queries, tokens, "point_id", "token_vector", 50, 10, index, token="token_id").select("point_id").collect()}
+        hits, total = hits + len(exact & found), total + len(exact)
+    return hits / total
+
+
+def _late_ann(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(0.95, late_recall(spark, d) >= 0.95)], "least double, reached boolean")
+
+
+def _sparse_index(spark: SparkSession, d: str) -> postings.SparseIndex:
+    rows = table(spark, d, "embeddings").select("vec_id", sparse_column(F.col("embedding")).alias("s"))
+    return postings.SparseIndex.build(rows, "vec_id", "s", 64, "inner_product", scratch(spark, "postings"))
+
+
+def _sparse_ann(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates out of the terms of the query, after some points were removed."""
+    index = _sparse_index(spark, d)
+    index.remove(table(spark, d, "embeddings").where(F.col("vec_id") % 7 == 1).select("vec_id"))
+    return _rounded(index.candidates(sparse_query(spark, d), 12))
+
+
+def _sparse_masked(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_sparse_index(spark, d).candidates(sparse_query(spark, d), 12, allowed=table(spark, d, "embeddings").where(F.col("label") < 3).select("vec_id")))
+
+
 def _batch_knn(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of all vectors for every 50th one."""
     rows = table(spark, d, "embeddings")
@@ -333,10 +536,13 @@ QUERIES = {
     **{f"search_{m}": _search(m) for m in _METRICS}, "search_alias": _search_alias, "search_filtered": _search_filtered, "search_json_filter": _search_json, "search_candidates": _search_candidates,
     "search_sparse": _search_sparse, "search_inline": _search_inline, "grouped_search": _grouped, "count_filtered": _count, "count_json": _count_json, "facet": _facet, "facet_json": _facet_json,
     "scroll": _scroll, "recommend": _recommend, "discover": _discover, "lookup": _lookup, "full_text": _full_text, "full_text_terms": _full_text_terms, "hybrid_text": _hybrid_text,
-    "hybrid_sparse": _hybrid_sparse, "plan_weighted": _plan_weighted, "plan_formula": _plan_formula, "plan_explain": _plan_explain, "branch_fusion": _branch_fusion, "branch_fusion_all": _branch_fusion_all, "visible_points": _visible_points,
+    "hybrid_sparse": _hybrid_sparse, "plan_weighted": _plan_weighted, "plan_formula": _plan_formula, "plan_explain": _plan_explain, "branch_fusion_all": _branch_fusion_all, "visible_points": _visible_points,
     "filter_documents": _filter_docs, "upsert_points": _upsert, "point_ids": _point_ids, "set_payload": _payload, "telemetry": _telemetry, "cohort_stats": _cohorts, "execution_stats": _executions,
     "recall_by_query": _recall, "index_exact": _index_all, "index_masked": _index_masked, "index_quantized": _index_quantized, "graph_search": _graph_search, "graph_masked": _graph_masked, "batch_knn": _batch_knn, "lineitem_scan": _lineitem_scan,
-    "table_versions": _versions, "token_rows": _token_rows,
+    "table_versions": _versions, "token_rows": _token_rows, "search_inline_sparse": _search_inline_sparse, "search_threshold": _search_threshold, "count_nested": _count_nested,
+    "plan_recommend": _plan_of(query.recommend([1, 2, 3], [4, 5], 10)), "plan_discover": _plan_of(query.discover([7, 8], 10)), "plan_lookup": _plan_of(query.lookup([42, 7, 99_999_999, 13])),
+    "plan_late": _plan_late, "search_late": _search_late, "delete_payload": _delete_payload, "clear_payload": _clear_payload, "listings": _listings, "optimization": _optimization, "build_jobs_kept": _jobs,
+    "index_recall": _index_recall, "late_ann": _late_ann, "sparse_ann": _sparse_ann, "sparse_masked": _sparse_masked,
 }
 
 _E = "embedding::DOUBLE[]"
@@ -355,6 +561,8 @@ def _mean(ids: str) -> str:
 
 
 _DENSE = "SELECT vec_id, row_number() OVER (ORDER BY list_cosine_distance({e}, q), vec_id) AS r FROM embeddings, (SELECT {q} AS q) QUALIFY r <= {k}"
+_LATE = f"""SELECT vec_id AS point_id, vec_id::VARCHAR AS source_key, round(s, 6) AS score FROM (SELECT vec_id, list_max(list_transform([0, 16, 32, 48], lambda i: list_inner_product(({_E})[i+1:i+16], q[1:16])))
+    + list_max(list_transform([0, 16, 32, 48], lambda i: list_inner_product(({_E})[i+1:i+16], q[17:32]))) AS s FROM embeddings, (SELECT {q_sql()} AS q)) ORDER BY s DESC, vec_id LIMIT 10"""
 _TERMS = "regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+')"
 _OCCURS = f"len(list_filter({_TERMS}, lambda t: t = '{TERM}'))"
 _JSON = "json_extract(props, '$.k')"
@@ -366,7 +574,28 @@ SQL = {
     "search_candidates": _top(15, where="vec_id < 400 AND vec_id % 7 = 0 AND label >= 1"),
     "search_sparse": f"""SELECT vec_id AS point_id, vec_id::VARCHAR AS source_key, round(s, 6) AS score FROM (SELECT vec_id, -list_inner_product({_CUT}, q) AS s
         FROM embeddings, (SELECT {_CUT} AS q FROM embeddings WHERE vec_id = 0)) ORDER BY s, vec_id LIMIT 12""",
-    "search_inline": "SELECT * FROM (VALUES (20::BIGINT, 1.0::DOUBLE), (40, 1.0), (30, 2.0)) t(point_id, score)",
+    "search_inline": _top(5, where="vec_id < 20", q=30).replace("vec_id::VARCHAR AS source_key, ", ""),
+    "search_inline_sparse": f"""SELECT vec_id AS point_id, round(s, 6) AS score FROM (SELECT vec_id, -list_inner_product({_CUT}, q) AS s
+        FROM embeddings, (SELECT {_CUT} AS q FROM embeddings WHERE vec_id = 30) WHERE vec_id < 20) ORDER BY s, vec_id LIMIT 5""",
+    "search_threshold": f"SELECT * FROM ({_top(60)}) WHERE score BETWEEN 0.5 AND 0.8",
+    "count_nested": f"SELECT count(*) AS count FROM {_ROWS} WHERE label >= 1 AND (lang = 'en' OR (label = 4 AND lang IS NOT NULL))",
+    "sparse_ann": f"""SELECT vec_id AS point_id, round(s, 6) AS score FROM (SELECT vec_id, -list_inner_product({_CUT}, q) AS s
+        FROM embeddings, (SELECT {_CUT} AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id % 7 <> 1) ORDER BY s, vec_id LIMIT 12""",
+    "sparse_masked": f"""SELECT vec_id AS point_id, round(s, 6) AS score FROM (SELECT vec_id, -list_inner_product({_CUT}, q) AS s
+        FROM embeddings, (SELECT {_CUT} AS q FROM embeddings WHERE vec_id = 0) WHERE label < 3) ORDER BY s, vec_id LIMIT 12""",
+    "index_recall": "SELECT way, CASE way WHEN 'attached' THEN 5 ELSE least(50, (SELECT count(*) FROM embeddings)) END AS queries, least, TRUE AS reached FROM (VALUES ('graph', 0.95::DOUBLE), ('graph_masked', 0.95), ('scalar', 0.95), ('binary', 0.75), ('attached', 0.95)) t(way, least)",
+    "late_ann": "SELECT 0.95::DOUBLE AS least, TRUE AS reached",
+    "search_late": _LATE, "plan_late": _LATE,
+    "delete_payload": """SELECT vec_id, CASE WHEN vec_id < 40 AND vec_id % 4 = 0 THEN -1 ELSE label END AS label, CASE WHEN vec_id < 40 AND vec_id % 4 = 0 THEN NULL ELSE (label % 2)::VARCHAR END AS half,
+        label::VARCHAR AS meta_label FROM embeddings""",
+    "clear_payload": f"""SELECT vec_id, CASE WHEN hit THEN -1 ELSE label END AS label, CASE WHEN hit THEN NULL ELSE tenant_id END AS tenant_id, CASE WHEN hit THEN NULL ELSE label::VARCHAR END AS meta_label
+        FROM (SELECT e.*, d.tenant_id, vec_id < 40 AND vec_id % 4 = 0 AS hit FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)""",
+    "listings": """SELECT * FROM (VALUES ('vector', 'dense', 'embedding/64/cosine'), ('sparse', 'terms', 'terms/64/inner_product'), ('field', 'label', 'label'), ('field', 'lang', 'lang'), ('field', 'tenant_id', 'tenant_id'),
+        ('field', 'text', 'text'), ('field', 'meta.label', 'metadata'), ('field', 'meta.half', 'metadata'), ('alias', 'vectors', 'emb'), ('limit', 'max_search_limit', '500/true'), ('model', 'm/1', '64/cosine'),
+        ('model', 'm/2', '64/cosine')) t(kind, name, detail) UNION ALL SELECT 'migration', '1/2', 'running/10/' || count(*) FROM embeddings""",
+    "optimization": """SELECT stage, 2::BIGINT AS registered_vectors, (SELECT count(*) FROM embeddings) AS active_points, 6::BIGINT AS filter_fields, (stage = 'after')::BIGINT AS indexes, CASE stage WHEN 'after' THEN 'indexed' ELSE 'exact_only' END AS status
+        FROM (VALUES ('before'), ('after')) t(stage) UNION ALL SELECT 'advice', n, 0, 0, 0, r FROM (VALUES (4, 'cluster_files'), (2, 'extract_column'), (1, 'build_index')) t(n, r)""",
+    "build_jobs_kept": "SELECT 1::BIGINT AS build_job_id, n AS total_units, n AS processed_units, 2 AS attempt, 'completed' AS status, n AS payload_bytes, 'published' AS lifecycle_state, 'ready' AS artifact FROM (SELECT count(*) AS n FROM customer)",
     "grouped_search": f"""SELECT label::VARCHAR AS group_value, vec_id AS point_id, vec_id::VARCHAR AS source_key, round(s, 6) AS score FROM (SELECT label, vec_id, {_D["cosine"]} AS s
         FROM embeddings, (SELECT {q_sql()} AS q) WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY s, vec_id) <= 3) ORDER BY s, vec_id LIMIT 30""",
     "count_filtered": "SELECT count(*) AS count FROM events WHERE event_type NOT IN ('click') AND ts >= TIMESTAMP '2024-01-15' AND NOT value < 10",
@@ -391,11 +620,8 @@ SQL = {
         SELECT vec_id AS point_id, vec_id::VARCHAR AS source_key, round(t, 6) AS score FROM (SELECT vec_id, sum(x) AS t FROM u GROUP BY 1) ORDER BY t DESC, vec_id LIMIT 20""",
     "plan_formula": f"""SELECT vec_id AS point_id, vec_id::VARCHAR AS source_key, round((1 - s) * 2 - 0.125, 6) AS score FROM (SELECT vec_id, {_D["cosine"]} AS s FROM embeddings, (SELECT {q_sql()} AS q)
         ORDER BY s, vec_id LIMIT 40) WHERE s >= 0.1 ORDER BY (1 - s) * 2 - 0.125 DESC, vec_id LIMIT 12""",
-    "plan_explain": "SELECT * FROM (VALUES ('nearest', '0.0', 'exact', 20::BIGINT), ('full_text', '0.1', 'exact', 20), ('prefetch', '0', 'driver_plan', 20)) t(stage, branch, strategy, candidate_budget)",
-    "branch_fusion": """WITH r AS (SELECT point_id, score, lower(translate(branch, '_-', '')) AS b FROM search_candidates WHERE query_id = 5 AND score IS NOT NULL AND NOT isnan(score) AND abs(score) < 1e300),
-        p AS (SELECT b, point_id, max(CASE b WHEN 'denseexact' THEN -score ELSE score END) AS s FROM r WHERE b IN ('denseexact', 'fulltext') GROUP BY 1, 2),
-        n AS (SELECT b, point_id, CASE WHEN max(s) OVER w = min(s) OVER w THEN 1 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS x FROM p WINDOW w AS (PARTITION BY b))
-        SELECT point_id, round(sum(x * CASE b WHEN 'denseexact' THEN 2.0::DOUBLE / 3 ELSE 1.0::DOUBLE / 3 END), 6) AS score FROM n GROUP BY 1""",
+    "plan_explain": """SELECT stage, branch, strategy, CASE stage WHEN 'prefetch' THEN 40 ELSE (SELECT count(*) FROM embeddings) END AS estimated_candidates, candidate_budget
+        FROM (VALUES ('nearest', '0.0', 'exact', 20::BIGINT), ('full_text', '0.1', 'exact', 20), ('prefetch', '0', 'driver_plan', 20)) t(stage, branch, strategy, candidate_budget)""",
     "branch_fusion_all": """WITH r AS (SELECT query_id, point_id, lower(translate(c.branch, '_-', '')) AS b, CASE lower(s.score_order) WHEN 'lowerisbetter' THEN -score ELSE score END AS x
         FROM search_candidates c JOIN search_branches s ON lower(translate(c.branch, '_-', '')) = lower(translate(s.branch, '_-', '')) WHERE query_id IS NOT NULL AND point_id IS NOT NULL AND isfinite(score)),
         p AS (SELECT query_id, b, point_id, max(x) AS s FROM r GROUP BY 1, 2, 3), w AS (SELECT *, min(s) OVER q AS lo, max(s) OVER q AS hi, greatest(abs(lo), abs(hi)) AS m FROM p WINDOW q AS (PARTITION BY query_id, b))
@@ -434,3 +660,4 @@ SQL = {
         UNION ALL SELECT 'insert', count(*), sum(c_custkey)::BIGINT FROM customer WHERE c_nationkey >= 20 AND NOT c_acctbal < 0""",
     "token_rows": "SELECT vec_id::VARCHAR AS source_key, (i + 1)::INT AS token_ordinal, round(embedding[i * 16 + 1]::DOUBLE, 6) AS first FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS i)",
 }
+SQL |= {"plan_recommend": SQL["recommend"], "plan_discover": SQL["discover"], "plan_lookup": SQL["lookup"]}

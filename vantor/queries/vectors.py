@@ -45,17 +45,45 @@ def _sql_functions(spark: SparkSession, d: str) -> DataFrame:
 
 def _text_form(spark: SparkSession, d: str) -> DataFrame:
     """Text form there and back."""
-    rows = table(spark, d, "embeddings").select("vec_id", _v().alias("v"), vectors.parse(vectors.to_text(_v())).alias("w"))
-    return rows.select("vec_id", (F.col("v") == F.col("w")).alias("same"), vectors.dims(F.col("w")).alias("dims"))
+    rows = table(spark, d, "embeddings").select("vec_id", vectors.parse(vectors.to_text(_v())).alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", F.round(total, 6).alias("total"), F.get("w", F.lit(63)).cast("double").alias("last"), vectors.dims(F.col("w")).alias("dims"))
 
 
 def _half(spark: SparkSession, d: str) -> DataFrame:
-    """Half-precision rounding: the largest relative change of each vector's values."""
-    rows = table(spark, d, "embeddings").select("vec_id", _v().alias("v"), half.from_array(_v()).alias("h"))
-    change = F.array_max(F.zip_with("v", "h", lambda x, y: F.abs(x.cast("double") - y.cast("double")) / F.greatest(F.abs(x.cast("double")), F.lit(1e-4))))
-    return rows.select("vec_id", (change < 2.0**-10).alias("close"), F.forall("h", lambda x: half.round_half(x) == x).alias("stable"))
+    """Half-precision rounding: the first value and the sum, and the distance from the next vector's rounded values."""
+    rows = table(spark, d, "embeddings").select("vec_id", half.from_array(_v()).alias("h"))
+    total = F.aggregate("h", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", F.get("h", F.lit(0)).cast("double").alias("first"), F.round(total, 6).alias("total"), F.round(half.l2_distance(F.col("h"), half.from_array(F.array(*[F.lit(0.1)] * DIMS))), 6).alias("l2"))
 
 
+def _half_avg(spark: SparkSession, d: str) -> DataFrame:
+    """The average of half vectors, as a half vector: its sum, which is what the rounding leaves."""
+    rows = table(spark, d, "embeddings").select("label", half.from_array(_v()).alias("h"))
+    rows = aggregates.aggregate_vectors(rows, ["label"], "h", "avg", DIMS, half=True)
+    return rows.select("label", F.size("value").alias("dims"), F.round(F.aggregate("value", F.lit(0.0), lambda s, x: s + x.cast("double")), 2).alias("total"))
+
+
+def _sparse_avg(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("label", sparse_column(_v()).alias("s"))
+    rows = aggregates.aggregate_sparse(rows, ["label"], "s", "avg")
+    zipped = F.explode(F.arrays_zip(F.col("value.indices").alias("i"), F.col("value.values").alias("x"))).alias("e")
+    return rows.select("label", zipped).select("label", F.col("e.i").alias("pos"), (F.round(F.col("e.x").cast("double"), 4) + 0.0).alias("x"))
+
+
+def _binary_numeric(spark: SparkSession, d: str) -> DataFrame:
+    """Hamming and Jaccard distance of vectors of zeros and ones, against the signs of one row."""
+    signs = F.transform(_v(), lambda x: F.when(x >= 0, 1.0).otherwise(0.0))
+    q = F.array(*(F.lit(1.0 if x >= 0 else 0.0) for x in query_vector(spark, d)))
+    return table(spark, d, "embeddings").select("vec_id", vectors.binary_distance("hamming", signs, q).cast("int").alias("hamming"), F.round(vectors.binary_distance("jaccard", signs, q), 6).alias("jaccard"))
+
+
+def _order_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Comparison of sparse and of bit vectors: each row's with the next row's."""
+    a = table(spark, d, "embeddings").select("vec_id", sparse_column(_v()).alias("s"), quantize.binary_quantize(_v()).alias("b"))
+    n = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("t"), F.col("b").alias("c"))
+    return a.join(n, "vec_id").select("vec_id", sparse.compare(F.col("s"), F.col("s")).alias("self"), (sparse.compare(F.col("s"), F.col("t")) == -sparse.compare(F.col("t"), F.col("s"))).alias("turned"), vectors.compare(F.col("b"), F.col("c")).alias("bits"))
+
 def sparse_column(v: Column) -> Column:
     """The values of at least CUT in size."""
     return sparse.from_vector(F.transform(v, lambda x: F.when(F.abs(x) >= CUT, x).otherwise(F.lit(0.0).cast("float"))))
@@ -147,7 +175,7 @@ def _max_sim_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "vector_distances": _distances, "vector_pair_distances": _pair_distances, "vector_sql_functions": _sql_functions, "vector_text_form": _text_form, "half_rounding": _half,
+    "vector_distances": _distances, "vector_pair_distances": _pair_distances, "vector_sql_functions": _sql_functions, "vector_text_form": _text_form, "half_rounding": _half, "half_avg": _half_avg, "sparse_avg": _sparse_avg, "binary_numeric": _binary_numeric, "order_of_kinds": _order_of_kinds,
     "sparse_distances": _sparse_distances, "bit_distances": _bit_distances, "vector_avg": _vector_avg, "vector_sum": _vector_sum, "sparse_sum": _sparse_sum, "bit_or_and": _bit_or_and,
     "scalar_codes": _scalar_codes, "product_codes": _product_codes, "scalar_range": _scalar_range, "max_sim": _max_sim, "max_sim_tokens": _max_sim_tokens,
 }
@@ -166,6 +194,8 @@ def l1(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))"
 
 
+_UNIT = "greatest(floor(log2(abs({0}))), -14) - 10"
+_HALF = f"list_transform({_E}, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, {_UNIT.format('x')}), 0) * pow(2, {_UNIT.format('x')}) END)"
 _UNNEST = "SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings"
 _PQ = "list_transform(generate_series(0, 31), lambda i: CASE WHEN {e}[2*i+1] >= 0 AND {e}[2*i+2] >= 0 AND NOT ({e}[2*i+1] = 0 AND {e}[2*i+2] = 0) THEN 1 WHEN {e}[2*i+1] < 0 AND {e}[2*i+2] < 0 THEN 0 WHEN {e}[2*i+1] < 0 THEN 2 ELSE 3 END)"
 SQL = {
@@ -176,8 +206,17 @@ SQL = {
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "vector_sql_functions": f"""SELECT vec_id, round(list_distance({_E}, q), 6) AS l2, round(list_inner_product({_E}, q), 6) AS ip, round(list_cosine_distance({_E}, q), 6) AS cosine, len(embedding)::INT AS dims
         FROM embeddings, (SELECT {q_sql(1)} AS q)""",
-    "vector_text_form": "SELECT vec_id, TRUE AS same, len(embedding)::INT AS dims FROM embeddings",
-    "half_rounding": "SELECT vec_id, TRUE AS close, TRUE AS stable FROM embeddings",
+    "vector_text_form": f"SELECT vec_id, round(list_sum({_E}), 6) AS total, embedding[64]::DOUBLE AS last, len(embedding)::INT AS dims FROM embeddings",
+    "half_rounding": f"""SELECT vec_id, h[1] AS first, round(list_sum(h), 6) AS total, round(list_distance(h, list_transform(h, lambda x: 0.0999755859375::DOUBLE)), 6) AS l2
+        FROM (SELECT vec_id, {_HALF} AS h FROM embeddings)""",
+    "half_avg": f"""SELECT label, count(*)::INT AS dims, round(sum(CASE WHEN m = 0 THEN 0 ELSE round_even(m / pow(2, {_UNIT.format("m")}), 0) * pow(2, {_UNIT.format("m")}) END), 2) AS total FROM (
+        SELECT label, pos, avg(x) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest({_HALF}) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1""",
+    "sparse_avg": f"SELECT label, (pos + 1)::INT AS pos, round((sum(x) / any_value(n))::FLOAT::DOUBLE, 4) + 0 AS x FROM ({_UNNEST}) JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) USING (label) WHERE abs(x) >= {CUT} GROUP BY 1, 2 HAVING sum(x) <> 0",
+    "binary_numeric": f"""SELECT vec_id, len(list_filter(list_zip(b, q), lambda p: p[1] <> p[2]))::INT AS hamming,
+        round(1 - len(list_filter(list_zip(b, q), lambda p: p[1] AND p[2])) / len(list_filter(list_zip(b, q), lambda p: p[1] OR p[2])), 6) AS jaccard
+        FROM (SELECT vec_id, list_transform({_E}, lambda x: x >= 0) AS b FROM embeddings), (SELECT list_transform({_E}, lambda x: x >= 0) AS q FROM embeddings WHERE vec_id = 0)""",
+    "order_of_kinds": f"""SELECT a.vec_id, 0 AS self, TRUE AS turned, CASE WHEN a.b < b.b THEN -1 WHEN a.b > b.b THEN 1 ELSE 0 END AS bits FROM (SELECT vec_id, list_transform({_E}, lambda x: x >= 0) AS b FROM embeddings) a
+        JOIN (SELECT vec_id, list_transform({_E}, lambda x: x >= 0) AS b FROM embeddings) b ON b.vec_id = a.vec_id + 1""",
     "sparse_distances": f"""SELECT vec_id, len(list_filter(s, lambda x: x <> 0))::INT AS entries, round(list_distance(s, q), 6) AS l2, round({l1("s", "q")}, 6) AS l1, round(list_inner_product(s, q), 6) AS ip,
         round(list_cosine_distance(s, q), 6) AS cosine, 64 AS dims, TRUE AS same FROM (SELECT vec_id, {_CUT} AS s FROM embeddings), (SELECT {_CUTQ} AS q) WHERE len(list_filter(s, lambda x: x <> 0)) > 0""",
     "bit_distances": f"""SELECT vec_id, len(list_filter(list_zip(b, q), lambda p: p[1] <> p[2]))::INT AS hamming,

@@ -107,6 +107,16 @@ def folded(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"^[\s 　]+|[\s 　]+$", ""))
 
 
+def drawn(df: DataFrame, by: Column, wanted: int, total: int) -> DataFrame:
+    """About the `wanted` rows of the smallest hashes `by` (xxhash64) out of `total`, at most so many.
+
+    Rows of larger hashes are filtered out where they are read, so that the task which orders the rest gets about twice
+    the wanted rows, however many there are.
+    """
+    bound = min((1 << 63) - 1, int(-(1 << 63) + min(1.0, 2.0 * wanted / max(1, total)) * (1 << 64)))
+    return df.where(by <= F.lit(bound)).orderBy(by).limit(wanted)
+
+
 def hot_limit(total: int, least: int, groups: int = 1000) -> int:
     """Rows from which on a group counts as hot: at most `groups` groups can reach it, so a table of them is bounded."""
     return max(least, total // groups)

@@ -211,10 +211,10 @@ class Catalog:
         return e
 
     def attach_index(self, collection: str, name: str, index: str, sparse: bool = False, metric: str | None = None) -> None:
-        """Names the folder of an index (operators.ann) for a vector; a sparse one's metric must be the registered one."""
+        """Names the folder of an index for a vector (operators.ann, which search uses by its state), or a sparse one (operators.postings); the metric must be the registered one."""
         c = self.exact(collection)
         e = self.vector(c, name, sparse)
-        if sparse and metric is not None and metric != e.metric:
+        if metric is not None and metric != e.metric:
             raise InvalidParameter("the index has another metric")
         e.index = index
         self._changed(c)

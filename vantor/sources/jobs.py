@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from vantor.errors import Corrupt, Duplicate, InvalidParameter, NotReady, UnknownCollection
+from vantor.sources.versioned import VersionedTable
 
 ACTIVE = ("planned", "running", "cancel_requested")
 FINAL = ("completed", "failed", "cancelled", "abandoned")
@@ -68,10 +69,19 @@ class BuildJob:
 
 
 class BuildJobs:
-    """The jobs of a session, at most one active per target."""
+    """Build jobs, at most one active per target. With a path they are kept in a versioned table there, each change as a commit, and outlive the driver."""
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.jobs = spark, {}
+        self._kept = None if path is None else VersionedTable(spark, path)
+        if self._kept is not None and self._kept.version():
+            for r in sorted(self._kept.read().collect(), key=lambda r: r.build_job_id):  # one row per job
+                self.jobs[r.build_job_id] = BuildJob(**r.asDict())
+
+    def save(self) -> None:
+        """Commits the jobs as they are; of two drivers that do so at once one gets a Conflict."""
+        if self._kept is not None:
+            self._kept.replace(self.listing().coalesce(1))
 
     def start(self, collection: str, kind: str, name: str, target: str, total: int) -> BuildJob:
         if total < 1:
@@ -81,6 +91,7 @@ class BuildJobs:
         job = BuildJob(len(self.jobs) + 1, collection, kind, name, target, total)
         job.start()
         self.jobs[job.build_job_id] = job
+        self.save()
         return job
 
     def job(self, build_job_id: int) -> BuildJob:
@@ -100,6 +111,7 @@ class BuildJobs:
         if status == "completed" and processed != job.total_units:
             raise InvalidParameter("a completed job has all its units")
         job.processed_units, job.status, job.error_message = processed, status, message
+        self.save()
         return job
 
     def run(self, build_job_id: int, work: Callable[[int, int], None], step: int = 1) -> BuildJob:
@@ -111,8 +123,10 @@ class BuildJobs:
                     work(job.processed_units, min(job.total_units, job.processed_units + step))
                 except Exception as e:  # noqa: BLE001 - whatever the work raises is the job's error
                     job.fail(str(e))
+                    self.save()
                     break
             job.advance(step)
+            self.save()
         return job
 
     def listing(self, collection: str | None = None) -> DataFrame:
@@ -157,6 +171,14 @@ class Artifacts:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._io = jvm.org.apache.commons.io.IOUtils
 
+        # the rows are kept beside the segments, each change as a commit
+        self._kept = VersionedTable(spark, f"{self.path}/catalog")
+        if self._kept.version():
+            self.rows = [r.asDict() for r in sorted(self._kept.read().collect(), key=lambda r: r.artifact_id)]  # one row per artifact
+
+    def _save(self) -> None:
+        self._kept.replace(self.listing().coalesce(1))
+
     def publish(self, build_job_id: int, segment: bytes) -> dict:
         job = self.jobs.job(build_job_id)
         if job.status != "completed":
@@ -176,6 +198,7 @@ class Artifacts:
             if (r["collection_name"], r["artifact_name"]) == (job.collection_name, job.artifact_name) and r["lifecycle_state"] == "published":
                 r["lifecycle_state"] = "superseded"
         self.rows.append(row)
+        self._save()
         return row
 
     def _row(self, artifact_id: int) -> dict:
@@ -193,6 +216,7 @@ class Artifacts:
     def retire(self, artifact_id: int) -> dict:
         row = self._row(artifact_id)
         row["lifecycle_state"] = "retired"
+        self._save()
         return row
 
     def cleanup(self, dry_run: bool = True) -> list[dict]:
@@ -201,6 +225,8 @@ class Artifacts:
         for r in due if not dry_run else []:
             self._fs.delete(self._path(f"{self.path}/{r['relative_path']}"), False)
             r["lifecycle_state"] = "removed"
+        if due and not dry_run:
+            self._save()
         return due
 
     def listing(self) -> DataFrame:

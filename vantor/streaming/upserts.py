@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 
+from vantor.runtime import discard, materialize
 from vantor.sources.versioned import VersionedTable
 
 
@@ -27,11 +28,11 @@ def upsert_stream(stream: DataFrame, path: str, key: str, version: str, checkpoi
         if table.manifest(base).schema:
             there = table.read(base).select(key, F.col(version).alias("_there")).join(fresh.select(key), key, "left_semi")
             fresh = fresh.join(there, key, "left").where(F.col("_there").isNull() | (F.col(version) > F.col("_there"))).drop("_there")
-        fresh = fresh.select(*rows.columns).persist()
+        fresh = materialize(fresh.select(*rows.columns), "batch")  # read twice, and must be the same both times
         try:
             table.commit(fresh, base=base, properties={"batch": number}, delete_keys=fresh.select(key))
         finally:
-            fresh.unpersist()
+            discard(fresh)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
