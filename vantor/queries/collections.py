@@ -20,21 +20,28 @@ from vantor.sources.versioned import VersionedTable
 _METRICS = ("l2", "inner_product", "cosine", "l1")
 
 
-def catalog(spark: SparkSession, d: str, *names: str) -> Catalog:
-    """The named collections (all by default): over embeddings one per metric, "emb" being cosine, and events; every row has a point whose id is the row's."""
+def catalog(spark: SparkSession, d: str, *names: str, docs: bool = False, terms: bool = False) -> Catalog:
+    """The named collections: over embeddings one per metric, "emb" being cosine, and events; every row has a point whose id is the row's.
+
+    docs and terms say whether the rows have the fields of their documents and sparse vectors. Without names there is everything.
+    """
     out = Catalog(spark)
-    wanted = names or ("emb", *(f"emb_{m}" for m in _METRICS), "events")
+    wanted, docs, terms = names or ("emb", *(f"emb_{m}" for m in _METRICS), "events"), docs or not names, terms or not names
     if wanted != ("events",):
-        docs = table(spark, d, "documents").select(F.col("doc_id").alias("_doc"), F.lower("lang").alias("lang"), "tenant_id", "text")
-        emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", sparse_column(F.col("embedding")).alias("terms"), F.format_string('{"label": %d, "half": "%d"}', "label", F.col("label") % 2).alias("metadata"))
-        out.register_table("embeddings", emb.join(docs, F.col("id") == F.col("_doc"), "left").drop("_doc"))
+        emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", F.format_string('{"label": %d, "half": "%d"}', "label", F.col("label") % 2).alias("metadata"))
+        rows = emb.withColumn("terms", sparse_column(F.col("embedding"))) if terms else emb
+        if docs:
+            texts = table(spark, d, "documents").select(F.col("doc_id").alias("_doc"), F.lower("lang").alias("lang"), "tenant_id", "text")
+            rows = rows.join(texts, F.col("id") == F.col("_doc"), "left").drop("_doc")
+        out.register_table("embeddings", rows)
     for name in wanted:
         if name == "events":
             continue
         out.create_collection(name, "embeddings")
         out.register_vector(name, "dense", "embedding", 64, "cosine" if name == "emb" else name[4:])
-        out.register_sparse_vector(name, "terms", "terms", 64, "inner_product")
-        for key in ("label", "lang", "tenant_id", "text"):
+        if terms:
+            out.register_sparse_vector(name, "terms", "terms", 64, "inner_product")
+        for key in ("label", "lang", "tenant_id", "text") if docs else ("label",):
             out.register_filter_column(name, key, key)
         out.register_json_path(name, "meta.label", "metadata", ["label"])
         out.register_json_path(name, "meta.half", "metadata", ["half"])
@@ -69,7 +76,7 @@ FILTER = {"must": [{"key": "label", "match": {"any": [1, 3, 5, 7]}}], "must_not"
 
 
 def _search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.search(catalog(spark, d, "emb"), "emb", query_vector(spark, d), 20, filter=FILTER))
+    return _rounded(search.search(catalog(spark, d, "emb", docs=True), "emb", query_vector(spark, d), 20, filter=FILTER))
 
 
 def _search_json(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +90,7 @@ def _search_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.search_sparse(catalog(spark, d, "emb"), "emb", "terms", sparse_query(spark, d), 12, {"must": [{"key": "label", "is_null": False}]}))
+    return _rounded(search.search_sparse(catalog(spark, d, "emb", terms=True), "emb", "terms", sparse_query(spark, d), 12, {"must": [{"key": "label", "is_null": False}]}))
 
 
 def _search_inline(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +118,7 @@ NESTED = {
 
 def _count_nested(spark: SparkSession, d: str) -> DataFrame:
     """Filters within filters, and several predicates in one condition, of which the last by name holds."""
-    return search.count(catalog(spark, d, "emb"), "emb", NESTED)
+    return search.count(catalog(spark, d, "emb", docs=True), "emb", NESTED)
 
 
 def _plan_of(node) -> object:
@@ -201,11 +208,11 @@ def _full_text_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid_text(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(query.hybrid_text(catalog(spark, d, "emb"), "emb", query_vector(spark, d), TERM, "text", 10))
+    return _rounded(query.hybrid_text(catalog(spark, d, "emb", docs=True), "emb", query_vector(spark, d), TERM, "text", 10))
 
 
 def _hybrid_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(query.hybrid_sparse(catalog(spark, d, "emb"), "emb", query_vector(spark, d), "terms", sparse_query(spark, d), 10))
+    return _rounded(query.hybrid_sparse(catalog(spark, d, "emb", terms=True), "emb", query_vector(spark, d), "terms", sparse_query(spark, d), 10))
 
 
 def _plan_weighted(spark: SparkSession, d: str) -> DataFrame:
@@ -355,13 +362,13 @@ def _delete_payload(spark: SparkSession, d: str) -> DataFrame:
 
 def _clear_payload(spark: SparkSession, d: str) -> DataFrame:
     """All registered fields of some rows."""
-    changed, _ = mutations.clear_payload(catalog(spark, d, "emb"), "emb", [str(i) for i in range(0, 40, 4)])
+    changed, _ = mutations.clear_payload(catalog(spark, d, "emb", docs=True), "emb", [str(i) for i in range(0, 40, 4)])
     return changed.select(F.col("id").alias("vec_id"), F.coalesce("label", F.lit(-1)).alias("label"), "tenant_id", F.get_json_object("metadata", "$.label").alias("meta_label"))
 
 
 def _listings(spark: SparkSession, d: str) -> DataFrame:
     """Vectors, sparse vectors and filter fields of a collection, aliases, limits, models and migrations, as rows (kind, name, detail)."""
-    c = catalog(spark, d, "emb")
+    c = catalog(spark, d, "emb", docs=True, terms=True)
     c.configure_limits("emb", max_search_limit=500, strict_mode=True)
     c.register_model_version("emb", "m", "1", 64, "cosine")
     c.register_model_version("emb", "m", "2", 64, "cosine")
@@ -385,7 +392,7 @@ def _listings(spark: SparkSession, d: str) -> DataFrame:
 
 def _optimization(spark: SparkSession, d: str) -> DataFrame:
     """State of a collection before and after an index is attached, and the advice for it."""
-    c = catalog(spark, d, "emb")
+    c = catalog(spark, d, "emb", docs=True, terms=True)
     before = operations.optimization_status(c, "emb").select(F.lit("before").alias("stage"), "registered_vectors", "active_points", "filter_fields", "indexes", "status")
     advice = operations.index_advisor(c, "emb").groupBy("recommendation").agg(F.count(F.lit(1)).alias("n"))
     search.build_index(c, "emb", scratch(spark, "attached"), "dense")
