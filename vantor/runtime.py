@@ -117,7 +117,7 @@ def drawn(df: DataFrame, by: Column, wanted: int, total: int) -> DataFrame:
     return df.where(by <= F.lit(bound)).orderBy(by).limit(wanted)
 
 
-def hot_limit(total: int, least: int, groups: int = 1000) -> int:
+def hot_limit(total: int, least: int, groups: int = 50_000) -> int:
     """Rows from which on a group counts as hot: at most `groups` groups can reach it, so a table of them is bounded."""
     return max(least, total // groups)
 
