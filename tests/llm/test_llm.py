@@ -437,6 +437,25 @@ def test_clusters_come_from_the_components():
     assert (cluster.component_clusters(z, u, 7.5, 0.85, lambda a, b: cluster.Mixture(a, np.zeros(0, int)))[0] == -1).all()
 
 
+def test_crowded_groups_are_cut_into_slices(spark):
+    """A third of all rows in one dense spot: its group is dealt out to many tasks, and nothing is lost."""
+    g = np.random.default_rng(12)
+    x = g.normal(size=(1500, 16))
+    x[:500] = g.normal(size=16) + 0.25 * g.normal(size=(500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<float>")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    for rows in (30, 100_000):
+        got = defaultdict(list)
+        for r in knn.nearest(df, "id", "e", 16, k=4, floor=0.85, group_rows=rows).collect():
+            got[r["key_a"]].append((r["place"], r["key_b"]))
+        want = {i: [int(j) for j in np.argsort(-s[i], kind="stable")[:4] if s[i, j] >= 0.85] for i in range(1500)}
+        same = sum([b for _, b in sorted(got[i])] == w for i, w in want.items() if w)
+        assert same >= 0.97 * sum(bool(w) for w in want.values())
+
+
 def test_only_representatives_are_indexed(spark):
     g = np.random.default_rng(2)
     x = g.normal(size=(300, 16))

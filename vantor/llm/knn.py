@@ -2,7 +2,8 @@
 
 Vectors are scaled to length one and rotated at random. Lists are the cells of centroids fitted on a bounded sample;
 every vector is a member of its nearest list and probes the lists nearest to it. Lists that lie close together form a
-group, and a group is what one task scans: a vector travels once to each group in which it is a member or probes. Within
+group, and a group is what one task scans: a vector travels once to each group in which it is a member or probes. A group
+of too many members or queries is cut into slices of either, each pair of which is a task of its own. Within
 a list the scan takes the rotated columns in blocks. After each block a hypothesis test compares the partial
 distance, scaled to all columns, with the query's present k-th distance, and abandons candidates that would need to be an
 unlikely exception. What is left is scored exactly, in double precision, from the vectors as they came.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 SAMPLE_PER_LIST, MAX_LISTS = 32, 4096
 #: Vectors of a group, about; columns of a block; the test's significance (the larger, the fewer wrong abandonments); near ties that are kept for the exact scores.
 GROUP_ROWS, BLOCK, EPSILON, SLACK = 40_000, 16, 2.1, 8
+#: Tasks that the queries of a table of at least so many rows each are dealt out to, at least.
+LEAST_TASKS, TASK_ROWS = 6, 8_000
 #: Groups of exact copies from this size on, and from a ten-thousandth of all rows on, are answered without the index.
 HOT_COPIES = 64
 #: A list is left out only if a neighbour in it would have to deviate by so many standard deviations from a random direction.
@@ -243,7 +246,8 @@ def nearest(
     asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     member = F.lit(True) if indexed is None else F.coalesce(indexed, F.lit(False))
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"), asked.alias("asked"), member.alias("member"))
-    every, total, distinct = rows.where("member").agg(F.count(F.lit(1)), F.count_if(_usable(dim)), F.approx_count_distinct(F.when(_usable(dim), F.xxhash64("v")))).first()
+    counts = (F.count_if("member"), F.count_if(F.col("member") & _usable(dim)), F.approx_count_distinct(F.when(F.col("member") & _usable(dim), F.xxhash64("v"))), F.count_if("asked"))
+    every, total, distinct, asking = rows.agg(*counts).first()
     schema = f"key_a {kind}, key_b {kind}, similarity double, place int"
     if total < (2 if indexed is None else 1):
         return spark.createDataFrame([], schema)
@@ -280,6 +284,30 @@ def nearest(
     within = None if floor is None else reach(floor, dim)
     turn = rotation(dim)
 
+    def probed_lists(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own list, which lists are probed, similarity to the centroids with the sign turned) of each vector."""
+        near = -(units @ centroids.T)
+        own = near.argmin(1).astype(np.int32)
+        probed = np.full(near.shape, probing >= lists) if within is None or probing >= lists else near <= -within
+        probed[np.arange(len(near)), own] = True  # also where others are equally near
+        if probing < lists:
+            np.put_along_axis(probed, np.argpartition(near, probing - 1, axis=1)[:, :probing], True, axis=1)
+        return own, probed, near
+
+    # how many members and queries a group will have, out of the sample, and the slices that bound them
+    visits = np.zeros(groups)
+    for at in range(0, len(sample), 4096):
+        probed = probed_lists(sample[at : at + 4096])[1]
+        for g in range(groups):
+            visits[g] += probed[:, group_of == g].any(1).sum()
+    held = np.bincount(group_of, weight, groups) / len(sample) * every
+    visits *= asking / len(sample)
+    member_slices = np.maximum(1, np.ceil(held / (2 * group_rows))).astype(np.int64)
+    query_slices = np.maximum(np.ceil(visits / (4 * group_rows)), np.minimum(math.ceil(LEAST_TASKS / groups), np.ceil(visits / TASK_ROWS)))
+    query_slices = np.maximum(1, query_slices).astype(np.int64)
+    first_task = np.concatenate([[0], np.cumsum(member_slices * query_slices)])
+    tasks, most_slices = int(first_task[-1]), (int(member_slices.max()), int(query_slices.max()))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -288,12 +316,7 @@ def nearest(
                 if not len(place):
                     continue
                 asks, member = (part.column(i).to_numpy(zero_copy_only=False)[place].astype(bool) for i in (2, 3))
-                near = -(unit(vectors) @ centroids.T)
-                own = near.argmin(1).astype(np.int32)
-                probed = np.full(near.shape, probing >= lists) if within is None or probing >= lists else near <= -within
-                probed[np.arange(len(near)), own] = True  # also where others are equally near
-                if probing < lists:
-                    np.put_along_axis(probed, np.argpartition(near, probing - 1, axis=1)[:, :probing], True, axis=1)
+                own, probed, near = probed_lists(unit(vectors))
                 n, cut = np.nonzero(probed & asks[:, None])
                 order = np.lexsort((cut, near[n, cut], n))
                 n, cut = n[order], cut[order].astype(np.uint16)
@@ -307,8 +330,26 @@ def nearest(
                 offsets = np.concatenate([first, np.full(len(silent) + 1, cut.size)]).astype(np.int32) * 2
                 lists_of = pa.Array.from_buffers(pa.binary(), len(vec), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cut[order].tobytes())])
                 home = np.where((group_of[own[vec]] == grp) & member[vec], own[vec], -1).astype(np.int32)
-                keys = part.column(0).take(pa.array(place[vec]))
-                yield pa.RecordBatch.from_arrays([pa.array(grp), keys, pa.array(home), lists_of, _pack(vectors).take(pa.array(vec))], ["grp", "key", "home", "probes", "raw"])
+                keys, packed, asks_here = part.column(0).take(pa.array(place[vec])), _pack(vectors).take(pa.array(vec)), np.arange(len(vec)) < len(entry)
+                mine = part.column(4).to_numpy()[place][vec]  # a hash of the key, so that equal keys stay together
+                i, j = mine % member_slices[grp], (mine >> 20) % query_slices[grp]
+                empty = pa.array([b""], pa.binary())
+
+                def sent(chosen: np.ndarray, task: np.ndarray, member: bool, asks: np.ndarray, keys=keys, packed=packed, home=home, lists_of=lists_of) -> pa.RecordBatch:
+                    probes_of = lists_of.take(pa.array(chosen)) if asks.all() else pa.chunked_array([lists_of, empty]).take(pa.array(np.where(asks, chosen, len(lists_of)))).combine_chunks()
+                    probes_of = probes_of.chunk(0) if isinstance(probes_of, pa.ChunkedArray) else probes_of
+                    of = pa.array(home[chosen] if member else np.full(len(chosen), -1, np.int32))
+                    return pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), keys.take(pa.array(chosen)), of, probes_of, packed.take(pa.array(chosen))], ["grp", "key", "home", "probes", "raw"])
+
+                start = first_task[grp]
+                for slice_ in range(most_slices[1]):  # members meet every slice of the queries
+                    go = np.nonzero((home >= 0) & (slice_ < query_slices[grp]))[0]
+                    if len(go):
+                        yield sent(go, (start + i * query_slices[grp] + slice_)[go], True, (asks_here & (j == slice_))[go])
+                for slice_ in range(most_slices[0]):  # and queries every slice of the members, their own if they come as members being done
+                    go = np.nonzero(asks_here & (slice_ < member_slices[grp]) & ~((home >= 0) & (i == slice_)))[0]
+                    if len(go):
+                        yield sent(go, (start + slice_ * query_slices[grp] + j)[go], False, np.ones(len(go), bool))
 
     mirrored = floor is not None and queries is None and indexed is None
 
@@ -327,8 +368,8 @@ def nearest(
             distinct = pa.array(number[0], names.type)
             yield pa.RecordBatch.from_arrays([distinct.take(pa.array(a)), distinct.take(pa.array(b)), pa.array(s, pa.float64())], ["key_a", "key_b", "similarity"])
 
-    assigned = rows.select("key", "v", "asked", "member").mapInArrow(assign, f"grp int, key {kind}, home int, probes binary, raw binary")
-    pairs = assigned.repartitionById(groups, F.col("grp")).mapInArrow(search, f"key_a {kind}, key_b {kind}, similarity double")
+    assigned = rows.select("key", "v", "asked", "member", F.pmod(F.xxhash64("key"), F.lit(1 << 40)).alias("slice")).mapInArrow(assign, f"grp int, key {kind}, home int, probes binary, raw binary")
+    pairs = assigned.repartitionById(tasks, F.col("grp")).mapInArrow(search, f"key_a {kind}, key_b {kind}, similarity double")
     if mirrored:
         both = F.explode(F.array(F.struct("key_a", "key_b", "similarity"), F.struct(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "similarity")))
         pairs = pairs.select(both.alias("p")).select("p.*")

@@ -14,7 +14,7 @@ def places(df: DataFrame, group: list[str], score: str, item: str, out: str = "p
     """df with the place (from 1) of each row within its group, by score descending, then item ascending.
 
     (group, item) must be unique and score not null. Groups under the limit are ranked by a window. Rows of hot groups
-    (at most 1,000 groups, see hot_limit) are range-partitioned by the full order, so that no task holds a whole group;
+    (at most 50,000 groups, see hot_limit) are range-partitioned by the full order, so that no task holds a whole group;
     a row's place is its position in its partition plus the sizes of the group's parts in the partitions before.
 
     df is read several times: pass a table or a materialized result.
@@ -22,7 +22,7 @@ def places(df: DataFrame, group: list[str], score: str, item: str, out: str = "p
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     total = df.count()
     names = counts.where(F.col("_n") >= hot_limit(total, hot_rows)).select(*group)
-    found = names.collect()  # at most 1,000 rows
+    found = names.collect()  # at most 50,000 rows
     order = [F.desc(score), F.asc(item)]
     window = Window.partitionBy(*group).orderBy(*order)
     if not found:

@@ -32,7 +32,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, hot_row
     its highest score there. Null groups, null items and scores that are null, NaN or infinite are left out; an empty
     table gives an empty result; other columns are ignored, whatever their names.
 
-    hot_rows: groups with at least so many items, and more than a thousandth of all items, are hot. At most 1,000 groups
+    hot_rows: groups with at least so many items, and more than a fifty-thousandth of all items, are hot. At most 50,000 groups
     can be hot, so the table of hot groups that is broadcast is bounded.
     """
     if n < 1:
@@ -41,7 +41,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, hot_row
     counts = best.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     total = best.count()
     hot_names = counts.where(F.col("n") >= hot_limit(total, hot_rows)).select("grp")
-    hot_names = best.sparkSession.createDataFrame(hot_names.collect(), hot_names.schema)  # at most 1,000 rows
+    hot_names = best.sparkSession.createDataFrame(hot_names.collect(), hot_names.schema)  # at most 50,000 rows
     order = [F.desc("score"), F.asc("item")]
     cold = best.join(F.broadcast(hot_names), "grp", "left_anti")
     cold = cold.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).where(F.col("place") <= n)
