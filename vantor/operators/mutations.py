@@ -98,9 +98,14 @@ def _apply(catalog: Catalog, c: Collection, keys: Sequence[str], values: Mapping
             raise InvalidParameter(f"{f.column} must not be null")
         new = F.lit(None if delete else values[k]).cast(part.dataType)
         marked = marked.withColumn(f.column, F.when(F.col("_hit"), new).otherwise(F.col(f"`{f.column}`")))
+    names = [F.col(f"`{n}`") for n in source.columns]
+    if not paths:
+        return marked.select(*names), hit.withColumn("updated", F.lit(True))
+    # JSON is edited by Python, which is given the rows that change and no others
+    rows = marked.where("_hit")
     for column, edits in paths.items():
-        marked = marked.withColumn(column, F.when(F.col("_hit"), _json_edit(column, edits, delete)).otherwise(F.col(f"`{column}`")))
-    return marked.select(*(F.col(f"`{n}`") for n in source.columns)), hit.withColumn("updated", F.lit(True))
+        rows = rows.withColumn(column, _json_edit(column, edits, delete))
+    return rows.select(*names).unionByName(marked.where(F.col("_hit").isNull()).select(*names)), hit.withColumn("updated", F.lit(True))
 
 
 def set_payload(catalog: Catalog, collection: str, keys: Sequence[str], payload: Mapping[str, object]) -> tuple[DataFrame, DataFrame]:

@@ -43,6 +43,19 @@ def _sql_functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT vec_id, round(l2_distance(embedding, {q}), 6) AS l2, round(inner_product(embedding, {q}), 6) AS ip, round(cosine_distance(embedding, {q}), 6) AS cosine, vector_dims(embedding) AS dims FROM vantor_embeddings")
 
 
+def _sql_families(spark: SparkSession, d: str) -> DataFrame:
+    """The functions for half, sparse and bit vectors in SQL, against one row."""
+    register.register(spark)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", sparse_column(_v()).alias("s")).where(F.size("s.indices") > 0)
+    rows.createOrReplaceTempView("vantor_families")
+    one = sparse_query(spark, d)
+    q = f"named_struct('dims', {one.dims}, 'indices', array({', '.join(map(str, one.indices))}), 'values', array({', '.join(f'CAST({x!r}D AS FLOAT)' for x in one.values)}))"
+    bits = "array(" + ", ".join("true" if x >= 0 else "false" for x in query_vector(spark, d)) + ")"
+    return spark.sql(f"""SELECT vec_id, round(sparsevec_l2_distance(s, q), 6) AS l2, round(sparsevec_l1_distance(s, q), 6) AS l1, round(sparsevec_inner_product(s, q), 6) AS ip, round(sparsevec_cosine_distance(s, q), 6) AS cosine,
+        sparsevec_nnz(s) AS entries, round(aggregate(sparsevec_to_vector(s), 0D, (x, y) -> x + y), 5) AS total, bit_cmp(b, {bits}) AS cmp, bit_count_set(b) AS ones,
+        round(aggregate(to_halfvec(embedding), 0D, (x, y) -> x + y), 6) AS half_total FROM (SELECT *, {q} AS q, binary_quantize(embedding) AS b FROM vantor_families)""")
+
+
 def _text_form(spark: SparkSession, d: str) -> DataFrame:
     """Text form there and back."""
     rows = table(spark, d, "embeddings").select("vec_id", vectors.parse(vectors.to_text(_v())).alias("w"))
@@ -175,7 +188,7 @@ def _max_sim_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "vector_distances": _distances, "vector_pair_distances": _pair_distances, "vector_sql_functions": _sql_functions, "vector_text_form": _text_form, "half_rounding": _half, "half_avg": _half_avg, "sparse_avg": _sparse_avg, "binary_numeric": _binary_numeric, "order_of_kinds": _order_of_kinds,
+    "vector_distances": _distances, "vector_pair_distances": _pair_distances, "vector_sql_functions": _sql_functions, "sql_families": _sql_families, "vector_text_form": _text_form, "half_rounding": _half, "half_avg": _half_avg, "sparse_avg": _sparse_avg, "binary_numeric": _binary_numeric, "order_of_kinds": _order_of_kinds,
     "sparse_distances": _sparse_distances, "bit_distances": _bit_distances, "vector_avg": _vector_avg, "vector_sum": _vector_sum, "sparse_sum": _sparse_sum, "bit_or_and": _bit_or_and,
     "scalar_codes": _scalar_codes, "product_codes": _product_codes, "scalar_range": _scalar_range, "max_sim": _max_sim, "max_sim_tokens": _max_sim_tokens,
 }
@@ -206,6 +219,10 @@ SQL = {
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "vector_sql_functions": f"""SELECT vec_id, round(list_distance({_E}, q), 6) AS l2, round(list_inner_product({_E}, q), 6) AS ip, round(list_cosine_distance({_E}, q), 6) AS cosine, len(embedding)::INT AS dims
         FROM embeddings, (SELECT {q_sql(1)} AS q)""",
+    "sql_families": f"""SELECT vec_id, round(list_distance(s, q), 6) AS l2, round({l1("s", "q")}, 6) AS l1, round(list_inner_product(s, q), 6) AS ip, round(list_cosine_distance(s, q), 6) AS cosine,
+        len(list_filter(s, lambda x: x <> 0))::INT AS entries, round(list_sum(s), 5) AS total, CASE WHEN b < c THEN -1 WHEN b > c THEN 1 ELSE 0 END AS cmp, len(list_filter(b, lambda x: x))::INT AS ones, round(list_sum(h), 6) AS half_total
+        FROM (SELECT vec_id, {_CUT} AS s, list_transform({_E}, lambda x: x >= 0) AS b, {_HALF} AS h FROM embeddings), (SELECT {_CUTQ} AS q, (SELECT list_transform({_E}, lambda x: x >= 0) FROM embeddings WHERE vec_id = 0) AS c)
+        WHERE len(list_filter(s, lambda x: x <> 0)) > 0""",
     "vector_text_form": f"SELECT vec_id, round(list_sum({_E}), 6) AS total, embedding[64]::DOUBLE AS last, len(embedding)::INT AS dims FROM embeddings",
     "half_rounding": f"""SELECT vec_id, h[1] AS first, round(list_sum(h), 6) AS total, round(list_distance(h, list_transform(h, lambda x: 0.0999755859375::DOUBLE)), 6) AS l2
         FROM (SELECT vec_id, {_HALF} AS h FROM embeddings)""",
