@@ -508,14 +508,55 @@ def test_quality_held_out(spark, data):
     assert len(test) > 200 and len(wrong) <= 0.03 * len(test)
 
 
+def posteriors(seen, model, hint=None):
+    """State probabilities of each line (lines x states) by the forward-backward recursion, and the expected transitions."""
+    emit, change, first = model
+    score = emit[:, seen + quality._OFFSETS].sum(2).T * quality._TEMPER
+    if hint is not None:
+        score = score + hint
+    like = np.exp(score - score.max(1, keepdims=True)) + 1e-12
+    n = len(like)
+    if n == 1:
+        gamma = (first * like[0])[None]
+        return gamma / gamma.sum(), np.zeros(change.shape)
+    ahead, back = np.empty_like(like), np.ones_like(like)
+    at = first * like[0]
+    at /= at.sum()
+    ahead[0] = at
+    dot, total = np.dot, np.add.reduce
+    for i in range(1, n):
+        at = dot(at, change) * like[i]
+        at /= total(at)
+        ahead[i] = at
+    turn = change.T.copy()
+    at = back[n - 1]
+    for i in range(n - 2, -1, -1):
+        at = dot(at * like[i + 1], turn)
+        at /= total(at)
+        back[i] = at
+    gamma = ahead * back
+    gamma /= gamma.sum(1, keepdims=True)
+    moves = np.zeros(change.shape)
+    if hint is not None and n > 1:
+        xi = ahead[:-1, :, None] * change[None] * (like[1:] * back[1:])[:, None, :]
+        moves = (xi / xi.sum((1, 2), keepdims=True)).sum(0)
+    return gamma, moves
+
+
 def test_labels_of_many_documents_are_those_of_each():
     model = quality.fit([])
     lines = [x for k in (PROSE, LIST, TABLE, CODE, JUNK) for x in k.split("\n") if x]
     r = random.Random(0)
     documents = [np.array([quality.observe(r.choice(lines)) for _ in range(n)], np.int64).reshape(-1, len(quality.SIZES)) for n in [0, 1, 1, 2, 5, 40, 7, 300, 3, 0, 12]]
     for seen, label in zip(documents, quality.labels_of(documents, model)):
-        want = (quality.posteriors(seen, model)[0] @ quality._LABEL_OF).argmax(1) if len(seen) else []
+        want = (posteriors(seen, model)[0] @ quality._LABEL_OF).argmax(1) if len(seen) else []
         assert label.tolist() == list(want)
+    # with hints: the expected transitions of several documents are the sums of each one's
+    group = sorted((x for x in documents if len(x)), key=len)
+    hints = np.random.default_rng(0).normal(size=(len(group), len(quality._LABEL)))
+    gamma, moves = quality._recursion(np.concatenate(group), np.array([len(x) for x in group]), model, hints)
+    single = [posteriors(x, model, h) for x, h in zip(group, hints)]
+    assert np.allclose(gamma, np.concatenate([g for g, _ in single])) and np.allclose(moves, sum(m for _, m in single))
 
 
 @settings(max_examples=150, deadline=None)

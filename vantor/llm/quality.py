@@ -282,41 +282,6 @@ def _logs(counts: np.ndarray, change: np.ndarray, first: np.ndarray) -> tuple[np
 _TEMPER = 0.7
 
 
-def posteriors(seen: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray], hint: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """State probabilities of each line (lines x states) by the forward-backward recursion, and the expected transitions."""
-    emit, change, first = model
-    score = emit[:, seen + _OFFSETS].sum(2).T * _TEMPER
-    if hint is not None:
-        score = score + hint
-    like = np.exp(score - score.max(1, keepdims=True)) + 1e-12
-    n = len(like)
-    if n == 1:
-        gamma = (first * like[0])[None]
-        return gamma / gamma.sum(), np.zeros(change.shape)
-    ahead, back = np.empty_like(like), np.ones_like(like)
-    at = first * like[0]
-    at /= at.sum()
-    ahead[0] = at
-    dot, total = np.dot, np.add.reduce
-    for i in range(1, n):
-        at = dot(at, change) * like[i]
-        at /= total(at)
-        ahead[i] = at
-    turn = change.T.copy()
-    at = back[n - 1]
-    for i in range(n - 2, -1, -1):
-        at = dot(at * like[i + 1], turn)
-        at /= total(at)
-        back[i] = at
-    gamma = ahead * back
-    gamma /= gamma.sum(1, keepdims=True)
-    moves = np.zeros(change.shape)
-    if hint is not None and n > 1:
-        xi = ahead[:-1, :, None] * change[None] * (like[1:] * back[1:])[:, None, :]
-        moves = (xi / xi.sum((1, 2), keepdims=True)).sum(0)
-    return gamma, moves
-
-
 def _groups(documents: list[np.ndarray]) -> Iterator[list[int]]:
     """Documents with lines, those of similar length together, as many as keep the padded lines within bounds (one, if it is longer)."""
     order = sorted((i for i in range(len(documents)) if len(documents[i])), key=lambda i: len(documents[i]))
@@ -330,7 +295,10 @@ def _groups(documents: list[np.ndarray]) -> Iterator[list[int]]:
 
 
 def _recursion(seen: np.ndarray, lengths: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray], hints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """As posteriors(), for several documents of ascending lengths whose lines stand one after another; hints has a row per document."""
+    """State probabilities of each line by the forward-backward recursion, and with hints the expected transitions.
+
+    It serves several documents of ascending lengths whose lines stand one after another; hints has a row per document.
+    """
     emit, change, first = model
     doc = np.repeat(np.arange(len(lengths)), lengths)
     line = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
