@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vantor.runtime import drawn
+
 STATES = ("prose", "list", "table", "code", "junk")
 #: Bound of the fitting sample: judged documents, which are fitted on whole.
 MAX_JUDGED = 3000
@@ -355,8 +357,8 @@ def judged_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndar
     """
     known = labels.where(F.lower(F.trim("label")).isin(*STATES) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min(F.lower(F.trim("label"))).alias("label"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_JUDGED)
-    rows = documents.select("doc_id", "text").where(F.length(F.trim("text")) > 0).join(F.broadcast(drawn), "doc_id")  # at most MAX_JUDGED rows
+    sample = drawn(known, F.xxhash64("doc_id"), MAX_JUDGED, known.count())
+    rows = documents.select("doc_id", "text").where(F.length(F.trim("text")) > 0).join(F.broadcast(sample), "doc_id")  # at most MAX_JUDGED rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
